@@ -83,23 +83,35 @@ def _cut(h: np.ndarray) -> np.ndarray:
     return h & np.uint64((1 << 8 * HELD) - 1)
 
 
-def _per_doc(docs: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Documents, and for each the packed hashes that belong to it."""
-    order = np.argsort(docs, kind="stable")
-    docs, h = docs[order], h[order]
-    edge = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1], [True])))
-    for lo in range(0, len(edge) - 1, 20_000):
-        a = edge[lo : lo + 20_001]
-        yield docs[a[:-1]], [_packed(h[x:y]) for x, y in zip(a, a[1:], strict=False)]
+def _about(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Documents in order and how many hashes each has, small for neighbouring ids."""
+    return zstandard.compress(np.concatenate((keys[:1], np.diff(keys), counts)).astype(np.int64).tobytes(), 1)
+
+
+def _keys(about: bytes) -> np.ndarray:
+    """The document of each hash that comes with this block."""
+    a = np.frombuffer(zstandard.decompress(about), np.int64)
+    return np.repeat(np.cumsum(a[: len(a) // 2]), a[len(a) // 2 :])
+
+
+def _by_target(keys: np.ndarray, h: np.ndarray, targets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(target, about, hashes) blocks that tell documents which of their hashes a smaller doc_id has."""
+    target = ((keys.astype(np.uint64) * BASE) >> np.uint64(33)).astype(np.int64) % targets
+    order = np.lexsort((keys, target))
+    keys, h, target = keys[order], h[order], target[order]
+    edge = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1], [True])))
+    for x, y in zip(edge, edge[1:], strict=False):
+        here, count = np.unique(keys[x:y], return_counts=True)
+        yield int(target[x]), _about(here, count), _packed(h[x:y])
 
 
 def repeated_hashes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key (doc_id, null as NULL_ID) and blocks of the hashes of windows that also start in a smaller one."""
+    """key (doc_id, null as NULL_ID) and the packed hashes of its windows that also start in a smaller one; a row for each key that has any."""
     source = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "text")
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(shuffle_width(docs.sparkSession), -(-chars // (6 * BUCKET_WINDOWS)))
-    schema = "bucket int, kind int, key long, about binary, hashes binary"
-    names = ["bucket", "kind", "key", "about", "hashes"]
+    schema = "bucket int, kind int, target int, about binary, hashes binary"
+    names = ["bucket", "kind", "target", "about", "hashes"]
 
     def block(ids: list[int], texts: list[str | None]) -> Iterator[pa.RecordBatch]:
         order = sorted(range(len(ids)), key=ids.__getitem__)
@@ -117,22 +129,19 @@ def repeated_hashes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         later[by_hash] = key[doc[by_hash]] > least
         sent = np.zeros(len(h), bool)
         sent[by_hash[head]] = True
+        rows = []
         if later.any():
-            for ks, blobs in _per_doc(key[doc[later]], _cut(h[later])):
-                n = len(ks)
-                yield pa.RecordBatch.from_arrays([pa.array((ks.astype(np.uint64) * BASE >> np.uint64(33)).astype(np.int64) % buckets, pa.int32()), pa.array(np.ones(n, np.int32)), pa.array(ks), pa.array([b""] * n, pa.binary()), pa.array(blobs, pa.binary())], names=names)
+            rows += [(t % buckets, 1, t, about, blob) for t, about, blob in _by_target(key[doc[later]], _cut(h[later]), buckets)]
         h, doc = h[sent], doc[sent]
         bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order_b = np.argsort(bucket, kind="stable")
         h, doc, bucket = h[order_b], doc[order_b], bucket[order_b]
         edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        rows = []
         for x, y in zip(edge, edge[1:], strict=False):
             here, count = np.unique(doc[x:y], return_counts=True)
-            about = np.concatenate((key[here[:1]], np.diff(key[here]), count)).astype(np.int64)
-            rows.append((int(bucket[x]), 0, 0, zstandard.compress(about.tobytes(), 1), _packed(h[x:y])))
+            rows.append((int(bucket[x]), 0, 0, _about(key[here], count), _packed(h[x:y])))
         for lo in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 64], strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 64], strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
@@ -148,40 +157,44 @@ def repeated_hashes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         kind = table["kind"].to_numpy()
-        out_k, out_h = [], []
-        own = table.filter(pa.array(kind == 1))
-        blocks = [(np.frombuffer(zstandard.decompress(a.as_py()), np.int64), h.as_py()) for a, h, k in zip(table["about"], table["hashes"], kind, strict=True) if k == 0]
+        out = [(t.as_py(), a.as_py(), h.as_py()) for t, a, h, k in zip(table["target"], table["about"], table["hashes"], kind, strict=True) if k == 1]
+        blocks = [(_keys(a.as_py()), h.as_py()) for a, h, k in zip(table["about"], table["hashes"], kind, strict=True) if k == 0]
         if blocks:
-            h = np.concatenate([_unpacked(x) for _, x in blocks])
-            key = np.concatenate([np.repeat(np.cumsum(a[: len(a) // 2]), a[len(a) // 2 :]) for a, _ in blocks])
+            h, key = np.concatenate([_unpacked(x) for _, x in blocks]), np.concatenate([k for k, _ in blocks])
             order = np.argsort(h, kind="stable")
             h, key = h[order], key[order]
             head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            least = np.repeat(np.minimum.reduceat(key, head), np.diff(head, append=len(h)))
-            later = key > least
+            later = key > np.repeat(np.minimum.reduceat(key, head), np.diff(head, append=len(h)))
             if later.any():
-                for ks, blobs in _per_doc(key[later], h[later]):
-                    out_k.append(pa.array(ks))
-                    out_h.append(pa.array(blobs, pa.binary()))
-        return pa.table({"key": pa.chunked_array([*own["key"].chunks, *out_k], pa.int64()), "hashes": pa.chunked_array([*own["hashes"].chunks, *out_h], pa.binary())})
+                out += _by_target(key[later], h[later], buckets)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["target", "about", "hashes"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        key = np.concatenate([_keys(a.as_py()) for a in table["about"]])
+        h = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint8).reshape(-1, HELD)
+        order = np.argsort(key, kind="stable")
+        key, h = key[order], h[order]
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        return pa.table({"key": key[edge[:-1]], "hashes": pa.array([h[x:y].tobytes() for x, y in zip(edge, edge[1:], strict=False)], pa.binary())})
 
-    return source.mapInArrow(hashed, schema).groupBy("bucket").applyInArrow(compare, "key long, hashes binary")
+    met = source.mapInArrow(hashed, schema).groupBy("bucket").applyInArrow(compare, "target int, about binary, hashes binary")
+    return met.groupBy("target").applyInArrow(gather, "key long, hashes binary")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space), intervals (maximal, in words)."""
     source = pick(docs, "doc_id", "text")
-    gone = repeated_hashes(docs, window).groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
+    gone = repeated_hashes(docs, window)
     joined = source.join(gone, F.coalesce(source["doc_id"], F.lit(NULL_ID)) == gone["key"], "left").select("doc_id", "text", "hashes")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t, blobs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for t, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words, spans = words_of(t), []
-                if blobs:
+                if blob:
                     seen = _cut(window_hashes(codes(words), window))
-                    spans = merged(np.flatnonzero(np.isin(seen, _unpacked(b"".join(blobs)))), window)
+                    spans = merged(np.flatnonzero(np.isin(seen, _unpacked(blob))), window)
                 kept, at = [], 0
                 for x, y in spans:
                     kept += words[at:x]
