@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses, mixing, order_minhash, packing, quality_rules, secrets, simhash, substring_dedup, token_counts, warc
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 #: Target weights of the mixture, in parts; sources not named share one part.
 WEIGHTS = {"src0": 12, **{f"src{i}": 4 for i in range(1, 20)}}
@@ -68,5 +71,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_order_minhash, op3_secret_scan, op4_best_fit_packing, op5_edit_token_counts, op6_warc_round_trip, op7_license_scan, op8_quality_rules, op9_substring_dedup, op10_simhash_near_dedup, pipeline)
 }
-
-ORACLES: dict[str, str] = {}
