@@ -100,7 +100,7 @@ def safety_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.warnings(texts(spark, sf_dir), "doc_id", F.col("text")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(f"WITH {TEXTS} SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, {q(parsing.DATE)}))), '; ') AS dates, array_to_string(list_sort(list_distinct(regexp_extract_all(text, {q(parsing.REVISION)}, 1))), '; ') AS revisions FROM texts")
+@query(f"WITH {TEXTS} SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, {q(parsing.DATE)}))), '; ') AS dates, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), {q(parsing.REVISION)}, 1))), '; ') AS revisions FROM texts")
 def operational_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", F.array_join(parsing.dates(F.col("text")), "; ").alias("dates"), F.array_join(parsing.revisions(F.col("text")), "; ").alias("revisions"))
 
