@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.queries import TAG, search_tokens
-from ..functions.text import sentences
+from ..functions.text import sentences, strip
 from .evaluation import anchors
 
 MIN_OVERLAP, MIN_SCORE, GROUNDED = 0.25, 0.22, 0.85
@@ -58,7 +58,7 @@ def first_lines(text: Column) -> Column:
 
 
 def without_references(text: Column) -> Column:
-    return F.trim(F.split(text, r"(?im)^\s*(?:#+\s*|\*\*)?(?:references|sources|citations)\s*:?(?:\*\*)?\s*$", 2)[0])
+    return strip(F.split(text, r"(?im)^\s*(?:#+\s*|\*\*)?(?:references|sources|citations)\s*:?(?:\*\*)?\s*$", 2)[0])
 
 
 def extracted_answer(rows: DataFrame, by: str, question: str, context: str, k: int = 3) -> DataFrame:

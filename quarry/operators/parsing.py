@@ -79,3 +79,90 @@ def estimates(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     t = F.coalesce(text, F.lit(""))
     return docs.select(key, *[f(t).cast("long").alias(f.__name__) for f in (tok_regex, tok_retrieval, tok_prompt, tok_loader)])
+
+
+# Lines that look like page numbers, and those that are headings although they repeat.
+PAGINATION = r"(?i)^(?:Page\s+\d+(?:\s+of\s+\d+)?|\d+\s*/\s*\d+|[-—]\s*\d+\s*[-—])$"
+HEADING_LIKE = r"(?i)^(?:(?:section|chapter|part|\d+\.|\d+\))\s+.*|introduction|scope|purpose|references|safety precautions)$"
+
+
+def without_headers(sections_: DataFrame, doc: str, key: str, text: str, least: int = 2, longest: int = 150) -> DataFrame:
+    """doc, key, cleaned: sections without first and last lines that repeat in their document.
+
+    A last line also goes if it is a page number. Documents of one section stay.
+    """
+    rows = sections_.withColumn("_l", F.split(F.coalesce(text, F.lit("")), "\n"))
+    rows = rows.withColumn("_full", F.filter(F.transform("_l", strip), lambda x: x != ""))
+    rows = rows.withColumns({"_top": F.get("_full", F.lit(0)), "_end": F.when(F.size("_full") > 1, F.element_at("_full", -1))})
+    fit = lambda c: F.when(~F.col(c).startswith("#") & (F.length(c) <= longest) & ~F.col(c).rlike(HEADING_LIKE), F.col(c))
+    rows = rows.withColumns({"_n": F.count("*").over(W.partitionBy(doc)), "_tops": F.count(fit("_top")).over(W.partitionBy(doc, fit("_top"))), "_ends": F.count(fit("_end")).over(W.partitionBy(doc, fit("_end")))})
+    many = F.col("_n") >= 2
+    head = F.coalesce(many & fit("_top").isNotNull() & (F.col("_tops") >= least), F.lit(False))
+    foot = F.coalesce(many & (fit("_end").isNotNull() & (F.col("_ends") >= least) | F.col("_end").rlike(PAGINATION)), F.lit(False))
+    body = F.regexp_replace(strip(F.col(text)), r"^[^\n]*\n?", "")
+    cut = F.when(head, body).otherwise(strip(F.col(text)))
+    return rows.select(doc, key, strip(F.when(foot, F.regexp_replace(strip(cut), r"\n?[^\n]*$", "")).otherwise(cut)).alias("cleaned"))
+
+
+def clean_cells(rows: Column) -> Column:
+    """Cells of a table with newlines and runs of blanks as one blank, and bars escaped."""
+    return F.transform(rows, lambda r: F.transform(r, lambda c: F.replace(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("|"), F.lit("\\|"))))
+
+
+def markdown_table(headers: Column, rows: Column, most: int = 500) -> Column:
+    """Markdown of a table's first `most` rows, which is what a preview shows."""
+    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.array_join(F.transform(headers, lambda _: F.lit("---")), "|"), F.lit("|"))
+    return F.array_join(F.concat(F.array(line(headers), rule), F.transform(F.slice(rows, 1, most), line)), "\n")
+
+
+# Verbs by relation, in the order in which they are tried.
+RELATIONS = [
+    ("feeds", r"(?i)\b(?:discharges\s+to|feeds|pumps\s+to|supplies|delivers\s+to)\b"),
+    ("connected_to", r"(?i)\b(?:connected\s+to|linked\s+to|piped\s+to|joined\s+to)\b"),
+    ("regulates", r"(?i)\b(?:regulates|throttles|controls\s+flow\s+to)\b"),
+    ("monitors", r"(?i)\b(?:monitors|measures|senses|detects)\b"),
+    ("powers", r"(?i)\b(?:powers|drives|actuates)\b"),
+    ("bypasses", r"(?i)\b(?:bypasses|diverts\s+around)\b"),
+    ("isolates", r"(?i)\b(?:isolates|blocks|shuts\s+off)\b"),
+]
+GRAPH_TAG = r"\b([A-Z]{1,4}-\d{2,4}[A-Z]?)\b"
+
+
+def entity_edges(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, src, dst, relation: tags that follow each other in a sentence, by the verb that it has."""
+    from ..functions.text import sentences
+
+    rows = docs.select(F.col(key), F.posexplode(sentences(F.coalesce(text, F.lit("")))).alias("pos", "s"))
+    rows = rows.withColumn("tags", F.array_distinct(F.regexp_extract_all("s", F.lit(GRAPH_TAG), 1))).where(F.size("tags") > 1)
+    relation = F.coalesce(*[F.when(F.col("s").rlike(p), name) for name, p in RELATIONS], F.lit("connected_to"))
+    pairs = F.transform(F.slice("tags", F.lit(1), F.size("tags") - 1), lambda t, i: F.struct(t.alias("src"), F.get("tags", i + 1).alias("dst")))
+    return rows.select(key, "pos", F.explode(pairs).alias("p"), relation.alias("relation")).select(key, "pos", "p.src", "p.dst", "relation")
+
+
+def entity_neighbours(edges: DataFrame, tag: str) -> DataFrame:
+    return edges.where(F.col("src") == tag)
+
+
+def marked_pages(docs: DataFrame, key: str, text: str, word: str = "Page") -> DataFrame:
+    """key, number, content of the parts that `--- Page N ---` (or Slide) lines begin."""
+    parts = F.filter(F.split(text, rf"(?m)(?=^--- {word} \d+ ---$)"), lambda p: p.rlike(rf"^--- {word} \d+ ---"))
+    rows = docs.select(F.col(key), F.explode(parts).alias("p"))
+    return rows.select(key, F.regexp_extract("p", rf"^--- {word} (\d+) ---", 1).cast("int").alias("number"), strip(F.regexp_replace("p", rf"^--- {word} \d+ ---\n?", "")).alias("content"))
+
+
+def email_headers(text: Column) -> Column:
+    """Map of the header lines of a message, names in lower case; a later line wins."""
+    head = F.split(text, r"\n\s*\n", 2)[0]
+    found = F.regexp_extract_all(head, F.lit(r"(?m)^([A-Za-z-]+:\s*[^\n]*)$"), 1)
+    pair = F.transform(found, lambda x: F.struct(F.lower(F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), F.trim(F.regexp_replace(x, r"^[A-Za-z-]+:\s*", "")).alias("v")))
+    last = F.filter(pair, lambda x, i: ~F.exists(F.slice(pair, i + 2, F.greatest(F.size(pair), F.lit(1))), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
+
+
+def structure_issues(sections_: DataFrame, key: str) -> DataFrame:
+    """key, section, issue of sections(): missing titles, repeated headings of a level, and jumps of more than one level."""
+    w = W.partitionBy(key).orderBy("section")
+    rows = sections_.withColumns({"_jump": F.col("level") - F.lag("level").over(w), "_same": F.count("*").over(W.partitionBy(key, "level", F.lower("title")))})
+    issue = F.array_compact(F.array(F.when(F.coalesce(F.trim("title"), F.lit("")) == "", "missing_title"), F.when(F.col("title").isNotNull() & (F.col("_same") > 1), "duplicate_heading"), F.when(F.col("_jump") > 1, "level_jump")))
+    return rows.select(key, "section", F.explode(issue).alias("issue"))
