@@ -20,9 +20,14 @@ def grams(size: int, name: str) -> str:
 {name} AS (SELECT DISTINCT doc_id, p + j AS p FROM {name}s SEMI JOIN {name}c USING (doc_id, k), range(0, {size}) AS t(j))"""
 
 
+def later_grams(size: int, name: str) -> str:
+    """The same for n-grams that came before in their document."""
+    return f"{name} AS (SELECT DISTINCT doc_id, p + j AS p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id, k ORDER BY p) AS i FROM ({windows(size)})), range(0, {size}) AS t(j) WHERE i > 1)"
+
+
 def quality() -> str:
     sizes = list(quality_rules.NGRAM_SHARE)
-    parts = ", ".join([grams(3, "g3"), *(grams(k, f"g{k}") for k in sizes)])
+    parts = ", ".join([grams(3, "g3"), *(later_grams(k, f"g{k}") for k in sizes)])
     chars = ", ".join(f"c{k} AS (SELECT doc_id, CAST(sum(length(x)) AS BIGINT) AS v FROM g{k} JOIN x USING (doc_id, p) GROUP BY doc_id)" for k in sizes)
     joins = " ".join(f"LEFT JOIN c{k} USING (doc_id)" for k in sizes)
     rules = " AND ".join(f"coalesce(c{k}.v, 0) <= {share}::DOUBLE * word_chars" for k, share in quality_rules.NGRAM_SHARE.items())

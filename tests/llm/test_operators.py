@@ -72,11 +72,16 @@ def slow_quality(t):
         c = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
         return {i + j for i in range(len(w) - n + 1) if c[tuple(w[i : i + n])] > 1 for j in range(n)}
 
+    def later(n):
+        grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        first = {}
+        return {i + j for i, g in enumerate(grams) if first.setdefault(g, i) < i for j in range(n)}
+
     rep = len(dup(3))
     failed = len(w) < 50 or 100 * rep > 50 * len(w)
     chars = sum(map(len, w))
     dl = [x for i, x in enumerate(lines) if x in lines[:i]]
-    ok = all(sum(len(w[i]) for i in dup(n)) <= s * chars for n, s in quality_rules.NGRAM_SHARE.items()) and len(dl) <= 0.3 * len(lines) and sum(map(len, dl)) <= 0.2 * sum(map(len, lines))
+    ok = all(sum(len(w[i]) for i in later(n)) <= s * chars for n, s in quality_rules.NGRAM_SHARE.items()) and len(dl) <= 0.3 * len(lines) and sum(map(len, dl)) <= 0.2 * sum(map(len, lines))
     return len(w), chars, sum(t.count(c) for c in "#*$%&|<>"), len(dl), rep, failed, not failed and ok
 
 
