@@ -45,8 +45,8 @@ def fix_line_ends(t: Column) -> Column:
 
 def lines(t: Column) -> Column:
     """Lines without their ends; no line after a final end."""
-    parts = F.split(t, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    whole = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
+    return F.transform(F.array(F.split(t, LINE_BREAK)), whole)[0]
 
 
 def squeeze_lines(t: Column) -> Column:

@@ -29,12 +29,14 @@ def search(chunks: DataFrame, queries: DataFrame, key: str, text: str, query_key
     over them alone; a repeated query term adds as often as it occurs.
     """
     asked = queries.select(F.col(query_key), F.explode(search_tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
-    size = lengths(chunks, key, text)
-    corpus = size.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))  # one row
+    corpus = lengths(chunks, key, text).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))  # one row
     wanted = asked.select("term").distinct()
-    hits = postings(chunks, key, text).join(wanted, "term", "left_semi")
+    # tokens that no query has go before they are counted, and a row's length travels with the rest
+    split = chunks.select(F.col(key), tokens(F.coalesce(text, F.lit(""))).alias("a"))
+    found = split.select(key, F.size("a").cast("long").alias("doc_len"), F.explode("a").alias("term"))
+    hits = found.join(wanted, "term", "left_semi").groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf"))
     seen = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = hits.join(size, key).crossJoin(F.broadcast(corpus))
+    weighed = hits.crossJoin(F.broadcast(corpus))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(FLOOR))
     scored = asked.join(seen, "term").join(weighed, "term").groupBy(query_key, key).agg(F.sum(F.col("times") * idf * part).alias("score"))
