@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import cleaning, collection, drawing, hybrid, metadata, quality, retrieval, review, structure  # noqa: F401  each registers its queries
+from .plans import cleaning, collection, drawing, hybrid, metadata, modality, quality, retrieval, review, structure  # noqa: F401  each registers its queries
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
