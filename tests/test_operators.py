@@ -192,3 +192,19 @@ def test_cells(spark):
 def test_injections(spark):
     rows = [r[0] for r in spark.createDataFrame(fixtures.SECRETS, "id int, text string").orderBy("id").select(evaluation.injection_flags(F.col("text"))).collect()]
     assert rows == [sum(bool(re.search(p, t)) for p in evaluation.INJECTIONS) for _, t in fixtures.SECRETS] and Counter(rows)[0] > 0
+
+
+def test_violations(spark):
+    df = spark.createDataFrame([(1, 5, 0.9, 0), (1, 6, 0.5, 1), (1, 5, 0.7, 2), (2, 7, 0.1, 0)], "q int, k int, s double, r int")
+    got = {r.q: (r.duplicates, r.out_of_order) for r in candidates.violations(df, "q", "k", "s", "r").collect()}
+    assert got == {1: (1, 1), 2: (0, 0)}
+
+
+def test_histories_and_texts(spark):
+    from quarry.operators import modality
+
+    df = spark.createDataFrame([("a  b",)], "t string")
+    r = modality.with_history(df, "t", {"squeeze": tx.squeeze_lines, "upper": F.upper}).first()
+    assert r.t == "A B" and [tuple(h) for h in r.history] == [("squeeze", 4, 3), ("upper", 3, 3)]
+    parts = spark.createDataFrame([("d", 2, 1, None, "c"), ("d", 1, 2, "T2", "b"), ("d", 1, 1, "", "a")], "doc string, page int, pos int, title string, content string")
+    assert modality.canonical_text(parts, "doc").first().text == "a\n\nT2\nb\n\nc"
