@@ -16,7 +16,9 @@ import numpy as np
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNIT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Pieces that a worker remembers before it starts anew, and the longest it remembers.
-REMEMBER, LONGEST = 400_000, 48
+REMEMBER, LONGEST = 800_000, 48
+#: Units that go to the tokenizer in one call.
+TOGETHER = 2048
 
 _state: dict = {}
 
@@ -38,30 +40,39 @@ def tokenizer(path: str):
     return _state["tokenizer"]
 
 
-def known_units(texts: list[list[str]], path: str) -> dict[str, bytes]:
-    """A dict that has the ids, as little-endian 32-bit, of every unit in texts."""
+def known_units(texts: list[list[str]], path: str) -> tuple[dict[str, bytes], list[str]]:
+    """A dict that has the ids, as little-endian 32-bit, of every unit in texts, and which of them not to remember."""
     t = tokenizer(path)
     known = _state["known"]
-    fresh = {u for units in texts for u in units}.difference(known)
+    fresh = set().union(*texts).difference(known)
     if len(known) + len(fresh) > REMEMBER:
         known = _state["known"] = {}
-        fresh = {u for units in texts for u in units}
-    fresh = list(fresh)
-    out = known
-    if any(len(u) > LONGEST for u in fresh):
-        out = dict(known)
-    for i in range(0, len(fresh), 8192):
-        part = fresh[i : i + 8192]
-        for u, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4").tobytes()
-            out[u] = ids
-            if out is not known and len(u) <= LONGEST:
-                known[u] = ids
-    return out
+        fresh = set().union(*texts)
+    plain = [u for u in fresh if not u.isspace()]
+    for i in range(0, len(plain), TOGETHER):
+        part = plain[i : i + TOGETHER]
+        known.update(zip(part, _joined_ids(part, t), strict=True))
+    for u in fresh.difference(plain):
+        known[u] = np.array(t.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
+    return known, [u for u in fresh if len(u) > LONGEST]
+
+
+def _joined_ids(units: list[str], t) -> list[bytes]:
+    """Ids of each unit from one call: the units stand on lines of their own, and the id of a line end parts them.
+
+    None holds a line end, and a line end before a unit, or before its space, is a token by itself.
+    """
+    ids = np.array(t.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, "<u4")
+    edge = np.flatnonzero(ids == t.token_to_id("\u010a")).tolist()
+    raw = ids.tobytes()
+    return [raw[4 * a + 4 : 4 * z] for a, z in zip([-1, *edge], [*edge, len(ids)], strict=True)]
 
 
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers; null as empty."""
     cut = [UNIT.findall(t or "") for t in texts]
-    known = known_units(cut, path)
-    return [b"".join(map(known.__getitem__, units)) for units in cut]
+    known, long = known_units(cut, path)
+    out = [b"".join(map(known.__getitem__, units)) for units in cut]
+    for u in long:
+        del known[u]
+    return out
