@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,6 +73,12 @@ def member(raw: bytes) -> bytes:
     return gzip.compress(raw, 3, mtime=0)
 
 
+def unzipped(raw: bytes) -> bytes:
+    """All members of an archive; read as a file, for gzip.decompress copies what is left after each."""
+    with gzip.GzipFile(fileobj=io.BytesIO(raw)) as f:
+        return f.read()
+
+
 def records(page_id: int | None, url: str | None, payload: bytes, revisit: bool, uid: int, segment: int) -> list[bytes]:
     """The record of a page, or its segments."""
     ident = lambda n: f"<urn:uuid:{hashlib.md5(f'{page_id}/{uid}/{n}'.encode()).hexdigest()}>"
@@ -134,7 +141,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         for b in batches:
             for content in b.column(0):
                 out = []
-                for h, block in parse(gzip.decompress(content.as_py())):
+                for h, block in parse(unzipped(content.as_py())):
                     kind = h["warc-type"]
                     number = int(h.get("warc-segment-number", 0))
                     total = h.get("warc-segment-total-length")
