@@ -31,7 +31,7 @@ from .common import NULL_ID, pick, shuffle_width
 
 WINDOW = 13
 #: Windows that a task hashes before it sends them on, and those of a bucket on average.
-BLOCK_WINDOWS, BUCKET_WINDOWS = 3_000_000, 3_000_000
+BLOCK_WINDOWS, BUCKET_WINDOWS = 1_500_000, 2_000_000
 BASE = np.uint64(0xD6E8FEB86659FD93)
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 HELD = 7  # bytes of a hash that travel
