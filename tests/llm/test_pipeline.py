@@ -79,3 +79,23 @@ def test_mixture_order(spark, docs, tmp_path):
 def test_run_ends_in_sequences(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 0
+
+
+def five_words(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_dedup_by_five_words(spark, docs):
+    """One document of each group at Jaccard 0.8 or more stays."""
+    good = list(dict.fromkeys(r for r in rows(corpus_pipeline.quality(spark, docs, SF))))
+    sets, root = [five_words(r[1]) for r in good], list(range(len(good)))
+    for i in range(len(good)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    least = defaultdict(set)
+    for r, c in zip(good, root, strict=True):
+        least[c].add(2**62 if r[0] is None else r[0])
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(good, docs.select(*COLUMNS).schema), SF)
+    assert sorted(2**62 if r[0] is None else r[0] for r in rows(got)) == sorted(min(x) for x in least.values())
