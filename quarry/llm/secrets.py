@@ -31,7 +31,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "novel")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: A sign = ends a name, which is context of the value after it; only one that pads belongs to a value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=.~-]))?")
 SENSITIVE = re.compile(r"(?i:pass|pwd|secret|token|key|auth|bearer|credential|private|signature|session|cookie)", re.ASCII)
 #: Characters before a candidate that must name something sensitive; those on both sides that prime the compressor.
 NEAR, AROUND = 48, 256

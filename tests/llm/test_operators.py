@@ -204,6 +204,13 @@ def test_novelty_reports_keys_and_leaves_names():
     assert secrets.redacted(key_text, secrets.spans(key_text)[1]) == "The private key of the service is [SECRET] and no other."
 
 
+@pytest.mark.parametrize("name", ["AWS_SECRET_ACCESS_KEY", "PRIVATE_KEY", "session_id", "https://example.org/back?auth"])
+def test_secret_after_a_name_and_sign(name):
+    for value in ("q7Zp0xV9mK2sLwT4bN8cRt5Yh1Jd", "q7Zp0xV9mK2sLwT4bN8cRt5Yh1J=="):
+        text = f"HOST=db1\n{name}={value}\nPORT=80"
+        assert secrets.redacted(text, secrets.spans(text)[1]) == f"HOST=db1\n{name}=[SECRET]\nPORT=80"
+
+
 # ---- 4
 
 
