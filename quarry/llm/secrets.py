@@ -13,6 +13,7 @@ ignored; an empty table gives an empty result. Spans are in code points.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -63,9 +64,18 @@ def _compressor() -> zstandard.ZstdCompressor:
     return _pair[0]
 
 
+def surroundings(text: str, start: int, end: int) -> bytes:
+    """What primes the compressor for text[start:end]: AROUND characters on both sides, where copies of it are blanked."""
+    own = text[start:end].rstrip("=")
+    blank, reach = "\n" * len(own), AROUND + len(own)
+    before = text[max(0, start - reach) : start].replace(own, blank)[-AROUND:]
+    after = text[end : end + reach].replace(own, blank)[:AROUND]
+    return (before + "\n" + after + "\n").encode("utf-8", "surrogatepass")
+
+
 def novelty(text: str, start: int, end: int) -> float:
     """Compressed bytes that text[start:end] adds after its surroundings, for each of its characters."""
-    around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND] + "\n").encode("utf-8", "surrogatepass")
+    around = surroundings(text, start, end)
     size = lambda raw: len(_compressor().compress(raw))
     return (size(around + text[start:end].encode()) - size(around)) / (end - start)
 
@@ -80,16 +90,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates that mix letters with digits, follow a sensitive word, touch no base span, and do not compress."""
-    out = []
+    """Candidates that mix letters with digits, follow a sensitive word, touch no base span, and do not compress; all places of each."""
+    free = lambda a, b: not any(x < b and a < y for x, y, _ in base)
+    out, known = {}, {}
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         s = m[0]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or any(x < b and a < y for x, y, _ in base):
+        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or not free(a, b):
             continue
-        if SENSITIVE.search(text, max(0, a - NEAR), a) and novelty(text, a, b) >= NOVELTY:
-            out.append((a, b, "novel"))
-    return out
+        if SENSITIVE.search(text, max(0, a - NEAR), a) and (s.rstrip("=") in known or novelty(text, a, b) >= NOVELTY):
+            out[a] = b
+            known[s.rstrip("=")] = None
+    starts = list(out)
+    for s in known:
+        a = text.find(s)
+        while a >= 0:
+            b = a + len(s)
+            i = bisect.bisect_right(starts, a) - 1
+            if free(a, b) and (i < 0 or out[starts[i]] < b):
+                out[a] = max(b, out.get(a, b))
+            a = text.find(s, b)
+    return [(a, b, "novel") for a, b in sorted(out.items())]
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

@@ -211,6 +211,15 @@ def test_secret_after_a_name_and_sign(name):
         assert secrets.redacted(text, secrets.spans(text)[1]) == f"HOST=db1\n{name}=[SECRET]\nPORT=80"
 
 
+@pytest.mark.parametrize("gap", [" and once more, the private key ", " is an example.\n" + "It is used so, without a name before it: " * 2 + "curl ", " " + "x " * 120 + "key "])
+def test_secret_written_twice(gap):
+    value = "q7Zp0xV9mK2sLwT4bN8cRt5Yh1Jd"
+    text = f"The private key {value}{gap}{value} ends."
+    assert secrets.redacted(text, secrets.spans(text)[1]) == f"The private key [SECRET]{gap}[SECRET] ends."
+    text = f"First {value} is used. The private key {value}{gap}{value} ends."
+    assert secrets.redacted(text, secrets.spans(text)[1]) == f"First [SECRET] is used. The private key [SECRET]{gap}[SECRET] ends."
+
+
 # ---- 4
 
 
