@@ -2,9 +2,10 @@
 
 Three kinds come from patterns: assign, access, hex. The fourth, novel, covers
 strings that no pattern names: a candidate in a sensitive context is compressed
-after its surroundings, with a dictionary of common identifiers, and again
-without it. What it adds, in bytes for each of its characters, is its novelty;
-names and prose compress against the dictionary and context, keys do not.
+after its surroundings, with a dictionary of common identifiers. It is reported
+if it adds NOVELTY bytes for each of its characters, or SHARE of what random
+strings of its length and alphabet add in the same place; names and prose
+compress against the dictionary and context, keys do not.
 
 Defined results: a null or empty text has no spans; a text is scanned whole and
 by itself, so repeated rows and ties give equal rows; further columns are
@@ -14,8 +15,11 @@ ignored; an empty table gives an empty result. Spans are in code points.
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,8 +41,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=.~-]))?
 SENSITIVE = re.compile(r"(?i:pass|pwd|secret|token|key|auth|bearer|credential|private|signature|session|cookie)", re.ASCII)
 #: Characters before a candidate that must name something sensitive; those on both sides that prime the compressor.
 NEAR, AROUND = 48, 256
-#: Least compressed bytes that a candidate adds for each of its characters.
-NOVELTY = 0.9
+#: Least compressed bytes that a candidate adds for each of its characters; or least share of what random strings of
+#: its length and alphabet add in its place, DRAWS of them on average.
+NOVELTY, SHARE, DRAWS = 0.9, 0.82, 4
+#: Bytes a character below which no string comes near SHARE: even hexadecimal digits hold half a byte each.
+FLOOR = 0.35
+ALPHABETS = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
 IDENTIFIERS = (
     "access account action address admin algorithm application argument array async authorization await backend base64 bearer boolean bucket buffer byte cache callback certificate "
     "character class client cloud cluster code column command config configuration connection console const container content context control cookie counter create credentials "
@@ -73,11 +81,31 @@ def surroundings(text: str, start: int, end: int) -> bytes:
     return (before + "\n" + after + "\n").encode("utf-8", "surrogatepass")
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Compressed bytes that text[start:end] adds after its surroundings, for each of its characters."""
+def alphabet(s: str) -> str:
+    """Hexadecimal digits of one case, or the classes of letters and digits that s has, and its signs."""
+    held = set(s)
+    for letters in ("abcdef", "ABCDEF"):
+        if held <= set(string.digits + letters):
+            return string.digits + letters
+    return "".join(x for x in ALPHABETS if held & set(x)) + "".join(sorted(held - set(string.digits + string.ascii_letters)))
+
+
+@functools.lru_cache(4096)
+def drawn(letters: str, n: int) -> list[bytes]:
+    """DRAWS random strings of n letters, the same at every call."""
+    rng = random.Random(f"{letters} {n}")
+    return ["".join(rng.choices(letters, k=n)).encode() for _ in range(DRAWS)]
+
+
+def novel(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] adds about as many compressed bytes after its surroundings as a random string does."""
     around = surroundings(text, start, end)
     size = lambda raw: len(_compressor().compress(raw))
-    return (size(around + text[start:end].encode()) - size(around)) / (end - start)
+    n, before = end - start, size(around)
+    added = size(around + text[start:end].encode()) - before
+    if added >= NOVELTY * n or added < FLOOR * n:
+        return added >= NOVELTY * n
+    return DRAWS * added >= SHARE * sum(size(around + x) - before for x in drawn(alphabet(text[start:end]), n))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -90,15 +118,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates that mix letters with digits, follow a sensitive word, touch no base span, and do not compress; all places of each."""
+    """Candidates that mix letters with digits or are all letters, follow a sensitive word, touch no base span, and do not compress; all places of each.
+
+    Letters with signs but no digit are names and paths, which random strings seldom look like; digits without a letter are numbers.
+    """
     free = lambda a, b: not any(x < b and a < y for x, y, _ in base)
     out, known = {}, {}
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         s = m[0]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or not free(a, b):
+        if not (s.isalpha() or any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or not free(a, b):
             continue
-        if SENSITIVE.search(text, max(0, a - NEAR), a) and (s.rstrip("=") in known or novelty(text, a, b) >= NOVELTY):
+        if SENSITIVE.search(text, max(0, a - NEAR), a) and (s.rstrip("=") in known or novel(text, a, b)):
             out[a] = b
             known[s.rstrip("=")] = None
     starts = list(out)
