@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from pyspark.sql import types as T
 from ..functions.protected import PROTECTED, protected_spans
 
 DIFF_LIMIT = 20_000
+#: Ranges of at most so many pairs of characters are left to difflib.
+DIFF_SMALL = 1024
+_BASE = 0x9E3779B97F4A7C15
 
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
@@ -27,6 +31,56 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def matched(x: str, y: str) -> int:
+    """Characters in difflib's matching blocks (without junk) of x and y.
+
+    The longest block of a range is found by halving its length over hashes of
+    all windows, and compared: only unequal windows of one hash go to difflib.
+    """
+    if x == y:
+        return len(x)
+    top = max(len(x), len(y)) + 1
+    power = np.full(top + 1, _BASE, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    sums = []
+    for t in (x, y):
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        sums.append(np.zeros(len(t) + 1, np.uint64))
+        np.cumsum(codes * power[: len(t)], dtype=np.uint64, out=sums[-1][1:])
+
+    def windows(side: int, lo: int, hi: int, n: int) -> np.ndarray:
+        at = sums[side]
+        return (at[lo + n : hi + 1] - at[lo : hi - n + 1]) * power[top - hi + n : top - lo + 1][::-1]
+
+    def longest(alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        if (ahi - alo) * (bhi - blo) > DIFF_SMALL:
+            n, over = 0, min(ahi - alo, bhi - blo) + 1
+            while over - n > 1:
+                mid = (n + over) // 2
+                n, over = (mid, over) if np.isin(windows(0, alo, ahi, mid), windows(1, blo, bhi, mid)).any() else (n, mid)
+            if not n:
+                return alo, blo, 0
+            a, b = windows(0, alo, ahi, n), windows(1, blo, bhi, n)
+            i = int(np.isin(a, b).argmax())
+            j = int((b == a[i]).argmax())
+            i, j = i + alo, j + blo
+            if x[i : i + n] == y[j : j + n]:
+                return i, j, n
+        i, j, n = difflib.SequenceMatcher(None, x[alo:ahi], y[blo:bhi], autojunk=False).find_longest_match()
+        return i + alo, j + blo, n
+
+    total, ranges = 0, [(0, len(x), 0, len(y))]
+    while ranges:
+        alo, ahi, blo, bhi = ranges.pop()
+        if alo < ahi and blo < bhi:
+            i, j, n = longest(alo, ahi, blo, bhi)
+            if n:
+                total += n
+                ranges += [(alo, i, blo, j), (i + n, ahi, j + n, bhi)]
+    return total
+
+
 @F.pandas_udf(T.StructType([T.StructField("removed", T.LongType()), T.StructField("normalized", T.LongType())]))
 def diff_stats(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     """Characters removed, and characters that no matching block covers; lengths alone beyond DIFF_LIMIT."""
@@ -35,7 +89,7 @@ def diff_stats(before: pd.Series, after: pd.Series) -> pd.DataFrame:
         if max(len(x), len(y)) > DIFF_LIMIT:
             changed = abs(len(x) - len(y))
         else:
-            changed = len(x) - sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+            changed = len(x) - matched(x, y)
         rows.append((max(0, len(x) - len(y)), changed))
     return pd.DataFrame(rows, columns=["removed", "normalized"])
 

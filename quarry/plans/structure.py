@@ -98,7 +98,7 @@ def token_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cleaning_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.table(spark, "fx_raw_text").select("doc_id", "text", tx.clean(F.col("text")).alias("c"))
+    rows = texts(spark, sf_dir).select("doc_id", "text", tx.clean(F.col("text")).alias("c"))
     return rows.select("doc_id", python_text.diff_stats("text", "c").alias("d")).select("doc_id", "d.removed", "d.normalized")
 
 

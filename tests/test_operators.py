@@ -2,6 +2,7 @@
 
 import difflib
 import math
+import random
 import re
 import unicodedata
 import uuid
@@ -18,6 +19,8 @@ from quarry.functions import text as tx
 from quarry.functions.protected import protected_spans
 from quarry.operators import candidates, embedding, evaluation, grounding, parsing, python_text, structure, vectors
 from quarry.plans import fixtures
+from quarry.plans.registry import texts
+from quarry.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -208,3 +211,30 @@ def test_histories_and_texts(spark):
     assert r.t == "A B" and [tuple(h) for h in r.history] == [("squeeze", 4, 3), ("upper", 3, 3)]
     parts = spark.createDataFrame([("d", 2, 1, None, "c"), ("d", 1, 2, "T2", "b"), ("d", 1, 1, "", "a")], "doc string, page int, pos int, title string, content string")
     assert modality.canonical_text(parts, "doc").first().text == "a\n\nT2\nb\n\nc"
+
+
+def test_matched_as_difflib():
+    rng = random.Random(4)
+    for letters, n in (("ab", 90), ("abcdefgh ", 400), ("aé日𝄞", 300)):
+        for _ in range(25):
+            x = "".join(rng.choices(letters, k=rng.randint(0, n)))
+            y = x
+            for _ in range(rng.randint(0, 9)):
+                i = rng.randint(0, len(y))
+                y = y[:i] + "".join(rng.choices(letters, k=rng.randint(0, 5))) + y[i + rng.randint(0, 9) :]
+            for a, b in ((x, y), (y, x), (x, "".join(rng.choices(letters, k=n)))):
+                assert python_text.matched(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_cleaning_statistics_measure_every_text(spark):
+    """By brute force over all documents and the inline texts."""
+    sf = "/root/testdata/sf0.001"
+    rows = texts(spark, sf).select("doc_id", "text", tx.clean(F.col("text")).alias("c")).collect()
+    want = []
+    for d, x, y in rows:
+        x, y = x or "", y or ""
+        same = len(x) if x == y else sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+        changed = abs(len(x) - len(y)) if max(len(x), len(y)) > python_text.DIFF_LIMIT else len(x) - same
+        want.append((d, max(0, len(x) - len(y)), changed))
+    got = [tuple(r) for r in QUERIES["cleaning_statistics"](spark, sf).collect()]
+    assert len(got) > 200 and sorted(map(repr, got)) == sorted(map(repr, want))
