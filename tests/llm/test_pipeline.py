@@ -99,3 +99,11 @@ def test_near_dedup_by_five_words(spark, docs):
         least[c].add(2**62 if r[0] is None else r[0])
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(good, docs.select(*COLUMNS).schema), SF)
     assert sorted(2**62 if r[0] is None else r[0] for r in rows(got)) == sorted(min(x) for x in least.values())
+
+
+def test_near_dedup_keeps_unlinked_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(90)) for x in "abc")
+    held = [(1, a), (5, a + " end"), (5, b), (5, b), (5, c), (7, c + " end")]
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in held], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, SF).collect()]
+    assert sorted(got) == [(1, a), (5, b), (5, c)]
