@@ -22,6 +22,7 @@ import re
 import string
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 import zstandard
@@ -117,12 +118,36 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def merged(spans: list[tuple[int, int, str]]) -> list[int]:
+    """Where the union of spans, sorted by start, begins and ends, by turns."""
+    out: list[int] = []
+    for a, b, _ in spans:
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
+def places(text: str, found: dict[str, None]) -> Iterator[tuple[int, int]]:
+    """All places of the strings found, in one pass over the text."""
+    if not found:
+        return
+    search = ahocorasick.Automaton()
+    for s in found:
+        search.add_word(s, len(s))
+    search.make_automaton()
+    for last, n in search.iter(text):
+        yield last + 1 - n, last + 1
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidates that mix letters with digits or are all letters, follow a sensitive word, touch no base span, and do not compress; all places of each.
 
     Letters with signs but no digit are names and paths, which random strings seldom look like; digits without a letter are numbers.
     """
-    free = lambda a, b: not any(x < b and a < y for x, y, _ in base)
+    edges = merged(base)
+    free = lambda a, b: bisect.bisect_right(edges, a) % 2 == 0 and bisect.bisect_right(edges, a) == bisect.bisect_left(edges, b)
     out, known = {}, {}
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
@@ -133,14 +158,10 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             out[a] = b
             known[s.rstrip("=")] = None
     starts = list(out)
-    for s in known:
-        a = text.find(s)
-        while a >= 0:
-            b = a + len(s)
-            i = bisect.bisect_right(starts, a) - 1
-            if free(a, b) and (i < 0 or out[starts[i]] < b):
-                out[a] = max(b, out.get(a, b))
-            a = text.find(s, b)
+    for a, b in places(text, known):
+        i = bisect.bisect_right(starts, a) - 1
+        if free(a, b) and (i < 0 or out[starts[i]] < b):
+            out[a] = max(b, out.get(a, b))
     return [(a, b, "novel") for a, b in sorted(out.items())]
 
 
