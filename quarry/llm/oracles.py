@@ -38,7 +38,7 @@ y AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY
 l AS (SELECT doc_id, count(*) AS n_lines, sum(length(line)) AS line_chars, count(*) FILTER (k > 1) AS n_dup_lines, coalesce(sum(length(line)) FILTER (k > 1), 0) AS dup_line_chars FROM y GROUP BY doc_id),
 a AS (SELECT doc_id, n AS n_words, length(regexp_replace(text, '{BLANK}', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM d JOIN n USING (doc_id)),
 b AS (SELECT a.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(r.v, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(dup_line_chars, 0) AS dup_line_chars, coalesce(line_chars, 0) AS line_chars, n_words < {quality_rules.MIN_WORDS} OR 100 * coalesce(r.v, 0) > 50 * n_words AS base_failed FROM a LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules} AND n_dup_lines <= {quality_rules.LINE_SHARE}::DOUBLE * n_lines AND dup_line_chars <= {quality_rules.LINE_CHAR_SHARE}::DOUBLE * line_chars AS kept, n_lines, CAST(dup_line_chars AS BIGINT) AS dup_line_chars, {counts} FROM b {joins}"""
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules} AND n_symbols <= {quality_rules.SYMBOL_SHARE}::DOUBLE * n_words AND n_dup_lines <= {quality_rules.LINE_SHARE}::DOUBLE * n_lines AND dup_line_chars <= {quality_rules.LINE_CHAR_SHARE}::DOUBLE * line_chars AS kept, n_lines, CAST(dup_line_chars AS BIGINT) AS dup_line_chars, {counts} FROM b {joins}"""
 
 
 SUBSTRINGS = f"""WITH {WORDS}, win AS ({windows(13)}), f AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k), hit AS (SELECT doc_id, p FROM win JOIN f USING (k) WHERE m < doc_id), gone AS (SELECT DISTINCT doc_id, p + j AS p FROM hit, range(0, 13) AS t(j)),

@@ -81,7 +81,7 @@ def slow_quality(t):
     failed = len(w) < 50 or 100 * rep > 50 * len(w)
     chars = sum(map(len, w))
     dl = [x for i, x in enumerate(lines) if x in lines[:i]]
-    ok = all(sum(len(w[i]) for i in later(n)) <= s * chars for n, s in quality_rules.NGRAM_SHARE.items()) and len(dl) <= 0.3 * len(lines) and sum(map(len, dl)) <= 0.2 * sum(map(len, lines))
+    ok = all(sum(len(w[i]) for i in later(n)) <= s * chars for n, s in quality_rules.NGRAM_SHARE.items()) and sum(t.count(c) for c in "#*$%&|<>") <= quality_rules.SYMBOL_SHARE * len(w) and len(dl) <= 0.3 * len(lines) and sum(map(len, dl)) <= 0.2 * sum(map(len, lines))
     return len(w), chars, sum(t.count(c) for c in "#*$%&|<>"), len(dl), rep, failed, not failed and ok
 
 
