@@ -23,9 +23,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder named in spark.checkpoint.dir; where none is set, one of our own in local mode, else one in the warehouse, which all executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path.rstrip("/") if path else _own_dir()
+    if path:
+        return path.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return _own_dir()
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quarry"
 
 
 @functools.cache
