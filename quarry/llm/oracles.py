@@ -51,7 +51,7 @@ def license_hits() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in licenses.TEMPLATES.items())
     cut = lambda t: f"list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-    scale = "CASE " + " ".join(f"WHEN len(w) <= {s} THEN {s}" for s in licenses.SCALES) + " END"
+    scale = "CASE " + " ".join(f"WHEN len(w) <= {s} THEN {s}" for s in licenses.scales(licenses.TEMPLATES)) + " END"
     shingle = lambda source: f"SELECT *, unnest(range(0, greatest(len(w) - {k - 1}, least(len(w), 1)))) AS p FROM {source}"
     return f"""WITH t AS (SELECT license, {cut("notice")} AS w FROM (VALUES {values}) AS v(license, notice)), tp AS ({shingle("t")}), ts AS (SELECT DISTINCT license, {scale} AS scale, array_to_string(w[p + 1 : p + {k}], ' ') AS sh FROM tp), tn AS (SELECT license, count(*) AS total FROM ts GROUP BY license),
 d AS (SELECT doc_id, {cut("coalesce(text, '')")} AS w FROM documents), dp AS ({shingle("d")}), ds AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + {k}], ' ') AS sh FROM dp),
