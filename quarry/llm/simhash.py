@@ -3,7 +3,10 @@
 Every distinct 64-bit fingerprint is filed under each of its segments. A pair
 within `radius` bits agrees in some segment up to radius // segments bits, so a
 probe of the small Hamming ball around each segment meets it; complete distances
-are then verified. Only a spanning forest of each group's links leaves a task,
+are then verified. The number of segments follows the number of fingerprints:
+at radius 4, three of 21 bits with balls of one bit while that keeps groups
+small, which it does for some 48 million, then two of 32 bits with balls of two;
+both meet every pair. Only a spanning forest of each group's links leaves a task,
 so a dense group of copies gives as many rows as it has members.
 
 Defined results: a null or empty text has fingerprint zero and links like any
@@ -14,6 +17,7 @@ further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import fields, pick, shuffle_width, written
 
-SHINGLE, SEED, RADIUS, SEGMENTS = 4, 42, 4, 3
+SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Fingerprints that may meet in one key on average, before longer segments with larger balls are taken.
+GROUP = 512
 #: Keys that one task takes, on average, when groups are dealt out.
 KEYS_PER_TASK = 1_000_000
 #: Groups up to this size are compared by lags over the whole task at once.
@@ -92,16 +98,23 @@ def forest(members: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+def segments_for(n: int, radius: int) -> int:
+    """Of the numbers of segments whose keys leave n even fingerprints in groups of GROUP, the one with the fewest keys; otherwise two, or one for a radius of one."""
+    masks = {s: sum(math.comb(64 // s, i) for i in range(radius // s + 1)) for s in range(min(2, radius), radius + 1)}
+    held = [s for s, m in masks.items() if n * m <= GROUP << (64 // s)]
+    return min(held, key=lambda s: s * masks[s], default=min(masks, default=1))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
     """Columns a, b: enough of the pairs of distinct fp within radius to join every component.
 
     Each pair within radius is met in some group, and each group gives a spanning
     forest of its own links, so no two fingerprints that are linked come apart.
     """
     spark, n = fps.sparkSession, fps.count()
-    parts = max(shuffle_width(spark), -(-n * 23 * segments // KEYS_PER_TASK))
-    own = radius // segments
-    layout = [(np.uint64(start), width, ball(width, own)) for start, width in cuts(segments)]
+    segments = segments or segments_for(n, radius)
+    layout = [(np.uint64(start), width, ball(width, radius // segments)) for start, width in cuts(segments)]
+    parts = max(shuffle_width(spark), -(-n * sum(len(m) for _, _, m in layout) // KEYS_PER_TASK))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,7 +186,7 @@ def components(edges: DataFrame) -> DataFrame:
     return star.select(F.col("u").alias("node"), "root").unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int | None = None, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links can reach) of each row."""
     marked = written(fingerprints(docs, shingle), "simhash")
     by_fp = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
