@@ -1,7 +1,7 @@
 """Document fingerprints by Order MinHash, in DataFrame functions alone.
 
 A word k-mer together with its occurrence number is one element of a text, so
-repeats count. One 40-bit hash of each element, its high bits naming one of
+repeats count. One 33-bit hash of each element, its high bits naming one of
 `BINS` bins, stands for as many hash functions (one-permutation hashing); in
 each bin the `KEPT` smallest elements are selected, put back in text order, and
 hashed as a tuple. Two texts agree in a bin only if they share its smallest
@@ -9,16 +9,21 @@ elements and have them in the same order, which follows edit distance.
 
 A fingerprint is a string of six hex digits for each bin that has elements: the
 bin and 16 bits of its tuple's hash. Likeness is the share of agreeing bins
-among those that either text fills. Texts of fewer than K words are one k-mer.
+among those that either text fills. Texts of fewer than K words are one k-mer;
+each character of a script written without blanks is a word. An element's place
+has 30 bits, more than the words that a string can hold.
 
 Defined results: a null or empty text has the empty fingerprint, and two empty
 fingerprints are alike (1.0); equal texts have equal fingerprints; rows with one
-doc_id follow each other in the order of their texts; a null doc_id comes first;
+doc_id follow each other in the order of their texts' XXH64, and may be many; a
+null doc_id comes first;
 further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,17 +31,19 @@ from pyspark.sql import Window as W
 from .common import NULL_ID, bind, pick, shuffle_width
 
 K, BINS, KEPT = 3, 64, 2
-PLACE = 23  # bits for a k-mer's position
+PLACE = 30  # bits for a k-mer's position
+#: Characters that are words by themselves.
+UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 BIN_SHIFT = 63 - (BINS.bit_length() - 1)
 NO_PLACE = (1 << PLACE) - 1
 
 
 def _elements(words: Column) -> Column:
-    """hash << PLACE | position of each k-mer; hashes of 40 bits, positions beyond the last bit count as one."""
+    """hash << PLACE | position of each k-mer."""
 
     def hashed(w: Column, i: Column) -> Column:
         h = F.xxhash64(w, *[F.get(words_, i + j) for j in range(1, K)])
-        return F.shiftleft(F.shiftrightunsigned(h, 64 - (63 - PLACE)), PLACE).bitwiseOR(F.least(i, F.lit(NO_PLACE)).cast("long"))
+        return F.shiftleft(F.shiftrightunsigned(h, 64 - (63 - PLACE)), PLACE).bitwiseOR(i.cast("long"))
 
     words_ = words
     return F.slice(F.transform(words, hashed), F.lit(1), F.greatest(F.size(words) - (K - 1), F.least(F.size(words), F.lit(1))))
@@ -85,7 +92,9 @@ def _tuples(elements: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text column, as one expression that evaluates each step once a row."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    apart = F.when((F.octet_length(text) > F.length(text)) & text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    words = F.filter(F.split(apart, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     tuples = bind(words, lambda w: _tuples(_numbered(_elements(w))))
     return F.array_join(F.transform(tuples, lambda e: F.lower(F.lpad(F.hex(e), 6, "0"))), "")
 
@@ -106,26 +115,35 @@ def likeness(a: Column, b: Column) -> Column:
     return bind(F.struct(_entries(a).alias("x"), _entries(b).alias("y")), compare)
 
 
-def with_next(docs: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """Adds next_<column> of the following row by `order`, whose first column is a long; after the last comes the first.
+def with_next(docs: DataFrame, columns: list[str], key: str, text: str) -> DataFrame:
+    """Adds next_<column> of the following row by key, a long, and then by the XXH64 of text; after the last comes the first.
 
-    Rows are dealt into ranges of the first column, whose bounds are values that
-    it has. The rows at a bound also go, as marks, to the range before, so each
-    range finds its last row's follower itself, and no range sees the whole.
+    Rows are dealt into ranges whose bounds are (key, hash) pairs that rows have,
+    so a key of many rows has ranges of its own. The rows at a bound also go, as
+    marks, to the range before, so each range finds its last row's follower
+    itself, and no range sees the whole.
     """
-    key = order[0]
     ranges = 4 * shuffle_width(docs.sparkSession)
+    h = F.xxhash64(text)
     found = docs.agg(F.min(key).alias("least"), F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts")).first()
-    bounds = sorted({found["least"], *(found["cuts"] or [])} - {None}) or [0]
-    cuts = F.array(*[F.lit(x).cast("long") for x in bounds])
+    cuts = [x for x in [found["least"], *(found["cuts"] or [])] if x is not None]
+    times = Counter(cuts)
+    bits = max(times.values(), default=1).bit_length() - 1  # a key that is several cuts is cut by its hashes too
+    top = F.when(F.col(key).isin([k for k, n in times.items() if n > 1]), F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(2**63))), 63 - bits) if bits else F.lit(0)).otherwise(F.lit(0))
+    least = docs.where(F.col(key).isin(list(times))).select(key, h.alias("_h"), top.alias("_top")).groupBy(key, "_top").agg(F.min("_h").alias("_h"))
+    bounds = sorted((r[key], r["_h"]) for r in least.collect()) or [(0, 0)]  # at most two for each cut
+    table = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(x).cast("long").alias("h")) for k, x in bounds])
     last = len(bounds) - 1
-    at = bind(cuts, lambda c: F.array_position(F.transform(c, lambda x: x), F.array_max(F.filter(c, lambda x: x <= F.col(key))))).cast("int") - 1
-    own = docs.withColumn("_at", at)
-    first = F.array_contains(cuts, F.col(key))
-    mark = F.when(first, F.array(F.struct(F.col("_at").alias("r"), F.lit(0).alias("m")), F.struct(F.when(F.col("_at") == 0, last).otherwise(F.col("_at") - 1).alias("r"), F.when(F.col("_at") == 0, 2).otherwise(1).alias("m")))).otherwise(F.array(F.struct(F.col("_at").alias("r"), F.lit(0).alias("m"))))
+    reached = lambda x: (x["k"] < F.col(key)) | ((x["k"] == F.col(key)) & (x["h"] <= F.col("_h")))
+    at = bind(F.filter(table, reached), lambda x: F.struct((F.size(x) - 1).alias("r"), F.element_at(x, -1).alias("bound")))
+    own = docs.withColumn("_h", h).withColumn("_at", at)
+    one = lambda r, m: F.struct(r.alias("r"), F.lit(m).alias("m"))
+    r = F.col("_at.r")
+    first = (F.col("_at.bound.k") == F.col(key)) & (F.col("_at.bound.h") == F.col("_h"))
+    mark = F.when(first & (r == 0), F.array(one(r, 0), one(F.lit(last), 2))).when(first, F.array(one(r, 0), one(r - 1, 1))).otherwise(F.array(one(r, 0)))
     dealt = own.withColumn("_d", F.explode(mark)).withColumns({"_r": F.col("_d.r"), "_m": F.col("_d.m")}).drop("_d", "_at")
-    w = W.partitionBy("_r").orderBy((F.col("_m") == 2).cast("int"), *order)
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("_m = 0").drop("_r", "_m")
+    w = W.partitionBy("_r").orderBy((F.col("_m") == 2).cast("int"), key, "_h", text)
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("_m = 0").drop("_r", "_m", "_h")
 
 
 def order_minhash(docs: DataFrame) -> DataFrame:
@@ -136,7 +154,7 @@ def order_minhash(docs: DataFrame) -> DataFrame:
     """
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("t"))
     rows = rows.withColumn("fp", fingerprint(F.col("t")))
-    rows = with_next(rows, ["t", "fp"], ["key", "t"])
+    rows = with_next(rows, ["t", "fp"], "key", "t")
     n = F.length("t")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("t").substr(F.lit(1), n - half), F.col("next_t").substr(F.lit(1), half))

@@ -238,9 +238,7 @@ def test_novelty_in_small_alphabets(letters):
 def real_tokenizer():
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokens.vocabulary_path())
-    tok.encode_special_tokens = True
-    return tok
+    return Tokenizer.from_file(tokens.vocabulary_path())
 
 
 def real_ids(t):
@@ -394,7 +392,7 @@ def slow_pages(rows):
 
 def test_warc(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").select("*", F.lit(1).alias("valid"), F.lit("no").alias("HTML"))
-    got = [tuple(r)[:5] for r in warc.round_trip(df, segment=1000, per_file=3).collect()]
+    got = [tuple(r)[:5] for r in warc.round_trip(df, segment=1000, archive_bytes=3000).collect()]
     assert key(got) == key(slow_pages(PAGES))
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     assert key(tuple(r)[:5] for r in warc.round_trip(pages).collect()) == key(slow_pages([(r.page_id, r.url, r.html) for r in pages.collect()]))
@@ -409,41 +407,115 @@ def test_warc_payloads_and_damage(spark, tmp_path):
     found = warc.read_warc(spark, f"file://{tmp_path}/w").where("record_type = 'response'").collect()
     want = {x[0]: (x[2] or "").encode() for x in PAGES}
     assert all(r.valid and bytes(r.payload) == want[r.page_id] for r in found if r.page_id is not None)
-    raw = b"".join(gzip.decompress(open(f, "rb").read()) for f in glob.glob(f"{tmp_path}/w/part-*"))
-    records = list(warc.parse(raw))
+    files = [open(f, "rb").read() for f in glob.glob(f"{tmp_path}/w/part-*")]
+    whole = [list(warc.members(f)) for f in files]
+    assert all(b"".join(w) == gzip.decompress(f) for w, f in zip(whole, files, strict=True))
+    # a member is a record with its end; the last of a file is empty
+    assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for w in whole for m in w[:-1]) and all(w[-1] == b"" for w in whole)
+    records = [r for w in whole for m in w for r in warc.parse(m)]
+    held = {h["warc-record-id"]: h for h, _ in records}
+    assert len(held) == len(records)
+    for h, _ in records:
+        if h["warc-type"] == "revisit":
+            assert ("warc-refers-to" in h) == (h["x-refers-to-page-id"] == "4")  # page 1 has the payload twice
+            assert "warc-refers-to" not in h or held[h["warc-refers-to"]]["x-page-id"] == "4"
     assert any(h["warc-type"] == "continuation" for h, _ in records)
     gone = next(h for h, _ in records if h.get("warc-segment-number") == "3")
     (tmp_path / "d").mkdir()
     kept = [warc.member("\r\n".join(["WARC/1.1", *(f"{k}: {v}" for k, v in h.items()), "", ""]).encode() + b + b"\r\n\r\n") for h, b in records if h is not gone and h["warc-record-id"] != gone["warc-record-id"]]
     (tmp_path / "d/part-0").write_bytes(b"".join(kept))
     assert warc.read_warc(spark, f"file://{tmp_path}/d").where("not valid").count() == 1
+    # revisits alone still name their response
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r/part-0").write_bytes(b"".join(m for w in whole for m in map(warc.member, w) if b"WARC-Type: revisit" in gzip.decompress(m)))
+    alone = warc.resolved(warc.read_warc(spark, f"file://{tmp_path}/r")).collect()
+    assert sorted((r.page_id or 0, r.refers_to) for r in alone) == [(0, 1), (2, 1), (2, 1), (3, 1), (5, 4)]
+    assert all(r.record_type == "revisit" and r.payload_bytes is None for r in alone)
+
+
+def test_warc_bounds_files_by_bytes(spark, tmp_path):
+    import glob
+    import os
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, None, "".join(rng.choices("abcdefghijklmnop", k=90_000))) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, f"file://{tmp_path}/w", segment=5000, archive_bytes=60_000)
+    sizes = [os.path.getsize(f) for f in glob.glob(f"{tmp_path}/w/part-*")]
+    assert len(sizes) > 5 and max(sizes) < 60_000 + 6000
+    assert warc.read_warc(spark, f"file://{tmp_path}/w").where("valid").count() == 12
 
 
 # ---- 2
 
 
+def spark_hash(seed_or_parts):
+    """Spark's xxhash64 of strings and integers, as an unsigned number: each part is the next seed's input."""
+    h = 42
+    for x in seed_or_parts:
+        if x is None:
+            continue
+        raw = x.encode() if isinstance(x, str) else x[0].to_bytes(x[1], "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def slow_order_minhash(t):
+    """Elements as (hash, place), renewed by occurrence; the two least of each of 64 bins, in text order, as one tuple."""
+    import regex
+
+    t = regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 ", t or "")
+    w = words(t)
+    grams = [w[i : i + 3] for i in range(len(w) - 2)] if len(w) >= 3 else [w] if w else []
+    seen, elements = Counter(), []
+    for i, g in enumerate(grams):
+        h = spark_hash(g) >> 31
+        n = seen[h]
+        seen[h] += 1
+        if n:
+            h = spark_hash([(h, 8), (n, 4)]) >> 31
+        elements.append((h, i))
+    bins = defaultdict(list)
+    for h, i in sorted(elements):
+        bins[h >> 27].append((h, i))
+    out = ""
+    for b in sorted(bins):
+        kept = sorted(bins[b][:2], key=lambda e: e[1])
+        out += f"{b << 16 | spark_hash([(h, 8) for h, _ in kept]) & 0xFFFF:06x}"
+    return out
+
+
+def slow_likeness(a, b):
+    x, y = ({v[i : i + 6] for i in range(0, len(v), 6)} for v in (a, b))
+    either = {e[:2] for e in x | y}
+    return len(x & y) / len(either) if either else 1.0
+
+
 def test_order_minhash(spark, given, awkward, given_rows):
-    for df, rows in both(spark, given, awkward, given_rows):
+    many = [(None if i % 3 else i, f"text {i % 17} " * (i % 5)) for i in range(300)]
+    for df, rows in (*both(spark, given, awkward, given_rows), (spark.createDataFrame(many, "doc_id long, text string"), many)):
         got = order_minhash.order_minhash(df).collect()
-        order = sorted(((-(2**63) if d is None else d, t or "", d) for d, t in rows), key=lambda x: x[:2])
+        order = sorted(((-(2**63) if d is None else d, signed(spark_hash([t or ""])), t or "", d) for d, t in rows), key=lambda x: x[:3])
         want = []
-        for i, (_, t, d) in enumerate(order):
-            half, nxt = len(t) // 2, order[(i + 1) % len(order)][1]
+        for i, (_, _, t, d) in enumerate(order):
+            half, nxt = len(t) // 2, order[(i + 1) % len(order)][2]
             e = t[: len(t) - half] + nxt[:half]
-            want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest()))
-        assert key(tuple(r)[:3] for r in got) == key(want)
-        by = {}
-        texts = defaultdict(set)
-        for d, t in rows:
-            texts[d].add(t or "")
-        for r in got:
-            assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
-            if len(texts[r.doc_id]) == 1:
-                t = next(iter(texts[r.doc_id]))
-                assert by.setdefault(t, r.fingerprint) == r.fingerprint
+            a, b, c = map(slow_order_minhash, (t, e, nxt))
+            want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, slow_likeness(a, b), slow_likeness(a, c)))
+        assert key(map(tuple, got)) == key(want)
     assert sum(r.near_edited for r in order_minhash.order_minhash(given).collect()) > 2 * sum(r.near_next for r in order_minhash.order_minhash(given).collect())
 
 
+def test_order_minhash_without_blanks(spark):
+    a = "日本語の文章は空白を使わないので一文字ずつ語として扱う必要がある" * 2
+    df = spark.createDataFrame([(a, a.replace("空白", "余白")), (a, a[::-1])], "x string, y string")
+    near = [r[0] for r in df.select(order_minhash.likeness(order_minhash.fingerprint(F.col("x")), order_minhash.fingerprint(F.col("y")))).collect()]
+    assert 0.5 < near[0] < 1 and near[1] < 0.3
+
+
 def test_order_counts(spark):
     a = " ".join(f"w{i}" for i in range(60))
     swapped = " ".join([*(f"w{i}" for i in range(30, 60)), *(f"w{i}" for i in range(30))])
@@ -475,7 +547,7 @@ def test_token_counts(spark, given, awkward, given_rows):
 def test_random_edits_equal_full_recounts():
     rng = random.Random(8)
     path = tokens.vocabulary_path()
-    bits = ["a", "don't", " ", "  ", "\n", "'s", "'", "é", "12", "!", "word ", " x", "\t ", "'re", "日本", "re", "l", "'l"]
+    bits = ["a", "don't", " ", "  ", "\n", "'s", "'", "é", "12", "!", "word ", " x", "\t ", "'re", "日本", "re", "l", "'l", "<|endoftext|>", "<|endof", "text|>", "<|", "\x1c"]
     for _ in range(60):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 400)))
         tree = token_counts.CountTree(text, path)
@@ -489,7 +561,11 @@ def test_random_edits_equal_full_recounts():
 
 
 def test_units_encode_like_whole_texts(given_rows):
-    odd = ["a  b", "  x", "\x1c\x1d a", "   y　z", "a\x85b", "  ", "x \n y", "don't 's  's", "<|endoftext|> a"]
+    odd = ["a  b", "  x", "\x1c\x1d a", "   y　z", "a\x85b", "  ", "x \n y", "don't 's  's", "<|endoftext|> a", "a <|endoftext|> b", "!!<|endoftext|>x  <|endoftext|>  ", "a\n\nb", "a\n\n\nb c\n", "\nb c", " a\nb", "a\u2028b c", "<|endoftext|><|endoftext"]
+    rng = random.Random(9)
+    bits = ["a", "don't", " ", "  ", "\n", "'s", "é", "12", "!", " x", "\t ", "日本", "\n\n", "\x85", "\xa0", "<|endoftext|>", "\u3000", "“q”"]
+    odd += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    odd += [" ".join(rng.choice(["ab", "c\nd", "e\n\nf", "\xe9t", "don't"]) for _ in range(9)) for _ in range(300)]
     texts = [t for _, t in given_rows] + [t for _, t in AWK] + odd
     for t, ids in zip(texts, tokens.encode(texts, tokens.vocabulary_path()), strict=True):
         assert ids == b"".join(i.to_bytes(4, "little") for i in real_ids(t)), t
@@ -498,14 +574,14 @@ def test_units_encode_like_whole_texts(given_rows):
 # ---- 7
 
 
-def slow_licenses(t):
+def slow_licenses(t, templates=licenses.TEMPLATES):
     cut = lambda s: [w for w in re.split(r"[\W_]+", s.lower()) if w]
     sh = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
     w = cut(t or "")
     out = []
-    for name, notice in licenses.TEMPLATES.items():
+    for name, notice in templates.items():
         own = sh(cut(notice))
-        scale = next(s for s in licenses.SCALES if s >= len(own) + 4)
+        scale = next(s for s in licenses.scales(templates) if s >= len(own) + 4)
         if any(len(own & sh(w[i : i + 2 * scale])) >= 0.8 * len(own) for i in range(0, max(1, len(w)), scale)):
             out.append(name)
     return ",".join(sorted(out))
@@ -519,6 +595,26 @@ def test_licenses(spark, given, awkward, given_rows):
     assert all(name in r.licenses.split(",") for r, name in zip(licenses.license_scan(every).orderBy("doc_id").collect(), licenses.TEMPLATES, strict=True))
 
 
+def test_license_templates_of_any_length(spark):
+    """Bounds of the docstring; templates longer than any window before; copies with a fifth of their words changed."""
+    steps = licenses.scales(licenses.TEMPLATES)
+    for notice in licenses.TEMPLATES.values():
+        n = licenses.words_of(notice)
+        assert licenses.missed(n, next(s for s in steps if s >= n)) < 1e-5
+    for n in range(5, 3000):
+        s = licenses.scales({"x": "w " * n})[0]
+        assert n <= s and licenses.missed(n, s) < 1e-5
+    templates = {"long": " ".join(f"term{i}" for i in range(400)), "short": "use of this is free to all"}
+    words = templates["long"].split()
+    near = " ".join("other" if i % 30 == 0 else w for i, w in enumerate(words))
+    texts = ["pre " * 700 + templates["long"] + " post" * 90, "x " * 33 + near, " ".join(words[:300]), "So, use of this is free to all."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.licenses for r in licenses.license_scan(df, templates).orderBy("doc_id").collect()]
+    assert got == [slow_licenses(t, templates) for t in texts] == ["long", "long", "", "short"]
+    with pytest.raises(ValueError):
+        licenses.license_scan(df, {"none": " ... "})
+
+
 # ---- tables without rows
 
 
