@@ -6,9 +6,9 @@ from a boundary that it cannot reach, splits and counts that region until old
 and new boundaries meet again, replaces the leaves, and updates the sums above.
 
 Why boundaries are safe: the pre-tokeniser's pattern reads left to right and
-looks at most two characters past a pre-token, so one that ends two characters
-before an edit is not touched; and once a boundary behind the edit coincides
-with an old one, the rest of the split repeats.
+looks at most two characters, or an added token, past a pre-token, so one that
+ends further before an edit is not touched; and once a boundary behind the edit
+coincides with an old one, the rest of the split repeats.
 
 Defined results: a null or empty text has no tokens; an edit beyond the end is
 cut to the text; edits apply one after another; a text is handled by itself, so
@@ -18,6 +18,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,24 +28,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .tokens import REMEMBER, tokenizer, vocabulary_path
+from .tokens import WS, added_tokens, counts, vocabulary_path
 
-# Fixed value: the pre-tokeniser pattern of the byte-level vocabulary.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-LEAF, REACH = 32, 2
+LEAF = 32
+#: Pre-tokens whose counts a worker remembers before it starts anew.
+REMEMBER = 800_000
 
 _known: dict[str, int] = {}
 
 
+@functools.cache
+def pretokens(path: str) -> tuple[regex.Pattern, int]:
+    """The pre-tokeniser's pattern, in which the strings of added tokens are units and end what is before them, and how far it looks ahead."""
+    added = sorted(added_tokens(path), key=len, reverse=True)
+    if any(regex.match(r"[\s\p{L}\p{N}']", a) for a in added):
+        raise ValueError("added tokens begin with a letter, digit, quote or blank")
+    special = "|".join(map(regex.escape, added)) or "(?!)"
+    # Fixed value: the pre-tokeniser pattern of the byte-level vocabulary, with added tokens.
+    pattern = rf"{special}|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{special})[^{WS}\p{{L}}\p{{N}}])+|[{WS}]+(?={special})|[{WS}]+(?![^{WS}])|[{WS}]+"
+    return regex.compile(pattern), 2 + max(map(len, added), default=0)
+
+
 def count_pretokens(parts: list[str], path: str) -> list[int]:
     fresh = list(set(parts).difference(_known))
-    if fresh:
-        t = tokenizer(path)
-        if len(_known) + len(fresh) > REMEMBER:
-            _known.clear()
-            fresh = list(set(parts))
-        for p, e in zip(fresh, t.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            _known[p] = len(e.ids)
+    if len(_known) + len(fresh) > REMEMBER:
+        _known.clear()
+        fresh = list(set(parts))
+    _known.update(zip(fresh, counts(fresh, path), strict=True))
     return [_known[p] for p in parts]
 
 
@@ -53,11 +63,12 @@ class CountTree:
 
     def __init__(self, text: str, path: str) -> None:
         self.text, self.path = text, path
+        self.pattern, self.reach = pretokens(path)
         self.encoded = 0  # characters counted so far
         self._build(*self._split(text))
 
     def _split(self, text: str) -> tuple[list[int], list[int]]:
-        parts = PRETOKEN.findall(text)
+        parts = self.pattern.findall(text)
         self.encoded += len(text)
         return [len(p) for p in parts], count_pretokens(parts, self.path)
 
@@ -102,11 +113,11 @@ class CountTree:
         start = min(max(start, 0), len(self.text))
         end = min(max(end, start), len(self.text))
         shift = len(new) - (end - start)
-        first, at = self._leaf_at(max(0, start - REACH))
+        first, at = self._leaf_at(max(0, start - self.reach))
         chars, tokens = self.leaves[first]
         kept = 0  # pre-tokens of the first leaf that the edit cannot reach
         where = at
-        while kept < len(chars) and where + chars[kept] + REACH <= start:
+        while kept < len(chars) and where + chars[kept] + self.reach <= start:
             where += chars[kept]
             kept += 1
         if kept == len(chars) and kept:  # the split before may end differently if more follows
@@ -122,7 +133,7 @@ class CountTree:
         made_c, made_t, parts, place = [], [], [], where
         met = None
         while met is None:
-            for m in PRETOKEN.finditer(text, place):
+            for m in self.pattern.finditer(text, place):
                 if m.start() >= start + len(new) and (m.start() in old or m.start() == stop):
                     met = m.start()
                     break
