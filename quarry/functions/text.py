@@ -67,20 +67,36 @@ def fix_lists(t: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, NUMBERED, "$1$2$3$4. "), NUMBER_GAP, "$1 ")
 
 
+def runs(items: Column, begins) -> Column:
+    """The array cut into runs: an item begins one if begins(item before, item); each item is copied once."""
+
+    def cut(x: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | begins(F.get(x, i - 1), F.get(x, i)))
+        return F.transform(F.array(at), lambda s: F.transform(s, lambda i, j: F.slice(x, i + 1, F.coalesce(F.get(s, j + 1), F.size(x)) - i)))[0]
+
+    return F.transform(F.array(items), lambda x: F.when(F.size(x) == 0, F.array().cast("array<array<string>>")).otherwise(cut(x)))[0]
+
+
 def join_paragraph_lines(t: Column) -> Column:
-    """Within a paragraph, a line joins the one before unless either is a block or that one ends a sentence."""
+    """Within a paragraph, a line joins the one before unless either is a block or that one ends a sentence.
+
+    Most lines show by themselves whether they join. Only a line of "#" or
+    number signs, or one that begins with "|", may make a block of those that
+    join it, so only runs that hold one are followed line by line.
+    """
     block = lambda x: x.rlike(r"^#{1,6}\s") | x.rlike(r"^\d+(?:\.\d+)*\s+[A-Z]") & ~x.endswith(".") & (F.length(x) < 80) | x.rlike(r"^\|.*\|$")
     item = lambda x: x.rlike(r"^(?:[-*•]|\d{1,4}[.)])\s+")
+    apart = lambda last, x: block(last) | block(x) | item(x) | last.rlike(r"[.?!:;-]$") | last.rlike(r'[.?!]"$')
+    opens = lambda x: x.rlike(r"^(?:#{1,6}|\d+(?:\.\d+)*)$|^\|")
+
+    def fold(made: Column, x: Column) -> Column:
+        last = F.element_at(made, -1)
+        return F.when(F.size(made) == 0, F.array(x)).when(block(last), F.concat(made, F.array(x))).otherwise(F.concat(F.slice(made, F.lit(1), F.size(made) - 1), F.array(F.concat_ws(" ", last, x))))
 
     def one(para: Column) -> Column:
         rows = F.filter(F.transform(F.split(para, "\n"), strip), lambda x: x != "")
-
-        def fold(made: Column, x: Column) -> Column:
-            last = F.element_at(made, -1)
-            apart = block(last) | block(x) | item(x) | last.rlike(r"[.?!:;-]$") | last.rlike(r'[.?!]"$')
-            return F.when(F.size(made) == 0, F.array(x)).when(apart, F.concat(made, F.array(x))).otherwise(F.concat(F.slice(made, F.lit(1), F.size(made) - 1), F.array(F.concat_ws(" ", last, x))))
-
-        return F.array_join(F.aggregate(rows, F.array().cast("array<string>"), fold), "\n")
+        joined = lambda r: F.when(F.exists(r, opens), F.array_join(F.aggregate(r, F.array().cast("array<string>"), fold), "\n")).otherwise(F.array_join(r, " "))
+        return F.array_join(F.transform(runs(rows, apart), joined), "\n")
 
     return F.array_join(F.filter(F.transform(F.split(t, "\n\n"), one), lambda x: x != ""), "\n\n")
 
@@ -139,12 +155,7 @@ def sentences(t: Column) -> Column:
     """Sentences; one that ends in an abbreviation or a number with a dot takes the next."""
     open_end = lambda s: F.lower(F.regexp_extract(s, f"([^{WS}]+)$", 1)).isin(*ABBREVIATIONS) | s.rlike(r"\b\d+\.$")
     parts = F.filter(F.transform(F.split(t, SENTENCE_BREAK), strip), lambda x: x != "")
-
-    def fold(made: Column, x: Column) -> Column:
-        last = F.element_at(made, -1)
-        return F.when((F.size(made) > 0) & open_end(last), F.concat(F.slice(made, F.lit(1), F.size(made) - 1), F.array(F.concat_ws(" ", last, x)))).otherwise(F.concat(made, F.array(x)))
-
-    return F.aggregate(parts, F.array().cast("array<string>"), fold)
+    return F.transform(runs(parts, lambda last, _: ~open_end(last)), lambda r: F.array_join(r, " "))
 
 
 def content_hash(t: Column) -> Column:

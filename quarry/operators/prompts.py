@@ -9,6 +9,35 @@ from ..functions.text import count_words, tok_prompt
 from .evaluation import INJECTIONS, anchors
 
 HEADROOM, WINDOW, GENERATION = 64, 4096, 1024
+#: Who answers, by archetype, what holds for every answer, and what each kind of answer is to be; deployments bring their own.
+PERSONAS = {
+    "equipment_lookup": "You look up equipment: give exact parameters, ratings and tags as the documents have them.",
+    "sop_retrieval": "You give operating procedures step by step, in the order of the documents.",
+    "maintenance": "You advise on maintenance: intervals, inspections, parts and recorded work.",
+    "safety_compliance": "You answer for safety: permits, isolation, gas tests, protective equipment and the standards that ask for them.",
+    "troubleshooting": "You trace faults to their causes and name the documented remedies.",
+    "comparison": "You compare: put the items side by side, property by property.",
+    "general_qa": "You answer questions from the documents at hand.",
+}
+DIRECTIVES = ("Use the context alone.", "Cite a source for each statement by its number in brackets.", "Say so where the documents are silent.", "Keep obligations as strong as their source has them.")
+DIRECTIVES_PART = "\n\nDIRECTIVES:\n" + "\n".join(f"- {d}" for d in DIRECTIVES)
+TEMPLATES = {
+    "equipment_lookup": "State each parameter with its unit and source.",
+    "specification": "Give the specification as a list of properties and values.",
+    "sop_retrieval": "Number the steps.",
+    "procedure": "Number the steps and name the checks between them.",
+    "maintenance": "Separate recorded, proposed and required actions.",
+    "safety_compliance": "Name each requirement with the standard that sets it.",
+    "troubleshooting": "List causes, signs and remedies.",
+    "comparison": "Answer with a table.",
+    "email": "Write subject, salutation, body and close.",
+    "approval_note": "Write purpose, background, proposal and approval.",
+    "summary": "Summarise in a few points.",
+    "report": "Write title, summary, sections and conclusion.",
+    "extraction": "List the fields that are asked for.",
+    "analysis": "Weigh the evidence, then conclude.",
+    "general_qa": "Answer first, then give the evidence.",
+}
 VERSION = "1"
 # Fixed value: lines that carry figures, limits or obligations.
 SALIENT = r"(?i)\d|must|shall|limit|warning|danger|caution|maximum|minimum|oisd|api|asme"
@@ -36,6 +65,22 @@ def citation_lines(citations: Column, style: str = "inline") -> Column:
     return F.array_join(F.transform(citations, lambda c: F.concat(c["anchor"], F.lit(" "), place(c))), "; " if style == "inline" else "\n")
 
 
+def system_prompt(archetype: Column, custom: Column | None = None, personas: dict[str, str] | None = None) -> Column:
+    """The persona of an archetype, or the general one, the directives, and instructions of one's own."""
+    personas = personas or PERSONAS
+    persona = F.coalesce(*[F.when(archetype == k, v) for k, v in personas.items()], F.lit(personas["general_qa"]))
+    own = F.when(F.trim(custom) != "", F.concat(F.lit("\n\nSPECIAL INSTRUCTIONS:\n"), F.trim(custom))) if custom is not None else F.lit(None).cast("string")
+    return F.concat(persona, F.lit(DIRECTIVES_PART), F.coalesce(own, F.lit("")))
+
+
+def template(archetype: Column, templates: dict[str, str] | None = None) -> Column:
+    """Struct of the name and instruction of an archetype's template, whatever its case; the general one if there is none."""
+    templates = templates or TEMPLATES
+    asked = F.lower(F.trim(archetype))
+    row = lambda k: F.struct(F.lit(k).alias("name"), F.lit(templates[k]).alias("instruction"))
+    return F.coalesce(*[F.when(asked == k, row(k)) for k in templates], row("general_qa"))
+
+
 def assembled(system: Column, context: Column, history: Column, query: Column) -> Column:
     part = lambda name, c: F.when(F.length(c) > 0, F.concat(F.lit(f"## {name}\n"), c))
     return F.concat_ws("\n\n", part("System", system), part("Context", context), part("History", history), part("Question", query))

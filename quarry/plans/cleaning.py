@@ -37,6 +37,10 @@ def s_tokens(t: str) -> str:
     return f"flatten(list_transform(regexp_extract_all({t}, {q('[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*')}), lambda x: CASE WHEN regexp_matches(x, '[-_]') THEN list_concat([lower(x)], regexp_split_to_array(lower(x), '[-_]+')) ELSE [lower(x)] END))"
 
 
+def s_hyphens(t: str) -> str:
+    return f"replace({sub(sub(t, chr(92) + 'b(' + tx.KEPT_PREFIX + ')' + tx.HYPHEN, '$1' + tx.HELD + '$2'), chr(92) + 'b([A-Za-z]{2,})' + tx.HYPHEN, '$1$2')}, {q(tx.HELD)}, '-')"
+
+
 def _cleaned(f) -> object:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return texts(spark, sf_dir).select("doc_id", f(F.col("text")).alias("cleaned"))
@@ -53,12 +57,38 @@ def _register(name: str, f, sql: str) -> None:
 _register("clean_encoding", tx.fix_encoding, s_encoding("text"))
 _register("clean_line_ends", tx.fix_line_ends, s_strip(sub(sub("text", "\r\n?", "\n"), "\n{3,}", "\n\n")))
 _register("clean_whitespace", tx.squeeze_lines, f"array_to_string(list_transform({s_lines('text')}, lambda x: {s_strip(sub('x', tx.HWS, ' '))}), chr(10))")
-_register("clean_hyphens", tx.join_hyphens, f"replace({sub(sub('text', chr(92) + 'b(' + tx.KEPT_PREFIX + ')' + tx.HYPHEN, '$1' + tx.HELD + '$2'), chr(92) + 'b([A-Za-z]{2,})' + tx.HYPHEN, '$1$2')}, {q(tx.HELD)}, '-')")
+_register("clean_hyphens", tx.join_hyphens, s_hyphens("text"))
 _register("clean_bullets", tx.fix_bullets, sub("text", tx.BULLET, "$1- "))
 _register("clean_lists", tx.fix_lists, sub(sub("text", tx.NUMBERED, "$1$2$3$4. "), tx.NUMBER_GAP, "$1 "))
 
 
-@query()
+def s_paragraphs(t: str) -> str:
+    """join_paragraph_lines as one fold over the text made so far, whose last line an item joins or not."""
+    block = lambda x: f"(regexp_matches({x}, '^#{{1,6}}\\s') OR regexp_matches({x}, '^\\d+(?:\\.\\d+)*\\s+[A-Z]') AND NOT suffix({x}, '.') AND length({x}) < 80 OR regexp_matches({x}, '^\\|.*\\|$'))"
+    last = "regexp_extract(made, '[^\\n]*$')"
+    apart = f"{block(last)} OR {block('x')} OR regexp_matches(x, '^(?:[-*•]|\\d{{1,4}}[.)])\\s+') OR regexp_matches({last}, '[.?!:;-]$') OR regexp_matches({last}, '[.?!]\"$')"
+    rows = f"list_filter(list_transform(string_split(p, chr(10)), lambda r: {s_strip('r')}), lambda r: r <> '')"
+    fold = f"CASE WHEN len({rows}) = 0 THEN '' ELSE list_reduce({rows}, lambda made, x: made || CASE WHEN {apart} THEN chr(10) ELSE ' ' END || x) END"
+    return f"array_to_string(list_filter(list_transform(string_split({t}, chr(10) || chr(10)), lambda p: {fold}), lambda p: p <> ''), chr(10) || chr(10))"
+
+
+def s_steps(*steps: str) -> str:
+    """CTEs k0, k1, ...: each step over the column t of the one before."""
+    return ", ".join(f"k{i} AS (SELECT doc_id, text, {step} AS t FROM {f'k{i - 1}' if i else 'texts'})" for i, step in enumerate(steps))
+
+
+CLEAN_STEPS = (
+    s_encoding("text"),
+    f"array_to_string(list_transform({s_lines('t')}, lambda x: {s_strip(sub('x', tx.HWS, ' '))}), chr(10))",
+    s_strip(sub(sub("t", "\r\n?", "\n"), "\n{3,}", "\n\n")),
+    s_paragraphs("t"),
+    s_hyphens("t"),
+    sub("t", tx.BULLET, "$1- "),
+    sub(sub("t", tx.NUMBERED, "$1$2$3$4. "), tx.NUMBER_GAP, "$1 "),
+)
+
+
+@query(f"WITH {TEXTS}, {s_steps(*CLEAN_STEPS)} SELECT doc_id, t AS cleaned, CAST(length(text) AS BIGINT) AS chars_before FROM k6")
 def clean_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text stages in order, and the characters before and after."""
     rows = texts(spark, sf_dir)
@@ -108,7 +138,11 @@ def _trimmed(split: str) -> str:
 
 _exploded("split_paragraphs", tx.paragraphs, _trimmed(f"regexp_split_to_array(text, {q(chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n')})"))
 _exploded("split_list_items", tx.list_items, _trimmed(s_lines("text")))
-_exploded("split_sentences", tx.sentences, "")
+# a break before a capital, digit, quote or bracket: RE2 looks neither back nor ahead, so a mark is put there first
+_MARKED = f"regexp_replace(regexp_replace(text, '([.?!])(\\s+)([A-Z0-9\"''(\\[])', '\\1' || chr(57345) || '\\3', 'g'), '([.?!])(\\s+)([A-Z0-9\"''(\\[])', '\\1' || chr(57345) || '\\3', 'g')"
+_OPEN = f"(list_contains({q(list(tx.ABBREVIATIONS))}, lower(regexp_extract(made, '([^{tx.WS}\\x{{e001}}]+)$', 1))) OR regexp_matches(made, '\\b\\d+\\.$'))"
+_PARTS = _trimmed(f"string_split({_MARKED}, chr(57345))")
+_exploded("split_sentences", tx.sentences, f"CASE WHEN len({_PARTS}) = 0 THEN []::VARCHAR[] ELSE string_split(list_reduce({_PARTS}, lambda made, x: made || CASE WHEN {_OPEN} THEN ' ' ELSE chr(57345) END || x), chr(57345)) END")
 
 
 def redacted_sql(t: str) -> str:

@@ -26,6 +26,7 @@ RAW = [
     (-7, "See fig. 3 for details. The pump (e.g. P-203) runs. It stops! \"Why?\" Asked 12. Then no. 5 came."),
     (-8, ""),
     (-9, "   "),
+    (-10, "#\nafter a sign\nmore\n7.1\nTitle here\nbody goes on\n8\nlower\n|a\nb|\nc\n| d\ne |\n\n|\nf\n\n9\nA heading with a number that goes on for far longer than eighty characters in all, as few do\nend"),
 ]
 SECRETS = [
     (1, "api_key = 'ABCDEFGHIJKLMNOP1234' and password: hunter22"),
