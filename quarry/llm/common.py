@@ -6,6 +6,7 @@ import functools
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,30 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[flat[f"_c{place[n]}"].alias(n) for n in names])
 
 
+def one_case(df: DataFrame) -> DataFrame:
+    """All columns but those whose name repeats another's, in any case; of such, one with a name that the first spelling of `documents` has, or else the first, stays."""
+    names = df.columns
+    held: dict[str, int] = {}
+    for i in sorted(range(len(names)), key=lambda i: (names[i] != names[i].lower(), i)):
+        held.setdefault(names[i].lower(), i)
+    keep = sorted(held.values())
+    return df if len(keep) == len(names) else by_place(df).select(*[f"_c{i}" for i in keep]).toDF(*[names[i] for i in keep])
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """The columns named _c0, _c1, ..., so that no name of theirs clashes with one that an operator adds."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
+def with_place(df: DataFrame, file: str, row: str) -> DataFrame:
+    """Adds where each row stands: its file and its number in it; of a table not read from Parquet, "" and a number that follows the order of rows."""
+    try:
+        about = df.metadataColumn("_metadata")
+        return df.select("*", about["file_path"].alias(file), about["row_index"].alias(row))
+    except AnalysisException:
+        return df.select("*", F.lit("").alias(file), F.monotonically_increasing_id().alias(row))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where none is set, one of our own in local mode, else one in the warehouse, which all executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -63,8 +88,8 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str, rows: int = 4096) -> DataFrame:
-    """Adds the long column `rank`: 0, 1, 2, ... within each value of keys, by order.
+def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str, rows: int = 4096, weight: str | None = None) -> DataFrame:
+    """Adds the long column `rank`: 0, 1, 2, ... within each value of keys, by order; or the sum of `weight` over the rows before.
 
     A key may hold most of all rows: rows are dealt into buckets by a hash of the
     order columns, numbered inside (key, bucket), and shifted by the rows of the
@@ -77,11 +102,12 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str, rows: in
     n = df.count()
     buckets = max(1, -(-n // rows))
     df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = df.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    counts = df.groupBy(*keys, "_b").agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     shift = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
     inside = W.partitionBy(*keys, "_b").orderBy(*order)
-    numbered = df.withColumn("_r", F.row_number().over(inside) - 1)
+    earlier = inside.rowsBetween(W.unboundedPreceding, -1)
+    numbered = df.withColumn("_r", F.coalesce(F.sum(weight).over(earlier), F.lit(0)) if weight else F.row_number().over(inside) - 1)
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")]
     return numbered.join(shift, on, "left").withColumn(rank, F.col("_r").cast("long") + F.col("_s")).drop("_b", "_kb", "_r", "_s", *[f"_k{i}" for i in range(len(keys))])
 

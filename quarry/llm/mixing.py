@@ -30,6 +30,8 @@ from .common import ranked
 
 BLOCK = 64
 POOL = "*"
+#: The columns that mix adds.
+ADDED = ("mix_stream", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
 
 
 def windows(weights: list[int], left: list[int]) -> list[tuple[int, int, int, int]]:
@@ -68,11 +70,14 @@ def schedule(weights: list[int], blocks: list[int]) -> tuple[list[int], list[tup
     return starts, rows
 
 
-def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int = BLOCK, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int = BLOCK, carry: bool = False, size: str | None = None) -> DataFrame:
     """Adds mix_stream, mix_block, mix_release, mix_deadline, mix_slot (slots of whole blocks) and mix_place (in the block).
 
     weights: positive whole numbers; default: that of the pool. carry: keeps all
-    columns of docs; otherwise doc_id and source alone.
+    columns of docs; otherwise doc_id and source alone. Blocks have `block`
+    documents or, where size names a column, as much of it: a document is of the
+    block in which it begins, and slots that one covers whole have no other. A
+    size that is null or below one counts as one.
     """
     if min([default, *weights.values()]) < 1:
         raise ValueError("weights are positive whole numbers")
@@ -94,11 +99,12 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int =
     number: Column = F.lit(len(streams) - 1)
     for i, s in enumerate(streams[:-1]):
         number = F.when(flat[source] == s, i).otherwise(number)
-    flat = flat.select(*kept, number.alias("_stream"))
+    measured = F.greatest(flat[f"_c{docs.columns.index(size)}"].cast("long"), F.lit(1)) if size else F.lit(1)
+    flat = flat.select(*kept, number.alias("_stream"), F.coalesce(measured, F.lit(1)).cast("long").alias("_size"))
     order = [c for c in kept if c == doc_id] + [c for c in kept if c != doc_id]
-    rows = ranked(flat, ["_stream"], order, "_rank")
+    rows = ranked(flat, ["_stream"], order, "_rank", weight="_size" if size else None)
 
-    counts = {s: n for s, n in flat.groupBy("_stream").count().collect()}  # a row for each stream at most
+    counts = {s: n for s, n in flat.groupBy("_stream").agg(F.sum("_size")).collect()}  # a row for each stream at most
     blocks = [-(-counts.get(i, 0) // block) for i in range(len(streams))]
     starts, table = schedule(w, blocks)
     plan = spark.createDataFrame(table or [(-1, 0, 0, 0, 0, 0)], "_kind int, _s int, _j long, _release long, _deadline long, _slot long")
@@ -109,5 +115,5 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int =
     begun = sum((F.least(F.lit(n), F.col("_round") * v) for n, v in zip(blocks, w, strict=True)), F.lit(0).cast("long"))
     joined = rows.join(F.broadcast(plan), (F.col("_at") == F.col("_kind")) & (F.col("_stream") == F.col("_s")) & (F.col("_local") == F.col("_j")))
     label = F.element_at(F.array(*[F.lit(s) for s in streams]), F.col("_stream") + 1)
-    added = [label.alias("mix_stream"), F.col("_block").alias("mix_block"), (begun + F.col("_release")).alias("mix_release"), (begun + F.col("_deadline")).alias("mix_deadline"), (begun + F.col("_slot")).alias("mix_slot"), (F.col("_rank") % block).alias("mix_place")]
-    return joined.select(*[F.col(k).alias(c) for k, c in zip(kept, names, strict=True)], *added)
+    added = [label, F.col("_block"), begun + F.col("_release"), begun + F.col("_deadline"), begun + F.col("_slot"), F.col("_rank") % block]
+    return joined.select(*kept, *[c.alias(f"_added{i}") for i, c in enumerate(added)]).toDF(*names, *ADDED)

@@ -8,6 +8,11 @@ what is left, many equal sequences at a time. The plan says which ranks among
 the pieces of one length go to which sequences, and each piece finds its place
 by its length and rank.
 
+Where documents come in an order that training is to keep, such as a mixture's,
+pack_in_order does the same in windows of that order: a task packs the pieces of
+one window, gives those of equal length out in order, and numbers sequences by
+the first document they hold.
+
 Defined results: a null or empty text is the single id 0; equal rows are packed
 one by one; a null doc_id stays null; further columns are ignored; an empty
 table gives an empty result.
@@ -21,6 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from .common import pick, ranked, written
 from .tokens import encode, vocabulary_path
@@ -28,12 +35,19 @@ from .tokens import encode, vocabulary_path
 CAPACITY = 2048
 #: Texts that are encoded together.
 TOGETHER = 256
+#: Documents in a window of pack_in_order.
+WINDOW = 8192
+
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 Group = tuple[int, list[tuple[int, int]]]  # sequences, and (length, how many) in each
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece; a long text's first piece takes what does not fill one."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, placed: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece; a long text's first piece takes what does not fill one.
+
+    placed: and file, row of its document, where docs has such columns.
+    """
     path = path or vocabulary_path()
     end = (0).to_bytes(4, "little")
 
@@ -42,15 +56,17 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
             for lo in range(0, b.num_rows, TOGETHER):
                 rows = []
                 part = b.slice(lo, TOGETHER)
-                for d, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), path), strict=True):
+                for j, ids in enumerate(encode(part.column(1).to_pylist(), path)):
                     ids += end
                     n = len(ids) // 4
                     edges = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
-                    rows += [(d, i, a, z - a, zlib.crc32(ids[4 * a : 4 * z])) for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False))]
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows += [(j, i, a, z - a, zlib.crc32(ids[4 * a : 4 * z])) for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False))]
+                own, *told = zip(*rows, strict=True)
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                about = [part.column(c).take(pa.array(own)) for c in (0, *range(2, part.num_columns))]
+                yield pa.RecordBatch.from_arrays([about[0], *[pa.array(c, t) for c, t in zip(told, types, strict=True)], *about[1:]], names=["doc_id", "piece", "start", "length", "ids_crc32", *["file", "row"][: len(about) - 1]])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return pick(docs, "doc_id", "text", *["file", "row"] * placed).mapInArrow(run, PIECE + ", file string, row long" * placed)
 
 
 def _others(count: list[int], j: int, room: int) -> list[int]:
@@ -195,3 +211,41 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece with its place."""
     return pack(written(pieces(docs, path, capacity), "pieces"), capacity)
+
+
+def _window(table: pa.Table, capacity: int) -> pa.Table:
+    """The pieces of one window with their sequence, numbered from 0 by the first place it holds, and offset."""
+    length, place, piece = (table[c].to_numpy().astype(np.int64) for c in ("length", "place", "piece"))
+    order = np.lexsort((piece, place))
+    table, length = table.take(pa.array(order)), length[order]
+    by_length = np.argsort(length, kind="stable")
+    count = np.bincount(length, minlength=capacity + 1)
+    rank = np.empty(len(length), np.int64)
+    rank[by_length] = np.arange(len(length)) - np.repeat(np.cumsum(count) - count, count)
+    key, k, first, base, size = plan(count.tolist(), capacity)
+    at = np.searchsorted(key, length << 40 | rank, "right") - 1
+    inside = (length << 40 | rank) - key[at]
+    _, begins, sequence = np.unique(first[at] + inside // k[at], return_index=True, return_inverse=True)
+    number = np.empty(len(begins), np.int64)
+    number[np.argsort(begins, kind="stable")] = np.arange(len(begins))
+    return table.append_column("sequence_id", pa.array(number[sequence])).append_column("offset", pa.array(base[at] + inside % k[at] * size[at]))
+
+
+def pack_in_order(cut: DataFrame, capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
+    """Adds sequence_id and offset to pieces with columns file and row, which it drops; sequences are numbered from 0 in the order of windows.
+
+    Files follow each other by the number that Spark gives them, then by name. A
+    row for each file and one for each window is ordered in one task, as few as
+    these are; the pieces of a window, and no more, meet in one.
+    """
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).try_cast("long")
+    before = W.orderBy(number("part-([0-9]+)"), number("-c([0-9]+)[^/]*$"), "file").rowsBetween(W.unboundedPreceding, -1)
+    files = cut.groupBy("file").agg((F.max("row") + 1).alias("n")).select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_begin"))
+    placed = cut.join(files, cut["file"] == files["_file"]).withColumn("place", F.col("_begin") + F.col("row"))
+    names = [x.split()[0] for x in PIECE.split(", ")]
+    placed = placed.select(*names, "place", F.floor(F.col("place") / window).alias("window"))
+    packed = written(placed.groupBy("window").applyInArrow(lambda t: _window(t, capacity), f"{PIECE}, place long, window long, sequence_id long, offset long"), "windows")
+    held = packed.groupBy("window").agg((F.max("sequence_id") + 1).alias("n"))
+    earlier = W.orderBy("window").rowsBetween(W.unboundedPreceding, -1)
+    begins = held.select(F.col("window").alias("_w"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_s"))
+    return packed.join(begins, packed["window"] == begins["_w"]).select(*names, (F.col("_s") + F.col("sequence_id")).alias("sequence_id"), "offset")

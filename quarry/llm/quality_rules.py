@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import pick
 
@@ -117,12 +118,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows whose text passes, unchanged, with all their columns."""
-    from pyspark.sql import functions as F
+def good(text: Column) -> Column:
+    """Whether a text passes."""
 
     @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
+    def passes(texts: pd.Series) -> pd.Series:
         return pd.Series([measure(t if isinstance(t, str) else None)[6] for t in texts], dtype=bool)
 
-    return docs.where(good(docs["text"]))
+    return passes(text)
