@@ -142,7 +142,8 @@ _exploded("split_list_items", tx.list_items, _trimmed(s_lines("text")))
 _MARKED = f"regexp_replace(regexp_replace(text, '([.?!])(\\s+)([A-Z0-9\"''(\\[])', '\\1' || chr(57345) || '\\3', 'g'), '([.?!])(\\s+)([A-Z0-9\"''(\\[])', '\\1' || chr(57345) || '\\3', 'g')"
 _OPEN = f"(list_contains({q(list(tx.ABBREVIATIONS))}, lower(regexp_extract(made, '([^{tx.WS}\\x{{e001}}]+)$', 1))) OR regexp_matches(made, '\\b\\d+\\.$'))"
 _PARTS = _trimmed(f"string_split({_MARKED}, chr(57345))")
-_exploded("split_sentences", tx.sentences, f"CASE WHEN len({_PARTS}) = 0 THEN []::VARCHAR[] ELSE string_split(list_reduce({_PARTS}, lambda made, x: made || CASE WHEN {_OPEN} THEN ' ' ELSE chr(57345) END || x), chr(57345)) END")
+S_SENTENCES = f"CASE WHEN len({_PARTS}) = 0 THEN []::VARCHAR[] ELSE string_split(list_reduce({_PARTS}, lambda made, x: made || CASE WHEN {_OPEN} THEN ' ' ELSE chr(57345) END || x), chr(57345)) END"
+_exploded("split_sentences", tx.sentences, S_SENTENCES)
 
 
 def redacted_sql(t: str) -> str:

@@ -138,10 +138,8 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score,
 
 
 def bm25_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    hits = lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 4 * k)
-    # ranked again by the rounded score, so that the order of summing cannot decide a tie
-    rounded = hits.drop("rank").withColumn("score", F.round("score", 6))
-    return lexical.top_k(rounded, "item_id", "score", "doc_id", k)
+    # ranked by the rounded score, so that the order of summing cannot decide a tie
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", k, 6)
 
 
 @query(f"WITH {SEARCH} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank < 10")

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vectors import upsert
 
 
-def write_index(rows: DataFrame, path: str, by: str = "collection") -> None:
-    """A Parquet table with a folder for each collection, so that a reader of one prunes the others."""
-    rows.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quarry-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the folder in spark.checkpoint.dir; where none is set, one of our own in local mode, else one in the warehouse."""
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    path = spark.conf.get("spark.checkpoint.dir", None) or (_own_dir() if local else spark.conf.get("spark.sql.warehouse.dir") + "/_quarry")
+    return f"{path.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def write_index(rows: DataFrame, path: str, by: str = "collection", parts: int = 32) -> None:
+    """A Parquet table with a folder for each collection, so that a reader of one prunes the others; a large one is written by `parts` tasks."""
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != by]), F.lit(parts))
+    rows.repartition(F.col(by), salt).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def merge(spark: SparkSession, path: str, version: int, incoming: DataFrame, key: str) -> str:
