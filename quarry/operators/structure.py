@@ -122,7 +122,39 @@ def lists(text: str, target: int = TARGET, most: int = MOST) -> list[str]:
     return out
 
 
-STRATEGIES: dict[str, Callable[[str], list[str]]] = {"recursive": recursive, "section": lambda t: section([], t), "list": lists}
+def sections(text: str, target: int = TARGET, most: int = MOST) -> list[str]:
+    """Each section of a Markdown text, packed under the titles that lead to it; what is before the first heading has none."""
+    out: list[str] = []
+    path: list[tuple[int, str]] = []
+    held: list[str] = []
+    for line in [*text.split("\n"), None]:
+        heading = line is not None and re.match(r"^(#{1,6})\s+(.*)$", line.strip())
+        if line is None or heading:
+            out += section([t for _, t in path], "\n".join(held), target, most)
+            held = []
+        if heading:
+            level = len(heading[1])
+            path = [(n, t) for n, t in path if n < level] + [(level, heading[2])]
+        elif line is not None:
+            held.append(line)
+    return out
+
+
+def tables(text: str, target: int = TARGET, most: int = MOST) -> list[str]:
+    """The pipe tables of a text, each whole or in parts under its header."""
+    out: list[str] = []
+    held: list[str] = []
+    for line in [*text.split("\n"), ""]:
+        if re.match(r"^\|.*\|$", line.strip()):
+            held.append(line.strip())
+        elif held:
+            if len(held) >= 2:
+                out += table(held, "", target, most)
+            held = []
+    return out
+
+
+STRATEGIES: dict[str, Callable[[str], list[str]]] = {"recursive": recursive, "section": sections, "list": lists, "table": tables}
 
 
 def register_strategy(name: str, split: Callable[[str], list[str]]) -> None:

@@ -147,6 +147,20 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
+def point(points: DataFrame, key_value: object, key: str) -> DataFrame:
+    """The point of one key, if there is one; the filter reaches the scan."""
+    return points.where(F.col(key) == key_value)
+
+
+def find_by_equipment(points: DataFrame, tag: str, key: str, limit: int = 20) -> DataFrame:
+    """The first `limit` points, by key, that name a tag."""
+    return points.where(F.array_contains("equipment", tag)).orderBy(key).limit(limit)
+
+
+def find_by_document(points: DataFrame, document: str, key: str, limit: int = 100) -> DataFrame:
+    return points.where(F.col("document") == document).orderBy(key).limit(limit)
+
+
 def route(standards: Column, category: Column, name: Column) -> Column:
     """The collection of a chunk: the first rule that holds."""
     text = F.lower(F.concat_ws(" ", F.coalesce(category, F.lit("")), F.coalesce(name, F.lit(""))))

@@ -105,13 +105,20 @@ ARTIFACT = s_case([(s_match("a", p), q(name)) for name, p in it.FILES.items()])
 BY_KIND = f"CASE WHEN made AND NOT picture THEN {{0}} WHEN made THEN {{1}} WHEN email THEN {{2}} ELSE {{3}} END"
 
 
-@query(
-    f"""WITH {ALL}, n AS (SELECT id, {SQUEEZED} AS t, {ASCII.format(SQUEEZED)} AS a, lower({SQUEEZED}) AS low FROM requests), {TOPIC_STEPS},
-k AS (SELECT *, {ARTIFACT} AS artifact, {s_in("low", it.EMAIL)} AS email FROM s{LAST}), m AS (SELECT *, artifact IS NOT NULL AS made, coalesce(artifact = 'png', false) AS picture FROM k)
+def s_tasks(source: str) -> str:
+    """CTEs that end in `tasks`: what each row (id, text) of source asks for."""
+    return f"""n AS (SELECT id, {SQUEEZED} AS t, {ASCII.format(SQUEEZED)} AS a, lower({SQUEEZED}) AS low FROM {source}), {TOPIC_STEPS},
+tk AS (SELECT *, {ARTIFACT} AS artifact, {s_in("low", it.EMAIL)} AS email FROM s{LAST}), tm AS (SELECT *, artifact IS NOT NULL AS made, coalesce(artifact = 'png', false) AS picture FROM tk), tasks AS (
 SELECT id, {BY_KIND.format("'generate_document'", "'generate_image'", s_pick(it.EMAIL_PURPOSES, 1), s_pick(it.TEXTS, 1))} AS operation, {BY_KIND.format("'artifact'", "'image'", "'email'", s_pick(it.TEXTS, 2))} AS output_format,
 CASE WHEN email AND NOT made THEN {s_pick(it.EMAIL_PURPOSES, 2)} ELSE 'none' END AS email_purpose, CASE WHEN email AND NOT picture THEN {s_recipient()} END AS recipient, {S_TOPIC} AS topic, array_to_string({S_TAGS}, ',') AS entities,
-{s_match("a", it.STRICT)} AS strict, {BY_KIND.format(s_pick(it.DOCUMENTS, 1), "'general_qa'", "'email'", s_pick(it.TEXTS, 3))} AS archetype, artifact FROM m"""
-)
+{s_match("a", it.STRICT)} AS strict, {BY_KIND.format(s_pick(it.DOCUMENTS, 1), "'general_qa'", "'email'", s_pick(it.TEXTS, 3))} AS archetype, artifact FROM tm)"""
+
+
+#: The tasks of the questions in `pairs`, for answer_alignment.
+EMAIL_TASK = "questions AS (SELECT id, question AS text FROM pairs), " + s_tasks("questions") + ", mails AS (SELECT * FROM tasks)"
+
+
+@query(f"WITH {ALL}, {s_tasks('requests')} SELECT * FROM tasks")
 def task_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = requests(spark, sf_dir).select("id", it.task(F.col("text")).alias("x")).select("id", "x.*")
     return rows.withColumn("entities", F.array_join("entities", ","))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import cleaning, collection, drawing, hybrid, metadata, modality, quality, requests, retrieval, review, structure  # noqa: F401  each registers its queries
+from .plans import answers, cleaning, collection, drawing, hybrid, metadata, modality, quality, requests, retrieval, review, structure  # noqa: F401  each registers its queries
 from .plans.oracles import ORACLES
 from .plans.registry import QUERIES
 
