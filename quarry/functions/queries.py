@@ -89,6 +89,10 @@ TAG = r"(?i)\b([A-Z]{1,4})[-_]?([0-9]{2,4}[A-Z]?)\b"
 STANDARD = r"(?i)\b(OISD(?:[-_\s]?(?:STD|RP|GDN))?[-_\s]?[0-9]{2,3}|API[-_\s]?[0-9]{2,4}|ASME[-_\s]?[A-Z0-9\.]+|PNGRB[-_\s]?[A-Z0-9\.]+|ISO[-_\s]?[0-9]{4,5})\b"
 PLANT_UNIT = r"(?i)\b(CDU[-_\s]?[12]?|VDU[-_\s]?[12]?|DCU|NHT|CCR|FCCU|HGU|DHDS|SRU|OM&S|ISOM|MS[-_\s]?BLOCK|CPP)\b"
 PRESSURE = r"(?i)(\b[0-9]+(?:\.[0-9]+)?)\s*(bar|kg/cm2|kg/cm²|psi|mpa|kpa)\b"
+TEMPERATURE = r"(?i)\b([0-9]+(?:\.[0-9]+)?)\s*(?:°|deg|degrees)?\s*([CFK])\b"
+LINE_NUMBER = r"(?i)\b(?:\d+\"?-)?(?:LINE|L)[-_][0-9]{2,4}[-_][A-Z0-9-]+\b"
+DATE = r"(?i)\b(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*[-_\s]?\d{1,2}[,/-]?\s*\d{2,4}|\d{4})\b"
+PERSON = r"(?i)\b(?:eng(?:ineer)?\.?|approved by|inspected by|operator|technician)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b"
 REVISION = r"(?i)\b(?:Rev(?:ision)?\.?|R)[-_\s]?([0-9]{1,3}|[A-Z])\b"
 PAGE_REF = r"(?i)\b(?:page|pg\.?|p\.)\s*([0-9]{1,4})\b"
 SECTION_REF = r"(?i)\b(?:section|sec\.?|clause)\s*([0-9]+(?:\.[0-9]+)*)\b"
@@ -156,6 +160,10 @@ def entities(t: Column) -> Column:
         ordered(F.transform(_all(t, PLANT_UNIT), lambda x: F.replace(F.upper(x), F.lit(" "), F.lit("-")))).alias("plant_units"),
         ordered(F.transform(_all(t, STANDARD), lambda x: F.upper(F.regexp_replace(x, r"[-_\s]+", "-")))).alias("standards"),
         ordered(F.transform(_all(t, PRESSURE), lambda x: F.concat_ws(" ", F.regexp_extract(x, PRESSURE, 1), F.lower(F.regexp_extract(x, PRESSURE, 2))))).alias("pressure_values"),
+        ordered(F.transform(_all(t, TEMPERATURE), lambda x: F.concat(F.regexp_extract(x, TEMPERATURE, 1), F.lit(" °"), F.upper(F.regexp_extract(x, TEMPERATURE, 2))))).alias("temperature_values"),
+        ordered(F.transform(_all(t, LINE_NUMBER), F.upper)).alias("line_numbers"),
+        ordered(_all(t, DATE)).alias("dates"),
+        ordered(_all(t, PERSON, 1)).alias("engineer_names"),
         ordered(_all(t, REVISION, 1)).alias("revision_numbers"),
         ordered(_all(t, SECTION_REF, 1)).alias("section_references"),
         ordered(_all(t, PAGE_REF, 1)).alias("page_references"),

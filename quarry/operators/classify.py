@@ -19,8 +19,9 @@ EXTENSIONS = {"Engineering Drawing": (".dwg", ".dxf"), "Email": (".eml", ".msg")
 SAMPLE, LEAST = 3000, 20
 
 
-def scores(path: Column, text: Column) -> dict[str, Column]:
-    """Score of each category: folders 30, file name 25, content 15 a signature up to 45, extension 50."""
+def scores(path: Column, text: Column, known: Column | None = None) -> dict[str, Column]:
+    """Score of each category: a category known before 40, folders 30, file name 25, content 15 a signature up to 45, extension 50."""
+    before = F.regexp_replace(F.lower(known), "[ -]", "_") if known is not None else F.lit(None).cast("string")
     low = F.lower(path)
     folders, name = F.regexp_replace(low, "[^/]*$", ""), F.regexp_extract(low, "([^/]*)$", 1)
     sample = F.lower(F.substring(text, 1, SAMPLE))
@@ -28,13 +29,14 @@ def scores(path: Column, text: Column) -> dict[str, Column]:
     for category, (words, names, signatures) in RULES.items():
         folder = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(folders, w))
         content = sum((sample.rlike(p).cast("int") for p in signatures), F.lit(0))
-        out[category] = F.when(folder, 30).otherwise(0) + F.when(name.rlike("|".join(names)), 25).otherwise(0) + F.least(content * 15, F.lit(45)) + F.when(name.rlike("|".join(f"\\{e}$" for e in EXTENSIONS[category])) if category in EXTENSIONS else F.lit(False), 50).otherwise(0)
+        told = F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(before, w)), F.lit(False))
+        out[category] = F.when(told, 40).otherwise(0) + F.when(folder, 30).otherwise(0) + F.when(name.rlike("|".join(names)), 25).otherwise(0) + F.least(content * 15, F.lit(45)) + F.when(name.rlike("|".join(f"\\{e}$" for e in EXTENSIONS[category])) if category in EXTENSIONS else F.lit(False), 50).otherwise(0)
     return out
 
 
-def classified(path: Column, text: Column) -> Column:
+def classified(path: Column, text: Column, known: Column | None = None) -> Column:
     """Struct of category and confidence; the first of equal scores wins, and 20 are needed."""
-    ranked = F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (c, s) in enumerate(scores(path, text).items())])
+    ranked = F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (c, s) in enumerate(scores(path, text, known).items())])
     best = F.array_max(ranked)
     sure = best["s"] >= LEAST
     confidence = F.round(F.least(0.5 + best["s"] / 150 * 0.49, F.lit(0.99)), 2)

@@ -71,6 +71,24 @@ def planned_filter(entities: Column) -> Column:
     return by_tag & by_unit & by_page
 
 
+def filtered_counts(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, n_chunks, first_chunk for queries (query_id, e) by planned_filter.
+
+    A query meets chunks by one key that both have, its tags, or its unit, or its
+    page; one without any has all chunks, which are counted once.
+    """
+    tags, units, pages = F.col("e.equipment_tags"), F.col("e.plant_units"), F.col("e.page_references")
+    key = lambda kind, v: F.concat(F.lit(f"{kind}:"), v.cast("string"))
+    wanted = F.when(F.size(tags) > 0, F.transform(tags, lambda t: key("t", t))).when(F.size(units) > 0, F.array(key("u", units[0]))).when(F.size(pages) > 0, F.array(key("p", pages[0].cast("int"))))
+    asked = queries.select("query_id", "e", F.explode(wanted).alias("_key"))
+    own = F.concat(F.transform(F.array_distinct("equipment"), lambda t: key("t", t)), F.array(key("u", F.col("plant_unit")), key("p", F.col("page"))))
+    keyed = chunks.select("chunk_id", "equipment", "plant_unit", "page", F.explode(F.array_compact(own)).alias("_key"))
+    met = asked.join(keyed, "_key").where(planned_filter(F.col("e"))).groupBy("query_id").agg(F.countDistinct("chunk_id").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
+    every = chunks.agg(F.count("chunk_id").alias("_n"), F.min("chunk_id").alias("_first"))
+    rows = queries.select("query_id", wanted.isNull().alias("_all")).join(met, "query_id", "left").crossJoin(every)  # one row
+    return rows.select("query_id", F.when(F.col("_all"), F.col("_n")).otherwise(F.coalesce("n_chunks", F.lit(0))).alias("n_chunks"), F.when(F.col("_all"), F.col("_first")).otherwise(F.col("first_chunk")).alias("first_chunk"))
+
+
 # K, neighbours, weights and context tokens by intent; the last row is for all others.
 ADAPTIVE = [("equipment_lookup", 5, 1, 0.3, 0.7, 2500), ("safety_lookup", 15, 2, 0.5, 0.5, 4000), ("maintenance_lookup", 15, 2, 0.4, 0.6, 3500), ("specification_lookup", 8, 1, 0.4, 0.6, 2500), ("table_lookup", 8, 2, 0.3, 0.7, 3500), ("troubleshooting", 30, 3, 0.6, 0.4, 6000), ("comparison", 20, 2, 0.6, 0.4, 4500), (None, 10, 1, 0.6, 0.4, 3000)]
 

@@ -182,18 +182,18 @@ def labelled_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "quality")
 
 
-@query(f"WITH {fixtures.cte('fx_chunks')} SELECT document_id, count(*) AS n, sum(length(content) + 2) AS chars FROM fx_chunks GROUP BY document_id")
+@query(f"WITH {fixtures.CHUNK_ROWS} SELECT document_id, count(*) AS n, CAST(sum(length(content) + 2) AS BIGINT) AS chars FROM chunk_rows GROUP BY document_id")
 def page_map_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, "fx_chunks").groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("content") + 2).cast("decimal(38,0)").alias("chars"))
+    return fixtures.chunk_rows(spark, sf_dir).groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("content") + 2).alias("chars"))
 
 
 @query(
-    f"""WITH {fixtures.cte("fx_chunks")} SELECT chunk_id, CAST(coalesce(sum(length(content) + 2) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start,
-CAST(sum(length(content) + 2) OVER (PARTITION BY document_id ORDER BY chunk_index) - 2 AS BIGINT) AS char_end FROM fx_chunks"""
+    f"""WITH {fixtures.CHUNK_ROWS} SELECT chunk_id, CAST(coalesce(sum(length(content) + 2) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start,
+CAST(sum(length(content) + 2) OVER (PARTITION BY document_id ORDER BY chunk_index) - 2 AS BIGINT) AS char_end FROM chunk_rows"""
 )
 def citation_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     w = W.partitionBy("document_id").orderBy("chunk_index")
     size = F.length("content") + 2
-    return fixtures.table(spark, "fx_chunks").select("chunk_id", F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("char_start"), (F.sum(size).over(w) - 2).cast("long").alias("char_end"))
+    return fixtures.chunk_rows(spark, sf_dir).select("chunk_id", F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("char_start"), (F.sum(size).over(w) - 2).cast("long").alias("char_end"))

@@ -14,6 +14,8 @@ QUERIES = [
     (7, "work order template for valve overhaul"),
     (8, "hello world"),
     (9, ""),
+    (11, "inspected by Anna Berg on 12/05/2024 at 80 degrees C, approved by john; line L-101-AB at 45°F since Jan 5, 2023"),
+    (12, '6"-LINE-204-CS and engineer Max Muster, 2021-3-4 or 1999'),
     (10, "oisd-std-105 fire safety steps for V-102A, 10kg/cm2 and 1500rpm"),
 ]
 RAW = [
@@ -95,3 +97,24 @@ def cte(*names: str) -> str:
         values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
         out.append(f"{name} AS (SELECT {casts} FROM (VALUES {values}) AS v({', '.join(f'c{i}' for i in range(len(columns)))}))")
     return ",\n".join(out)
+
+
+# every document as a chunk of its source, beside the inline chunks
+CATEGORIES = ("manuals", "safety", "maintenance", "emails", "templates", "inspection")
+_CATEGORY = f"{literal(list(CATEGORIES))}[doc_id % 6 + 1]"
+CHUNK_ROWS = f"""{cte("fx_chunks")}, chunk_rows AS (SELECT * FROM fx_chunks UNION ALL SELECT 'x' || doc_id, source, source || '_' || {_CATEGORY} || '.pdf', {_CATEGORY} || '/' || source, CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id % 50 AS INTEGER) END, lang, text, CAST(doc_id AS INTEGER), {_CATEGORY}, CASE doc_id % 4 WHEN 0 THEN 'CDU-1' WHEN 1 THEN 'VDU-1' END,
+regexp_extract_all(text, '\\b([A-Z]{{1,4}}-\\d{{2,4}}[A-Z]?)\\b', 1), regexp_extract_all(text, '\\b((?:OISD|API|ASME)-\\d{{2,4}})\\b', 1), (doc_id % 97) / 97.0::DOUBLE FROM documents)"""
+
+
+def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    d = F.col("doc_id")
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (d % 6 + 1).cast("int"))
+    named = lambda p: F.regexp_extract_all("text", F.lit(p), 1)
+    columns = (
+        F.concat(F.lit("x"), d), F.col("source"), F.concat("source", F.lit("_"), category, F.lit(".pdf")), F.concat(category, F.lit("/"), "source"), F.when(d % 5 > 0, (d % 50).cast("int")), F.col("lang"), F.col("text"), d.cast("int"), category,
+        F.when(d % 4 == 0, "CDU-1").when(d % 4 == 1, "VDU-1"), named(r"\b([A-Z]{1,4}-\d{2,4}[A-Z]?)\b"), named(r"\b((?:OISD|API|ASME)-\d{2,4})\b"), (d % 97) / F.lit(97.0),
+    )
+    inline = table(spark, "fx_chunks")
+    return inline.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*[c.alias(n) for c, n in zip(columns, inline.columns, strict=True)]))

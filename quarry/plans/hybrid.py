@@ -57,14 +57,17 @@ def packed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {cte("fx_chunks")}, t AS (SELECT chunk_id, {s_strip("content")} AS t FROM fx_chunks)
-SELECT a.chunk_id AS a, b.chunk_id AS b, round(2.0::DOUBLE * list_sum(list_transform(list_filter(list_distinct(string_split(a.t, '')), lambda c: c <> ''), lambda c: least(length(a.t) - length(replace(a.t, c, '')), length(b.t) - length(replace(b.t, c, ''))))) / (length(a.t) + length(b.t)), 6) AS ratio FROM t a JOIN t b ON a.chunk_id < b.chunk_id"""
+    f"""WITH {fixtures.CHUNK_ROWS}, t AS (SELECT chunk_id AS a, lead(chunk_id) OVER w AS b, {s_strip("content")} AS x, lead({s_strip("content")}) OVER w AS y FROM chunk_rows WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index))
+SELECT a, b, round(CASE WHEN length(x) + length(y) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(list_filter(list_distinct(string_split(x, '')), lambda c: c <> ''), lambda c: least(length(x) - length(replace(x, c, '')), length(y) - length(replace(y, c, ''))))), 0) / (length(x) + length(y)) END, 6) AS ratio FROM t WHERE b IS NOT NULL"""
 )
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the handful of inline chunks with each other."""
-    t = fixtures.table(spark, "fx_chunks").select("chunk_id", tx.strip(F.col("content")).alias("t"))
-    a, b = t.select(F.col("chunk_id").alias("a"), F.col("t").alias("x")), t.select(F.col("chunk_id").alias("b"), F.col("t").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(candidates.quick_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
+    """Of each chunk with the next of its document."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("document_id").orderBy("chunk_index")
+    t = F.col("t")
+    rows = fixtures.chunk_rows(spark, sf_dir).withColumn("t", tx.strip(F.col("content"))).select(F.col("chunk_id").alias("a"), F.lead("chunk_id").over(w).alias("b"), t.alias("x"), F.lead(t).over(w).alias("y"))
+    return rows.where(F.col("b").isNotNull()).select("a", "b", F.round(candidates.quick_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
 
 
 HEX = "strpos('0123456789abcdef', substr(h, {0}, 1)) - 1"
@@ -102,13 +105,13 @@ def embedding_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {cte("fx_chunks")}, t AS (SELECT chunk_id, document_id, content, score FROM fx_chunks) SELECT chunk_id, list_sort(list_distinct(regexp_extract_all(content, '(\\[\\d+\\])', 1)))::VARCHAR AS anchors, coalesce(len(list_distinct(regexp_extract_all(lower(content), '[a-z]+'))), 0)::INTEGER AS n_terms FROM t"""
+    f"""WITH {fixtures.CHUNK_ROWS}, t AS (SELECT chunk_id, document_id, content, score FROM chunk_rows) SELECT chunk_id, list_sort(list_distinct(regexp_extract_all(content, '(\\[\\d+\\])', 1)))::VARCHAR AS anchors, coalesce(len(list_distinct(regexp_extract_all(lower(content), '[a-z]+'))), 0)::INTEGER AS n_terms FROM t"""
 )
 def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.evaluation import anchors
 
     c = F.col("content")
-    return fixtures.table(spark, "fx_chunks").select("chunk_id", F.concat(F.lit("["), F.array_join(F.array_sort(anchors(c)), ", "), F.lit("]")).alias("anchors"), F.size(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0))).alias("n_terms"))
+    return fixtures.chunk_rows(spark, sf_dir).select("chunk_id", F.concat(F.lit("["), F.array_join(F.array_sort(anchors(c)), ", "), F.lit("]")).alias("anchors"), F.size(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0))).alias("n_terms"))
 
 
 @query()

@@ -13,7 +13,7 @@ from . import fixtures
 from .fixtures import cte
 from .fixtures import literal as q
 from .registry import query, read
-from .retrieval import ENTITIES, _s_intents, analysed
+from .retrieval import ENTITIES, SEARCH, _s_intents, analysed, bm25_hits
 
 PLANT = [(1, "The pump P-203 runs at 12.5 bar and 140 °C. HX-01 and V-102 stand by; P-203 again."), (2, "MOV-101 near K-12, 30 psi. ZZ-99 is a tank."), (3, "Nothing.")]
 fixtures.TABLES["fx_plant"] = (PLANT, "doc_id long, text string")
@@ -38,27 +38,35 @@ def equipment_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.equipment(plant(spark, sf_dir), "doc_id", "text")
 
 
-@query(f"WITH {cte('fx_chunks')}, e AS (SELECT DISTINCT document_id, unnest(equipment) AS tag FROM fx_chunks) SELECT c.document_id, c.chunk_id, coalesce(string_agg(tag, ',' ORDER BY tag) FILTER (contains(upper(content), upper(tag))), '') AS tags FROM fx_chunks c LEFT JOIN e ON c.document_id = e.document_id GROUP BY ALL")
+@query(f"WITH {fixtures.CHUNK_ROWS}, e AS (SELECT DISTINCT document_id, unnest(equipment) AS tag FROM chunk_rows) SELECT c.document_id, c.chunk_id, coalesce(string_agg(tag, ',' ORDER BY tag) FILTER (contains(upper(content), upper(tag))), '') AS tags FROM chunk_rows c LEFT JOIN e ON c.document_id = e.document_id GROUP BY ALL")
 def metadata_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = fixtures.table(spark, "fx_chunks")
+    chunks = fixtures.chunk_rows(spark, sf_dir)
     tags = chunks.select("document_id", F.explode("equipment").alias("tag"))
     return metadata.inherited(chunks, tags, "document_id", "chunk_id", "content").withColumn("tags", F.array_join("tags", ","))
 
 
-@query(f"WITH {cte('fx_chunks')} SELECT chunk_id, '' AS problems FROM fx_chunks UNION ALL SELECT '', 'chunk_id,document_id,length:plant_unit'")
+# the rules once more, by themselves
+TAG_LENGTH = 64
+LENGTH_CHECKS = "CASE WHEN length(document_id) > 128 THEN 'length:document_id' END, CASE WHEN length(chunk_id) > 128 THEN 'length:chunk_id' END, CASE WHEN length(document_name) > 256 THEN 'length:document_name' END, CASE WHEN length(plant_unit) > 64 THEN 'length:plant_unit' END, CASE WHEN length(section) > 512 THEN 'length:section' END"
+BAD = [("", None, "n", "x" * 65, None, ["t"]), ("y" * 300, "d", "", "u", "s", ["t" * 70]), ("k", "d", None, None, "s" * 400, None)]
+
+
+@query(
+    f"""WITH {fixtures.CHUNK_ROWS}, p AS (SELECT chunk_id, document_id, document_name, plant_unit, section, equipment FROM chunk_rows UNION ALL SELECT * FROM (VALUES {", ".join("(" + ", ".join("[" + ", ".join(map(q, v)) + "]" if isinstance(v, list) else q(v) for v in r) + ")" for r in BAD)}) AS v(chunk_id, document_id, document_name, plant_unit, section, equipment))
+SELECT chunk_id, concat_ws(',', CASE WHEN chunk_id IS NULL OR chunk_id = '' THEN 'chunk_id' END, CASE WHEN document_id IS NULL THEN 'document_id' END, {LENGTH_CHECKS}, CASE WHEN len(list_filter(equipment, lambda t: length(t) > {TAG_LENGTH})) > 0 THEN 'equipment_tag' END) AS problems FROM p"""
+)
 def payload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.table(spark, "fx_chunks").select("chunk_id", "document_id", "document_name", "plant_unit", "section", "equipment")
-    bad = spark.createDataFrame([("", None, "n", "x" * 65, None, ["t"])], rows.schema)
+    rows = fixtures.chunk_rows(spark, sf_dir).select("chunk_id", "document_id", "document_name", "plant_unit", "section", "equipment")
+    bad = spark.createDataFrame(BAD, rows.schema)
     return rows.unionByName(bad).select("chunk_id", F.array_join(metadata.payload_problems(), ",").alias("problems"))
 
 
 @query(
-    f"""WITH {ENTITIES}, {cte("fx_chunks")} SELECT query_id, chunk_id FROM e JOIN fx_chunks ON (len(equipment_tags) = 0 OR list_has_any(equipment, equipment_tags)) AND (len(plant_units) = 0 OR coalesce(plant_unit = plant_units[1], false)) AND (len(page_references) = 0 OR coalesce(page = CAST(page_references[1] AS INTEGER), false)) WHERE query_id < 1000"""
+    f"""WITH {ENTITIES}, {fixtures.CHUNK_ROWS} SELECT query_id, count(chunk_id) AS n_chunks, min(chunk_id) AS first_chunk FROM e LEFT JOIN chunk_rows ON (len(equipment_tags) = 0 OR list_has_any(equipment, equipment_tags)) AND (len(plant_units) = 0 OR coalesce(plant_unit = plant_units[1], false)) AND (len(page_references) = 0 OR coalesce(page = CAST(page_references[1] AS INTEGER), false)) GROUP BY query_id"""
 )
 def planned_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inline queries' own filters over the inline chunks."""
-    rows = analysed(spark, sf_dir).where("query_id < 1000")
-    return rows.join(fixtures.table(spark, "fx_chunks"), metadata.planned_filter(F.col("e"))).select("query_id", "chunk_id")
+    """How many chunks each query's own filters leave, and the first of them."""
+    return metadata.filtered_counts(analysed(spark, sf_dir), fixtures.chunk_rows(spark, sf_dir))
 
 
 def _s_adaptive(i: int) -> str:
@@ -75,14 +83,29 @@ def adaptive_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", metadata.adaptive(intent).alias("a")).select("query_id", "a.k", "a.radius", "a.dense_weight", "a.bm25_weight", "a.budget")
 
 
-@query()
+def _evidence() -> str:
+    from .oracles import S_OVERLAP, s_search
+
+    terms = lambda t: f"list_distinct(list_filter({s_search(t)}, lambda w: length(w) > 2))"
+    at = lambda o, v: f"(overlap >= {o}::DOUBLE OR score >= {v}::DOUBLE)"
+    return f"""WITH {ENTITIES}, {fixtures.CHUNK_ROWS}, {SEARCH}, h AS (SELECT item_id, doc_id, round(score, 6) AS score FROM hits WHERE rank < 10),
+j AS (SELECT h.item_id, h.doc_id, h.score, content, list_concat(equipment_tags, e.standards) AS asked, list_concat(equipment, chunk_rows.standards) AS found, {terms("e.t")} AS q_terms, {terms("content")} AS terms FROM h JOIN e ON e.query_id = h.item_id + 1000 JOIN chunk_rows ON chunk_id = 'x' || h.doc_id),
+o AS (SELECT *, {S_OVERLAP} AS overlap, regexp_matches(content, {q(metadata.NORMATIVE)}) AND NOT regexp_matches(content, {q(metadata.RECORD)}) AS rule, len(asked) > 0 AS a, len(found) > 0 AS f, list_has_any(asked, found) AS m FROM j)
+SELECT item_id, doc_id, round(overlap, 6) AS overlap, CASE WHEN a AND f AND NOT m THEN 'UNRELATED' WHEN a AND f AND rule THEN 'GENERIC_REQUIREMENT' WHEN a AND f THEN CASE WHEN {at(0.2, 0.7)} THEN 'DIRECT' ELSE 'RELATED' END WHEN a AND rule THEN CASE WHEN {at(0.2, 0.65)} THEN 'GENERIC_REQUIREMENT' ELSE 'UNRELATED' END
+WHEN a THEN CASE WHEN {at(0.3, 0.7)} THEN 'RELATED' ELSE 'UNRELATED' END WHEN len(q_terms) = 0 THEN 'UNRELATED' WHEN rule THEN CASE WHEN {at(0.3, 0.65)} THEN 'GENERIC_REQUIREMENT' ELSE 'UNRELATED' END WHEN {at(0.35, 0.7)} THEN 'DIRECT' WHEN {at(0.2, 0.5)} THEN 'RELATED' ELSE 'UNRELATED' END AS relation FROM o"""
+
+
+@query(_evidence())
 def evidence_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the inline queries to the inline chunks."""
-    rows = analysed(spark, sf_dir).where("query_id < 1000").join(fixtures.table(spark, "fx_chunks"), F.lit(True))
+    """How the ten best BM25 hits of each benchmark passage stand to it."""
+    asked = analysed(spark, sf_dir).where("query_id >= 1000").select((F.col("query_id") - 1000).alias("item"), "t", "e")
+    chunks = fixtures.chunk_rows(spark, sf_dir).select("chunk_id", "content", "equipment", "standards")
+    hits = bm25_hits(spark, sf_dir, 10)
+    rows = hits.join(asked, hits["item_id"] == asked["item"]).join(chunks, F.concat(F.lit("x"), "doc_id") == F.col("chunk_id"))
     terms = lambda c: F.array_distinct(F.filter(qf.search_tokens(c), lambda w: F.length(w) > 2))
     rows = rows.withColumns({"q_terms": terms(F.col("t")), "terms": terms(F.col("content"))}).withColumn("overlap", grounding.term_overlap(F.col("q_terms"), F.col("terms")))
     how = metadata.relation(F.concat("e.equipment_tags", "e.standards"), F.concat("equipment", "standards"), F.col("overlap"), F.col("score"), F.col("content"), F.size("q_terms") > 0)
-    return rows.select("query_id", "chunk_id", F.round("overlap", 6).alias("overlap"), how.alias("relation"))
+    return rows.select("item_id", "doc_id", F.round("overlap", 6).alias("overlap"), how.alias("relation"))
 
 
 @query("SELECT o_orderkey, round((o_totalprice * 2 - 10) / (o_orderkey % 7 + 0.5::DOUBLE), 4) AS a, round(sqrt(o_totalprice) + power(2::DOUBLE, 3), 4) AS b FROM orders")

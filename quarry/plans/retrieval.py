@@ -72,8 +72,10 @@ S_TAGS = f"""list_filter(list_transform({s_all(qf.TAG)}, lambda m: upper(regexp_
 S_UNITS = f"list_transform({s_all(qf.PLANT_UNIT)}, lambda x: replace(upper(x), ' ', '-'))"
 S_STANDARDS = f"list_transform({s_all(qf.STANDARD)}, lambda x: upper(regexp_replace(x, '[-_\\s]+', '-', 'g')))"
 S_PRESSURES = f"list_transform({s_all(qf.PRESSURE)}, lambda x: regexp_extract(x, {q(qf.PRESSURE)}, 1) || ' ' || lower(regexp_extract(x, {q(qf.PRESSURE)}, 2)))"
-ENTITIES = f"{NORMAL}, e AS (SELECT query_id, t, {s_sorted(S_TAGS)} AS equipment_tags, {s_sorted(S_UNITS)} AS plant_units, {s_sorted(S_STANDARDS)} AS standards, {s_sorted(S_PRESSURES)} AS pressure_values, {s_sorted(f"regexp_extract_all(regexp_replace(t, {q(ANY_LETTER)}, '_', 'g'), {q(qf.REVISION)}, 1)")} AS revision_numbers, {s_sorted(s_all(qf.SECTION_REF, 1))} AS section_references, {s_sorted(s_all(qf.PAGE_REF, 1))} AS page_references FROM n)"
-KINDS = ("equipment_tags", "plant_units", "standards", "pressure_values", "revision_numbers", "section_references", "page_references")
+# letters beyond ASCII stand for word ends in RE2; the sign of degrees is kept
+S_ASCII = "regexp_replace(t, '[^\\x00-\\x7F°]', '_', 'g')"
+ENTITIES = f"{NORMAL}, e AS (SELECT query_id, t, {s_sorted(S_TAGS)} AS equipment_tags, {s_sorted(S_UNITS)} AS plant_units, {s_sorted(S_STANDARDS)} AS standards, {s_sorted(S_PRESSURES)} AS pressure_values, {s_sorted(f"list_transform(regexp_extract_all({S_ASCII}, {q(qf.TEMPERATURE)}), lambda x: regexp_extract(x, {q(qf.TEMPERATURE)}, 1) || ' °' || upper(regexp_extract(x, {q(qf.TEMPERATURE)}, 2)))")} AS temperature_values, {s_sorted(f"list_transform(regexp_extract_all({S_ASCII}, {q(qf.LINE_NUMBER)}), lambda x: upper(x))")} AS line_numbers, {s_sorted(f"regexp_extract_all({S_ASCII}, {q(qf.DATE)})")} AS dates, {s_sorted(f"regexp_extract_all({S_ASCII}, {q(qf.PERSON)}, 1)")} AS engineer_names, {s_sorted(f"regexp_extract_all(regexp_replace(t, {q(ANY_LETTER)}, '_', 'g'), {q(qf.REVISION)}, 1)")} AS revision_numbers, {s_sorted(s_all(qf.SECTION_REF, 1))} AS section_references, {s_sorted(s_all(qf.PAGE_REF, 1))} AS page_references FROM n)"
+KINDS = ("equipment_tags", "plant_units", "standards", "pressure_values", "temperature_values", "line_numbers", "dates", "engineer_names", "revision_numbers", "section_references", "page_references")
 
 
 def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,38 +228,73 @@ def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_k(scored, "item_id", "rerank_score", "doc_id", 20)
 
 
-def _candidates(spark: SparkSession) -> DataFrame:
-    rows = fixtures.table(spark, "fx_chunks")
-    wanted = spark.createDataFrame([(1, "P-203 pressure limits OISD-105", ["P-203"], ["CDU-1"], ["OISD-105"], "safety_lookup", "d1", 2), (2, "email about the inspection report finding", [], [], [], "inspection_lookup", None, None), (3, "maintenance work order template form", ["MOV-101"], [], ["API-510"], "template_lookup", "d3", 4)], "query_id int, query string, target_equipment array<string>, target_units array<string>, target_standards array<string>, intent string, target_document string, target_page int")
-    # a fixed handful of queries beside a fixed handful of chunks
-    return rows.join(wanted, F.lit(True))
-
-
-@query()
+WANTED = [
+    (1, "P-203 pressure limits OISD-105", ["P-203"], ["CDU-1"], ["OISD-105"], "safety_lookup", "d1", 2),
+    (2, "email about the inspection report finding", [], [], [], "inspection_lookup", None, None),
+    (3, "maintenance work order template form", ["MOV-101"], [], ["API-510"], "template_lookup", "d3", 4),
+]
+fixtures.TABLES["fx_wanted"] = (WANTED, "query_id int, query string, target_equipment array<string>, target_units array<string>, target_standards array<string>, intent string, target_document string, target_page int")
+fixtures.TABLES["fx_candidates"] = ([(w[0], c[0]) for w in WANTED for c in fixtures.CHUNKS], "query_id int, chunk_id string")
+BOOSTED = ("query_id", "chunk_id", "score", "query", "category", "document_name", "source_path", "content", "page", "target_page", "target_equipment", "equipment", "target_units", "plant_unit", "target_standards", "standards", "document_id", "target_document", "intent")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best BM25 hits of each benchmark passage as chunks, and inline queries with inline candidates."""
+    chunks = fixtures.chunk_rows(spark, sf_dir)
+    wanted = fixtures.table(spark, "fx_wanted")
+    own = fixtures.table(spark, "fx_candidates").join(wanted, "query_id").join(fixtures.table(spark, "fx_chunks"), "chunk_id").select(*BOOSTED)
+    rows = analysed(spark, sf_dir).where("query_id >= 1000").withColumn("intent", F.coalesce(F.get(qf.intents(F.col("t"), F.col("e")), F.lit(0)), F.lit("informational")))
+    n = F.col("query_id") - 1000
+    asked_ = rows.select("query_id", F.col("t").alias("query"), F.col("e.equipment_tags").alias("target_equipment"), F.col("e.plant_units").alias("target_units"), F.col("e.standards").alias("target_standards"), "intent", F.concat(F.lit("src"), (n % 20).cast("string")).alias("target_document"), (n % 50).cast("int").alias("target_page"))
+    hits = bm25_hits(spark, sf_dir, 10).select((F.col("item_id").cast("int") + 1000).alias("query_id"), F.concat(F.lit("x"), "doc_id").alias("chunk_id"), F.col("score").alias("score"))
+    return hits.join(asked_, "query_id").join(chunks.drop("score"), "chunk_id").select(*BOOSTED).unionByName(own)
+
+
+def _s_boost() -> str:
+    add = lambda c, by: f"CASE WHEN coalesce({c}, false) THEN {by}::DOUBLE ELSE 0.0::DOUBLE END"
+    has = lambda t, *xs: f"regexp_matches(lower(coalesce({t}, '')), '{'|'.join(xs)}')"
+    parts = [
+        add("list_has_any(target_equipment, equipment)", 0.2), add("list_contains(target_units, upper(plant_unit))", 0.15), add("list_has_any(target_standards, standards)", 0.2), add("document_id = target_document", 0.1), add("abs(page - target_page) = 0", 0.1), add("abs(page - target_page) BETWEEN 1 AND 2", 0.05),
+        f"(0 - {add('length(trim(content)) < 50', 0.2)})", "0.15::DOUBLE * len(list_filter(target_standards, lambda s: contains(regexp_replace(lower(trim(content)), '[- ]', '', 'g'), regexp_replace(lower(s), '[- ]', '', 'g'))))",
+        add(f"(intent = 'template_lookup' OR {has('query', 'template', 'form')}) AND ({has('category', 'template')} OR {has('document_name', 'template')} OR {has('source_path', 'template')})", 0.25),
+        add(f"(intent = 'maintenance_lookup' OR {has('query', 'maintenance', 'repair', 'work order')}) AND ({has('category', 'maint')} OR {has('document_name', 'maint', 'work_order')} OR {has('source_path', 'maint')})", 0.2),
+        add(f"{has('query', 'mail', 'communicat')} AND ({has('category', 'email')} OR {has('source_path', 'email')} OR {has('document_name', '^e')})", 0.2),
+        add(f"{has('query', 'inspection')} AND {has('query', 'report', 'finding')} AND ({has('category', 'inspect')} OR {has('document_name', 'inspect')})", 0.15),
+    ]
+    columns = ", ".join(BOOSTED)
+    return f"""WITH {ENTITIES}, {fixtures.CHUNK_ROWS}, {cte("fx_wanted", "fx_candidates")}, {SEARCH}, l AS (SELECT *, regexp_extract_all(lower(t), '\\b[a-z0-9-]+\\b') AS low FROM e WHERE query_id >= 1000),
+w AS (SELECT query_id, t AS query, equipment_tags AS target_equipment, plant_units AS target_units, e2.standards AS target_standards, coalesce({_s_intents()}[1], 'informational') AS intent, 'src' || ((query_id - 1000) % 20) AS target_document, CAST((query_id - 1000) % 50 AS INTEGER) AS target_page FROM l e2),
+h AS (SELECT item_id + 1000 AS query_id, 'x' || doc_id AS chunk_id, round(score, 6) AS score FROM hits WHERE rank < 10),
+c AS (SELECT h.query_id, h.chunk_id, h.score, w.* EXCLUDE (query_id), k.* EXCLUDE (chunk_id, score) FROM h JOIN w USING (query_id) JOIN chunk_rows k ON k.chunk_id = h.chunk_id), o AS (SELECT f.query_id, f.chunk_id, k.score, v.* EXCLUDE (query_id), k.* EXCLUDE (chunk_id, score) FROM fx_candidates f JOIN fx_wanted v USING (query_id) JOIN fx_chunks k ON k.chunk_id = f.chunk_id),
+u AS (SELECT {columns} FROM c UNION ALL SELECT {columns} FROM o), b AS (SELECT query_id, chunk_id, round(greatest(0.0::DOUBLE, score + {" + ".join(parts)}), 6) AS score FROM u)
+SELECT CAST(query_id AS INTEGER) AS query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS INTEGER) AS rank FROM b"""
+
+
+@query(_s_boost())
 def metadata_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark)
-    names = ("query", "category", "document_name", "source_path", "content", "page", "target_page", "target_equipment", "equipment", "target_units", "plant_unit", "target_standards", "standards", "document_id", "target_document", "intent")
-    scored = rows.select("query_id", "chunk_id", F.round(ranking.boosted(F.col("score"), {n: F.col(n) for n in names}), 6).alias("score"))
+    rows = _candidates(spark, sf_dir)
+    scored = rows.select("query_id", "chunk_id", F.round(ranking.boosted(F.col("score"), {n: F.col(n) for n in BOOSTED[3:]}), 6).alias("score"))
     return lexical.top_k(scored, "query_id", "score", "chunk_id", 99)
 
 
 @query(
-    f"""WITH {cte("fx_chunks")}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS pos FROM fx_chunks), f AS (SELECT *, row_number() OVER (PARTITION BY document_id, page, section ORDER BY pos) AS n FROM r)
-SELECT chunk_id, format('[{{}}]', row_number() OVER (ORDER BY pos)) AS anchor, CASE WHEN length(content) > 60 THEN substr(content, 1, 60) || '...' ELSE content END AS quote, round(score, 4) AS score FROM f WHERE n = 1"""
+    f"""WITH {fixtures.CHUNK_ROWS}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, chunk_id) AS pos FROM chunk_rows), f AS (SELECT *, row_number() OVER (PARTITION BY category, document_id, page, section ORDER BY pos) AS n FROM r)
+SELECT chunk_id, format('[{{}}]', row_number() OVER (PARTITION BY category ORDER BY pos)) AS anchor, CASE WHEN length(content) > 60 THEN substr(content, 1, 60) || '...' ELSE content END AS quote, round(score, 4) AS score FROM f WHERE n = 1"""
 )
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    rows = fixtures.table(spark, "fx_chunks").withColumn("query_id", F.lit(1))
+    """The chunks of each category as the hits of one query."""
+    rows = fixtures.chunk_rows(spark, sf_dir).withColumn("query_id", F.col("category"))
     rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
     first = ranking.first_citations(rows, "query_id", "pos", ["document_id", "page", "section"])
     return first.select("chunk_id", "anchor", F.when(F.length("content") > 60, F.concat(F.substring("content", 1, 60), F.lit("..."))).otherwise(F.col("content")).alias("quote"), F.round("score", 4).alias("score"))
 
 
 @query(
-    f"""WITH {cte("fx_chunks")} SELECT chunk_id, CASE WHEN regexp_matches(x, 'p&id|pid_') THEN 'refinery_pid' WHEN regexp_matches(x, 'drawing') THEN 'refinery_drawings' WHEN len(standards) > 0 OR regexp_matches(x, 'safety|oisd') THEN 'refinery_safety' WHEN regexp_matches(x, 'inspection') THEN 'refinery_inspection'
+    f"""WITH {fixtures.CHUNK_ROWS} SELECT chunk_id, CASE WHEN regexp_matches(x, 'p&id|pid_') THEN 'refinery_pid' WHEN regexp_matches(x, 'drawing') THEN 'refinery_drawings' WHEN len(standards) > 0 OR regexp_matches(x, 'safety|oisd') THEN 'refinery_safety' WHEN regexp_matches(x, 'inspection') THEN 'refinery_inspection'
 WHEN regexp_matches(x, 'maintenance') THEN 'refinery_maintenance' WHEN regexp_matches(x, 'sop|procedure') THEN 'refinery_sops' WHEN regexp_matches(x, 'email') THEN 'refinery_emails' WHEN regexp_matches(x, 'manual') THEN 'refinery_manuals' ELSE 'refinery_general' END AS collection
-FROM (SELECT *, lower(coalesce(category, '') || ' ' || coalesce(document_name, '')) AS x FROM fx_chunks)"""
+FROM (SELECT *, lower(coalesce(category, '') || ' ' || coalesce(document_name, '')) AS x FROM chunk_rows)"""
 )
 def collection_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, "fx_chunks").select("chunk_id", vectors.route(F.col("standards"), F.col("category"), F.col("document_name")).alias("collection"))
+    return fixtures.chunk_rows(spark, sf_dir).select("chunk_id", vectors.route(F.col("standards"), F.col("category"), F.col("document_name")).alias("collection"))

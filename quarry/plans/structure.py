@@ -14,13 +14,14 @@ from .fixtures import literal as q
 from .registry import TEXTS, query, read, texts
 
 FILES = [
-    ("manuals/pump_manual.pdf", "This operating manual covers the pump. See the user guide."),
-    ("reports/ndt_report_5.md", "Inspection report: ultrasonic testing of wall thickness."),
-    ("safety/oisd_105.txt", "Permit to work and hazard identification."),
-    ("mail/email_1.eml", "From: a@b\nTo: c@d\nSubject: x\nDate: 2024\n\nhello"),
-    ("x/plan.dwg", ""),
-    ("x/unknown.bin", "nothing to see"),
-    ("templates/checklist.docx", "Checklist template with form number: 7"),
+    ("manuals/pump_manual.pdf", "This operating manual covers the pump. See the user guide.", None),
+    ("reports/ndt_report_5.md", "Inspection report: ultrasonic testing of wall thickness.", None),
+    ("safety/oisd_105.txt", "Permit to work and hazard identification.", None),
+    ("mail/email_1.eml", "From: a@b\nTo: c@d\nSubject: x\nDate: 2024\n\nhello", None),
+    ("x/plan.dwg", "", None),
+    ("x/unknown.bin", "nothing to see", None),
+    ("x/unknown.pdf", "nothing to see", "Work-Orders 2024"),
+    ("templates/checklist.docx", "Checklist template with form number: 7", "manual"),
 ]
 SECTIONS = [
     ("d1", 1, "ACME Refinery\nBody of one\nPage 1 of 3"),
@@ -31,7 +32,7 @@ SECTIONS = [
     ("d3", 2, "Scope\nbeta\nconfidential"),
     ("d3", 3, "gamma"),
 ]
-fixtures.TABLES["fx_files"] = (FILES, "path string, text string")
+fixtures.TABLES["fx_files"] = (FILES, "path string, text string, known string")
 fixtures.TABLES["fx_sections"] = (SECTIONS, "doc string, pos int, content string")
 
 
@@ -41,17 +42,20 @@ def _s_scores() -> str:
         folder = " OR ".join(f"contains(folders, {q(w)})" for w in words)
         content = " + ".join(f"CAST(regexp_matches(sample, {q(p)}) AS INTEGER)" for p in signatures)
         more = f"CASE WHEN regexp_matches(name, {q('|'.join(chr(92) + e + '$' for e in classify.EXTENSIONS[c]))}) THEN 50 ELSE 0 END" if c in classify.EXTENSIONS else "0"
-        out.append(f"CASE WHEN {folder} THEN 30 ELSE 0 END + CASE WHEN regexp_matches(name, {q('|'.join(names))}) THEN 25 ELSE 0 END + least(15 * ({content}), 45) + {more}")
+        told = " OR ".join(f"contains(before, {q(w)})" for w in words)
+        out.append(f"CASE WHEN {told} THEN 40 ELSE 0 END + CASE WHEN {folder} THEN 30 ELSE 0 END + CASE WHEN regexp_matches(name, {q('|'.join(names))}) THEN 25 ELSE 0 END + least(15 * ({content}), 45) + {more}")
     return "[" + ", ".join(out) + "]"
 
 
 @query(
-    f"""WITH {cte("fx_files")}, p AS (SELECT path, regexp_replace(lower(path), '[^/]*$', '') AS folders, regexp_extract(lower(path), '([^/]*)$', 1) AS name, lower(substr(text, 1, {classify.SAMPLE})) AS sample FROM fx_files), s AS (SELECT path, {_s_scores()} AS s FROM p), b AS (SELECT path, list_max(s) AS m, {q(list(classify.RULES))}[list_position(s, list_max(s))] AS c FROM s)
+    f"""WITH {cte("fx_files")}, files AS (SELECT * FROM fx_files UNION ALL SELECT url, html, NULL FROM pages), p AS (SELECT path, replace(replace(lower(known), ' ', '_'), '-', '_') AS before, regexp_replace(lower(path), '[^/]*$', '') AS folders, regexp_extract(lower(path), '([^/]*)$', 1) AS name, lower(substr(text, 1, {classify.SAMPLE})) AS sample FROM files), s AS (SELECT path, {_s_scores()} AS s FROM p), b AS (SELECT path, list_max(s) AS m, {q(list(classify.RULES))}[list_position(s, list_max(s))] AS c FROM s)
 SELECT path, CASE WHEN m >= {classify.LEAST} THEN c ELSE 'Unknown' END AS category, CASE WHEN m >= {classify.LEAST} THEN round(least(0.5::DOUBLE + m / 150.0::DOUBLE * 0.49::DOUBLE, 0.99::DOUBLE), 2) ELSE 0.1::DOUBLE END AS confidence FROM b"""
 )
 def document_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = classify.classified(F.col("path"), F.col("text"))
-    return fixtures.table(spark, "fx_files").select("path", c.alias("c")).select("path", "c.category", "c.confidence")
+    """Of all pages, by address and markup, and of inline files."""
+    c = classify.classified(F.col("path"), F.col("text"), F.col("known"))
+    pages = read(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("text"), F.lit(None).cast("string").alias("known"))
+    return fixtures.table(spark, "fx_files").unionByName(pages).select("path", c.alias("c")).select("path", "c.category", "c.confidence")
 
 
 @query()
