@@ -19,10 +19,33 @@ def duplicate_flags(rows: DataFrame, key: str, mark: str) -> DataFrame:
     return rows.join(groups, F.col(mark) == F.col("_m"), "left").select(key, late.alias("is_duplicate"), F.when(late, F.col("canonical")).alias("duplicate_of"))
 
 
+def in_buckets(rows: DataFrame, by: str, value: str, cuts: int = 64) -> DataFrame:
+    """Adds _bucket: rows of one key are cut at its approximate quantiles, so that a key with most rows is sorted by many tasks."""
+    at = [i / cuts for i in range(1, cuts)]
+    bounds = rows.groupBy(by).agg(F.percentile_approx(value, at, 10 * cuts).alias("_cuts")).select(F.col(by).alias("_by"), "_cuts")
+    return rows.join(bounds, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_by", "_cuts")
+
+
+def with_before(rows: DataFrame, by: str, weight: str) -> DataFrame:
+    """Adds _before, the weight in the key's earlier buckets, and _n, that in all; a key has few buckets."""
+    sums = rows.groupBy(by, "_bucket").agg(F.sum(weight).alias("_w"))
+    w = W.partitionBy(by).orderBy("_bucket")
+    told = sums.select(F.col(by).alias("_by"), F.col("_bucket").alias("_b"), (F.sum("_w").over(w) - F.col("_w")).alias("_before"), F.sum("_w").over(W.partitionBy(by)).alias("_n"))
+    return rows.join(told, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bucket") == F.col("_b"))).drop("_by", "_b")
+
+
+def ranked_in(rows: DataFrame, by: str, value: str, tie: str, rank: str) -> DataFrame:
+    """Adds rank: 0, 1, 2, ... within each key, by value, then tie; equal values of a key meet in one task, other rows of it need not."""
+    told = with_before(in_buckets(rows, by, value).withColumn("_one", F.lit(1)), by, "_one")
+    inside = F.row_number().over(W.partitionBy(by, "_bucket").orderBy(value, tie)) - 1
+    return told.withColumn(rank, F.col("_before") + inside).drop("_before", "_bucket", "_one", "_n")
+
+
 def nearest_rank(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Values at index int(n * share) of each sorted group, found over counts of equal values."""
+    """Values at index int(n * share) of each sorted group, found over counts of equal values in buckets."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(by).orderBy(value)
-    run = counted.withColumns({"_hi": F.sum("_c").over(w), "_n": F.sum("_c").over(W.partitionBy(by))}).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    told = with_before(in_buckets(counted, by, value), by, "_c")
+    w = W.partitionBy(by, "_bucket").orderBy(value)
+    run = told.withColumn("_hi", F.col("_before") + F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
     at = lambda p: F.least(F.floor(F.col("_n") * p), F.col("_n") - 1)
     return run.groupBy(by).agg(*[F.max(F.when((at(p) >= F.col("_lo")) & (at(p) < F.col("_hi")), F.col(value))).alias(name) for name, p in shares.items()])

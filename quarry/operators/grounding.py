@@ -44,17 +44,11 @@ def grounding(answer: Column, context: Column) -> Column:
 def first_lines(text: Column) -> Column:
     """The text without lines of over 15 characters that, case and blanks apart, came before; headings stay."""
     bare = lambda x: F.lower(F.regexp_replace(F.trim(x), r"\s+", " "))
-    rows = F.split(text, "\n")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("seen"))
-
-    def step(a: Column, x: Column) -> Column:
-        b = bare(x)
-        free = (F.length(b) <= 15) | F.startswith(b, F.lit("#"))
-        same = F.struct(a["out"].alias("out"), a["seen"].alias("seen"))
-        put = F.concat(a["out"], F.array(x))
-        return F.when(free, F.struct(put.alias("out"), a["seen"].alias("seen"))).when(F.array_contains(a["seen"], b), same).otherwise(F.struct(put.alias("out"), F.concat(a["seen"], F.array(b)).alias("seen")))
-
-    return F.array_join(F.aggregate(rows, start, step)["out"], "\n")
+    # sorted by what is compared, then place: repeats follow each other
+    items = F.transform(F.split(text, "\n"), lambda x, i: F.struct(bare(x).alias("b"), i.alias("i"), x.alias("x")))
+    again = lambda s, y, j: (j > 0) & (F.get(s, j - 1)["b"] == y["b"]) & (F.length(y["b"]) > 15) & ~F.startswith(y["b"], F.lit("#"))
+    kept = F.transform(F.array(F.array_sort(items)), lambda s: F.filter(s, lambda y, j: ~F.coalesce(again(s, y, j), F.lit(False))))[0]
+    return F.array_join(F.transform(F.array_sort(F.transform(kept, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x")))), lambda y: y["x"]), "\n")
 
 
 def without_references(text: Column) -> Column:

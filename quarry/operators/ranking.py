@@ -12,25 +12,29 @@ from ..functions.text import words
 RRF_K = 60
 
 
-def normalized(score: str, by: str, tie: str) -> dict[str, Column]:
-    """Columns of the five normalised forms within each group; a group of one gets 1.0."""
-    g = W.partitionBy(by)
-    s, n = F.col(score), F.count("*").over(g)
-    low, high, mean, dev = F.min(s).over(g), F.max(s).over(g), F.avg(s).over(g), F.stddev_pop(s).over(g)
+def normalize_scores(scored: DataFrame, score: str, by: str, tie: str) -> DataFrame:
+    """Adds none, min_max, softmax, z_score and percentile, each within its group; a group of one gets 1.0.
+
+    Groups are aggregated first and joined to their rows, and ranks come from
+    buckets of a group, so that none of its tasks holds a large group whole.
+    """
+    from .audit import ranked_in
+
+    s, n = F.col(score), F.col("_count")
+    stats = scored.groupBy(by).agg(F.count("*").alias("_count"), F.min(score).alias("_low"), F.max(score).alias("_high"), F.avg(score).alias("_mean"), F.stddev_pop(score).alias("_dev"))
+    rows = ranked_in(scored, by, score, tie, "_rank")
+    rows = rows.join(stats.withColumnRenamed(by, "_key"), F.col(by).eqNullSafe(F.col("_key"))).drop("_key")
+    sums = scored.join(stats.select(F.col(by).alias("_key"), "_high"), F.col(by).eqNullSafe(F.col("_key"))).groupBy("_key").agg(F.sum(F.exp(s - F.col("_high"))).alias("_exp"))
+    rows = rows.join(sums, F.col(by).eqNullSafe(F.col("_key"))).drop("_key")
     one = lambda c: F.when(n == 1, 1.0).otherwise(c)
-    return {
+    made = {
         "none": one(s),
-        "min_max": one(F.when(high == low, 1.0).otherwise((s - low) / (high - low))),
-        "softmax": F.exp(s - high),  # divided by its sum over the group in normalize_scores
-        "z_score": one(F.when(dev == 0, 0.5).otherwise(1 / (1 + F.exp(-(s - mean) / dev)))),
-        "percentile": one((F.row_number().over(g.orderBy(score, tie)) - 1) / (n - 1)),
+        "min_max": one(F.when(F.col("_high") == F.col("_low"), 1.0).otherwise((s - F.col("_low")) / (F.col("_high") - F.col("_low")))),
+        "softmax": one(F.exp(s - F.col("_high")) / F.col("_exp")),
+        "z_score": one(F.when(F.col("_dev") == 0, 0.5).otherwise(1 / (1 + F.exp(-(s - F.col("_mean")) / F.col("_dev"))))),
+        "percentile": one(F.col("_rank") / (n - 1)),
     }
-
-
-def normalize_scores(scored: DataFrame, score: str, by: str, tie: str) -> DataFrame:
-    made = scored.withColumns(normalized(score, by, tie))
-    g = W.partitionBy(by)
-    return made.withColumn("softmax", F.when(F.count("*").over(g) == 1, 1.0).otherwise(F.col("softmax") / F.sum("softmax").over(g)))
+    return rows.withColumns(made).drop("_count", "_low", "_high", "_mean", "_dev", "_rank", "_exp")
 
 
 def fuse(first: DataFrame, second: DataFrame, by: str, key: str, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:

@@ -33,8 +33,8 @@ def problems(v: Column, dimension: int, tolerance: float = 0.02) -> Column:
     )
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, metric: str = "cosine", same: str | None = None) -> DataFrame:
-    """query_id, key, score, rank (from 0) of the k nearest rows to each query row, itself among them.
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, metric: str = "cosine", same: str | None = None, digits: int | None = None) -> DataFrame:
+    """query_id, key, score, rank (from 0) of the k nearest rows to each query row, itself among them; ties by key, on scores rounded to `digits` if given.
 
     Queries go out in blocks of bounded bytes, each a pass over the corpus; a task
     multiplies its batches with the block and keeps k candidates a query, so what
@@ -48,7 +48,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
 
     def block(ids: np.ndarray, matrix: np.ndarray, labels: list | None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+            held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]  # query, key, score
+            names = {x: i for i, x in enumerate(sorted(set(labels), key=repr))} if same else {}
+            own_label = np.array([names[x] for x in labels]) if same else None
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -60,16 +62,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
                     score = -np.sqrt(np.maximum((m * m).sum(1)[None] + (matrix * matrix).sum(1)[:, None] - 2 * matrix @ m.T, 0))
                 else:
                     score = matrix @ m.T
-                own = np.array(b.column(2).to_pylist(), object) if same else None
-                for i in range(len(ids)):
-                    s, c = score[i], keys
-                    if same:
-                        at = own == labels[i]
-                        s, c = s[at], c[at]
-                    s, c = np.concatenate((best[i][0], s)), np.concatenate((best[i][1], c))
-                    order = np.lexsort((c, -s))[:k]
-                    best[i] = s[order], c[order]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(s) for s, _ in best])), pa.array(np.concatenate([c for _, c in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", key, "score"])
+                if same:
+                    other = np.array([names.get(x, -1) for x in b.column(2).to_pylist()])
+                    score = np.where(own_label[:, None] == other[None, :], score, -np.inf)
+                if digits is not None:
+                    score = np.round(score, digits)
+                # all that reach the k-th best score, ties included; what is more than k goes when the lists are cut
+                least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(ids), -np.inf)
+                q, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                held.append((q, keys[c], score[q, c]))
+                if sum(len(x[0]) for x in held) > 8 * k * len(ids):
+                    held = [cut(*map(np.concatenate, zip(*held, strict=True)))]
+            q, c, v = cut(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(c), pa.array(v)], names=["query_id", key, "score"])
+
+        def cut(q: np.ndarray, c: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The k best of each query, ties by key."""
+            order = np.lexsort((c, -v, q))
+            q, c, v = q[order], c[order], v[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+            return q[place < k], c[place < k], v[place < k]
 
         return rows.mapInArrow(run, schema)
 

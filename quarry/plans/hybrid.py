@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import queries as qf
 from ..functions import text as tx
 from ..operators import candidates, chunking, embedding, grounding, lexical, ranking, vectors
+from ..sources.tables import stored
 from . import fixtures
 from .cleaning import s_strip
 from .fixtures import cte
@@ -15,9 +16,9 @@ from .registry import query, read
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """cid (one long for each document and index), document, index, content, name of word windows."""
+    """cid (a hash of document and index), document, index, content, name of word windows."""
     rows = chunking.word_windows(docs, "doc_id", "text")
-    return rows.select((F.col("doc_id") * 2**20 + F.col("chunk_index")).alias("cid"), F.col("doc_id").alias("document"), F.col("chunk_index").alias("index"), "content")
+    return rows.select(F.xxhash64("doc_id", "chunk_index").alias("cid"), F.col("doc_id").alias("document"), F.col("chunk_index").alias("index"), "content")
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 10, radius: int = 1, dimension: int = 64) -> DataFrame:
@@ -31,8 +32,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 10, radius: int = 1
     fused = ranking.fuse(dense.select("query_id", "cid", (F.col("rank") + 1).alias("rank")), sparse.select(F.col("query_id").cast("long").alias("query_id"), "cid", (F.col("rank") + 1).alias("rank")), "query_id", "cid").where(F.col("fused_rank") <= wide)
     rows = fused.join(chunks, "cid").join(asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("text").alias("query")), "query_id")
     scored = rows.select("query_id", "cid", "document", "index", ranking.lexical_score(F.col("query"), F.col("content"), F.lit(""), F.col("score")).alias("score"))
-    # a few rows a query, used three times below
-    best = lexical.top_k(scored.withColumn("score", F.round("score", 9)), "query_id", "score", "cid", max(15, k)).persist()
+    best = stored(lexical.top_k(scored.withColumn("score", F.round("score", 9)), "query_id", "score", "cid", max(15, k)), "best")  # used three times below
     wider = candidates.with_neighbours(best, chunks, "query_id", radius).join(chunks.select("cid", "content"), "cid")
     kept = candidates.without_near_duplicates(wider.withColumn("order", F.struct("rank", "cid")), "query_id", "cid", "content", "order")
     out = kept.join(wider, ["query_id", "cid"])

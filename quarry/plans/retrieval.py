@@ -157,8 +157,7 @@ n AS (SELECT query_id, vec_id, a.label = b.label AS same, round(CAST(list_cosine
 
 def _knn(spark: SparkSession, sf_dir: str, same: str | None) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
-    near = vectors.nearest(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 40, same=same)
-    return lexical.top_k(near.drop("rank").withColumn("score", F.round("score", 5)), "query_id", "score", "vec_id", 10)
+    return vectors.nearest(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 10, same=same, digits=5).withColumn("score", F.round("score", 5))
 
 
 @query(f"WITH {KNN}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM n) SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 10")

@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{path.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table under the shared folder, worked out once."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_index(rows: DataFrame, path: str, by: str = "collection", parts: int = 32) -> None:
     """A Parquet table with a folder for each collection, so that a reader of one prunes the others; a large one is written by `parts` tasks."""
     salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != by]), F.lit(parts))

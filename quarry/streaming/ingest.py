@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import chunking, lexical
+from ..functions import text as tx
+from ..operators import chunking, embedding, lexical, metadata
 
 
 def stream_documents(spark: SparkSession, directory: str, schema: str, files_per_batch: int = 16) -> DataFrame:
@@ -13,18 +15,39 @@ def stream_documents(spark: SparkSession, directory: str, schema: str, files_per
 
 
 def ingest(docs: DataFrame, key: str, text: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Writes chunks and postings of each batch under out; a batch that runs again replaces its own folders."""
+    """Cleans each batch and writes its chunks, entities, embeddings and postings under out; a batch that runs again replaces its own folders.
+
+    Of rows with one key, the one whose text has the smallest hash counts; a
+    document that an earlier batch had is left out, so nothing is posted twice.
+    Folders of batches are read as one table: `<out>/chunks` and so on.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates([key])
-        chunking.word_windows(batch, key, text).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
-        lexical.postings(batch, key, text).write.mode("overwrite").parquet(f"{out}/postings/batch={number}")
+        spark = batch.sparkSession
+        one = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.xxhash64(text)).alias("r")).select("r.*")
+        seen = earlier(spark, f"{out}/documents", number)
+        fresh = one.join(seen.select(key), key, "left_anti") if seen is not None else one
+        cleaned = fresh.withColumn(text, tx.clean(F.coalesce(text, F.lit(""))))
+        cleaned.write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
+        made = spark.read.parquet(f"{out}/documents/batch={number}")
+        chunks = chunking.word_windows(made, key, text)
+        chunks.withColumn("vector", embedding.hash_vector(F.col("content"))).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+        metadata.equipment(made, key, text).write.mode("overwrite").parquet(f"{out}/entities/batch={number}")
+        lexical.postings(made, key, text).write.mode("overwrite").parquet(f"{out}/postings/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def earlier(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """The rows of the batches before, or None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return None
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("batch") < number) if "batch" in rows.columns else None
+
+
 def windowed_counts(events: DataFrame, at: str, by: str, length: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Events a window and kind; rows later than `late` behind the watermark are left out."""
-    from pyspark.sql import functions as F
-
     return events.withWatermark(at, late).groupBy(F.window(at, length), by).agg(F.count("*").alias("n"))
