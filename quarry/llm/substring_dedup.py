@@ -1,10 +1,11 @@
-"""Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
+"""Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark's groups.
 
 A word goes if a window that covers it has the words of a window that starts in
 a document with a smaller doc_id. Hashes travel in packed blocks: a task hashes
 its documents in numpy, keeps one entry a hash (its smallest doc_id), and deals
-the entries into buckets by hash. A bucket sends back, to each document, the
-hashes that a smaller doc_id has too; the document's windows are hashed again,
+the entries into buckets by hash. A bucket's hashes are sorted and compared in
+numpy, inside the group that Spark deals out, and it sends back, to each
+document, those that a smaller doc_id has too; the document's windows are hashed again,
 and the repeated ones merge into maximal removal intervals.
 
 Hashes have 64 bits, of which 56 travel beside the bucket's number; the odds
