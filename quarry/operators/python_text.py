@@ -110,9 +110,12 @@ def mask(texts: pd.Series) -> pd.DataFrame:
 
 
 def unmask(masked: Column, tokens: Column) -> Column:
-    """Puts token i back for its mark."""
-    marks = F.transform(tokens, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    return F.aggregate(marks, masked, lambda t, m: F.replace(t, F.concat(F.lit("__ENG_TOKEN_"), m["i"].cast("string"), F.lit("__")), m["x"]))
+    """Puts token i back for its mark, in one pass; a mark that has no token stays."""
+    mark = r"__ENG_TOKEN_(\d+)__"
+    found = F.regexp_extract_all(masked, F.lit(mark), 1)
+    put = lambda n: F.coalesce(F.get(tokens, n.try_cast("int")), F.concat(F.lit("__ENG_TOKEN_"), n, F.lit("__")))
+    joined = lambda gaps: F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(put(F.get(found, i)), F.lit(""))))), "")
+    return F.transform(F.array(F.split(masked, mark)), joined)[0]
 
 
 def protected_tokens(text: Column) -> Column:

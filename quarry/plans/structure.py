@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import classify, parsing, python_text, structure
+from ..operators import classify, cleaning, parsing, python_text, structure
 from . import fixtures
 from .cleaning import s_strip
 from .fixtures import cte
@@ -75,6 +75,21 @@ def header_footer_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.without_headers(fixtures.table(spark, "fx_sections"), "doc", "pos", "content")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents: the texts of each source in the order of their ids, under a line and above a page number of theirs."""
+    d = F.col("doc_id")
+    framed = F.concat(F.lit("REPORT OF "), F.upper("source"), F.lit("\n"), "text", F.lit("\nPage "), d.cast("string"), F.lit(" of 99"))
+    rows = read(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), (d % 50).cast("string")).alias("doc"), d.cast("int").alias("pos"), framed.alias("content"))
+    return rows.unionByName(fixtures.table(spark, "fx_sections"))
+
+
+@query()
+def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve stages over the pages of all documents; Unicode forms and masks are beyond SQL."""
+    made = cleaning.clean_documents(_pages(spark, sf_dir), "doc", "pos", "content")
+    return made.select("doc", F.sha2("cleaned", 256).alias("cleaned_hash"), F.size("page_map").alias("n_pages"), "chars_before", "chars_after", "n_lost")
+
+
 @query()
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.chunks(read(spark, sf_dir, "documents"), "doc_id", "text", "recursive")
