@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import queries as qf
 from ..functions import text as tx
-from ..operators import candidates, chunking, embedding, grounding, lexical, ranking, vectors
-from ..sources.tables import stored
+from ..operators import candidates, chunking, embedding, grounding, hybrid, lexical
 from . import fixtures
 from .cleaning import s_strip
 from .fixtures import cte
@@ -21,29 +20,19 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("doc_id", "chunk_index").alias("cid"), F.col("doc_id").alias("document"), F.col("chunk_index").alias("index"), "content")
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 10, radius: int = 1, dimension: int = 64) -> DataFrame:
-    """query_id, cid, document, index, score, rank: normalise, both channels, fusion, reranking, neighbours, near-duplicates."""
-    wide = max(20, 2 * k)
-    asked = queries.select("query_id", qf.normalize(F.col("text")).alias("text"))
-    sparse = lexical.search(chunks, asked, "cid", "content", "query_id", "text", wide)
-    vectors_ = chunks.select("cid", embedding.hash_vector(F.col("content"), dimension).alias("v"))
-    wanted = asked.select(F.col("query_id").cast("long").alias("cid"), embedding.hash_vector(F.concat(F.lit("query: "), F.col("text")), dimension).alias("v"))
-    dense = vectors.nearest(vectors_, wanted, "cid", "v", wide)
-    fused = ranking.fuse(dense.select("query_id", "cid", (F.col("rank") + 1).alias("rank")), sparse.select(F.col("query_id").cast("long").alias("query_id"), "cid", (F.col("rank") + 1).alias("rank")), "query_id", "cid").where(F.col("fused_rank") <= wide)
-    rows = fused.join(chunks, "cid").join(asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("text").alias("query")), "query_id")
-    scored = rows.select("query_id", "cid", "document", "index", ranking.lexical_score(F.col("query"), F.col("content"), F.lit(""), F.col("score")).alias("score"))
-    best = stored(lexical.top_k(scored.withColumn("score", F.round("score", 9)), "query_id", "score", "cid", max(15, k)), "best")  # used three times below
-    wider = candidates.with_neighbours(best, chunks, "query_id", radius).join(chunks.select("cid", "content"), "cid")
-    kept = candidates.without_near_duplicates(wider.withColumn("order", F.struct("rank", "cid")), "query_id", "cid", "content", "order")
-    out = kept.join(wider, ["query_id", "cid"])
-    return out.select("query_id", "cid", "document", "index", F.round("score", 6).alias("score"), F.col("place").alias("rank"), "content")
-
-
 @query()
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark passage over the chunks of all documents."""
+    """Every benchmark passage over the chunks of all documents, through all steps."""
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieve(chunk_table(read(spark, sf_dir, "documents")), queries).drop("content")
+    return hybrid.hybrid(chunk_table(read(spark, sf_dir, "documents")), queries).hits.drop("content")
+
+
+@query()
+def adaptive_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of inline queries and benchmark passages, each by the parameters of its intent."""
+    from .retrieval import asked
+
+    return hybrid.adaptive(chunk_table(read(spark, sf_dir, "documents")), asked(spark, sf_dir)).contexts.select("query_id", F.sha2("context", 256).alias("context_hash"), "n_tokens", "n_packed")
 
 
 @query()
