@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+#: Codes that begin document numbers; an organisation adds its own.
+DOCUMENT_PREFIXES = ("DOC",)
 # Identifiers that cleaning must not alter, in the order in which they are named.
 PROTECTED = [
     ("EQUIPMENT_WITH_PREFIX", r"(?i)\b(?:Pump|Motor|Compressor|Turbine|Exchanger|Vessel|Tank|Furnace|Boiler|Reactor)\s+[A-Z]{1,4}[-_][0-9]{2,4}[A-Z]?\b"),
@@ -13,7 +15,7 @@ PROTECTED = [
     ("OPERATING_LIMITS", r"(?i)\b-?\d+(?:\.\d+)?\s*(?:bar|psi|kg/cm²|kg/cm2|kPa|MPa|mbar|°C|deg\s*C|°F|deg\s*F|m³/hr|m3/hr|m³/h|m3/h|Nm³/hr|Nm3/hr|L/min|lpm|GPM|kg/hr|kg/h)\b"),
     ("STANDALONE_UNITS", r"\b(?:kg/cm²|kg/cm2|m³/hr|m3/hr|Nm³/hr|Nm3/hr|MPa|kPa|psi|bar|°C)\b"),
     ("LOOP_OR_LINE", r"(?i)\b(?:Loop|Line|Pipe|P&ID|Drawing)\s*#?\s*[A-Z0-9\"'/_.-]+\b"),
-    ("DOC_REVISION", r"(?i)\b(?:DOC[-_][A-Z0-9-]+|MRPL[-_][A-Z0-9-]+|Rev(?:\.|ision)?\s*[A-Z0-9.-]+)\b"),
+    ("DOC_REVISION", rf"(?i)\b(?:(?:{'|'.join(DOCUMENT_PREFIXES)})[-_][A-Z0-9-]+|Rev(?:\.|ision)?\s*[A-Z0-9.-]+)\b"),
 ]
 _PATTERNS = [re.compile(p) for _, p in PROTECTED]
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from ..functions import queries as qf
-from ..operators import evaluation, grounding, metadata, parsing, prompts, review
+from ..operators import grounding, parsing, prompts, review
 from . import cleaning as cl
-from . import collection, fixtures, structure
+from . import collection, drawing, fixtures, structure  # noqa: F401  whose oracles are built on below
 from . import retrieval as rt
 from .fixtures import literal as q
-from .registry import ORACLES, TEXTS
+from .registry import ORACLES
 
-N10 = chr(92) + "n"
 S_STOP = q(list(qf.STOPWORDS))
 
 
@@ -100,4 +99,10 @@ ORACLES["word_error_rate"] = f"WITH {OCR}, w AS (SELECT id, {cl.s_words('referen
 ORACLES["group_metrics"] = f"""WITH {OCR}, m AS (SELECT CASE WHEN confidence >= 0.7::DOUBLE THEN 'clean' ELSE 'degraded' END AS kind, CASE WHEN trim(reference) = trim(hypothesis) THEN 1 ELSE 0 END AS exact, {_cer} AS cer, confidence FROM o)
 SELECT kind, count(*) AS n, avg(exact) AS exact_rate, avg(cer) AS mean_cer, avg(confidence) AS mean_confidence FROM m GROUP BY ROLLUP (kind)"""
 
+from ..operators import ocr  # noqa: E402
+
+_tag = "'\\b([A-Z]{2,4})[-_ ]?(\\d{2,5}[A-Z]?)\\b'"
+ORACLES["instrument_tags"] = f"""WITH {fixtures.cte("fx_labels")}, u AS (SELECT id, upper(trim(text)) AS up FROM fx_labels), c AS (SELECT id, up, regexp_extract(up, {_tag}, 1) AS c, regexp_extract(up, {_tag}, 2) AS loop FROM u)
+SELECT id, CASE WHEN c = '' THEN 'Instrument' ELSE coalesce({rt.s_map(ocr.FIRST_LETTERS)}[c[1]], c[1]) || ' ' || array_to_string(list_transform(string_split(c[2:], ''), lambda x: coalesce({rt.s_map(ocr.NEXT_LETTERS)}[x], x)), ' ') END AS description, CASE WHEN c = '' THEN up ELSE c END AS code, loop FROM c"""
+
 __all__ = ["ORACLES"]
