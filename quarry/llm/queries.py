@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, order_minhash, packing, quality_rules, secrets, simhash, substring_dedup, token_counts, warc
+from . import licenses, merkle, mixing, order_minhash, packing, quality_rules, secrets, simhash, substring_dedup, token_counts, warc
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -62,6 +62,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(documents(spark, sf_dir)).drop("source", "path")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,5 +73,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_order_minhash, op3_secret_scan, op4_best_fit_packing, op5_edit_token_counts, op6_warc_round_trip, op7_license_scan, op8_quality_rules, op9_substring_dedup, op10_simhash_near_dedup, pipeline)
+    f.__name__: f for f in (op1_mix_sources, op2_order_minhash, op3_secret_scan, op4_best_fit_packing, op5_edit_token_counts, op6_warc_round_trip, op7_license_scan, op8_quality_rules, op9_substring_dedup, op10_simhash_near_dedup, op11_merkle_manifest, pipeline)
 }
