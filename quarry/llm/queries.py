@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, merkle, mixing, order_minhash, packing, quality_rules, secrets, simhash, substring_dedup, token_counts, warc
+from . import exact_dedup, licenses, merkle, mixing, order_minhash, packing, quality_rules, ranked_search, secrets, simhash, substring_dedup, token_counts, warc
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -70,6 +70,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,5 +81,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_order_minhash, op3_secret_scan, op4_best_fit_packing, op5_edit_token_counts, op6_warc_round_trip, op7_license_scan, op8_quality_rules, op9_substring_dedup, op10_simhash_near_dedup, op11_merkle_manifest, op12_exact_dedup, pipeline)
+    f.__name__: f for f in (op1_mix_sources, op2_order_minhash, op3_secret_scan, op4_best_fit_packing, op5_edit_token_counts, op6_warc_round_trip, op7_license_scan, op8_quality_rules, op9_substring_dedup, op10_simhash_near_dedup, op11_merkle_manifest, op12_exact_dedup, op13_ranked_search, pipeline)
 }
