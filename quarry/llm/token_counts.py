@@ -11,7 +11,8 @@ ends further before an edit is not touched; and once a boundary behind the edit
 coincides with an old one, the rest of the split repeats.
 
 Defined results: a null or empty text has no tokens; an edit beyond the end is
-cut to the text; edits apply one after another; a text is handled by itself, so
+cut to the text; edits apply one after another; an emptied text has no tokens and
+takes further edits; a text is handled by itself, so
 repeated rows and ties give equal rows; further columns are ignored; an empty
 table gives an empty result.
 """
@@ -169,7 +170,9 @@ class CountTree:
         for leaf in range(first + 1, min(last + 1, len(self.leaves))):
             self._set(leaf, [], [])
         self._set(first, new_c, new_t)
-        if len(new_c) > 8 * LEAF:
+        if not text:
+            self._build([], [])  # a descent needs a leaf with text, or a single one
+        elif len(new_c) > 8 * LEAF:
             self._build([c for x, _ in self.leaves for c in x], [t for _, y in self.leaves for t in y])
         return self.total
 
