@@ -1,11 +1,12 @@
 """Quality rules: how much of a text lies in repeated n-grams and lines.
 
 Words are runs of bytes other than space and \\t..\\r. Base figures come from
-exact 3-word windows; the verdict measures, by rolling hashes in numpy, the
-characters inside n-grams of several lengths and inside lines that came before,
-and counts symbols against words. The limits are those published for this family
-of rules, of which the usual programs, too, leave out a repeated n-gram's first
-place; README.md has what they reject of labelled documents.
+exact 3-word windows; the verdict is by repetition alone: rolling hashes in numpy
+measure the characters inside n-grams of several lengths that came before, and
+inside such lines. The limits are those published for these rules, of which the
+usual programs, too, leave out a repeated n-gram's first place. Whether a text has
+many symbols for its words is told beside the verdict and does not enter it;
+README.md has what each rejects of labelled documents.
 
 Defined results: a null or empty text has no words and fails; a document is
 judged by itself, so repeated rows and ties give equal rows; further columns of
@@ -30,11 +31,11 @@ MIN_WORDS = 50
 #: n-gram length: the largest share of word characters inside n-grams that came before in the text.
 NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_SHARE, LINE_CHAR_SHARE = 0.30, 0.20
-#: The most symbols for each word.
+#: Symbols for each word above which a text is told to have many.
 SYMBOL_SHARE = 0.10
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, dup_line_chars long, " + ", ".join(f"dup_{n}gram_chars long" for n in NGRAM_SHARE)
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, many_symbols boolean, n_lines long, dup_line_chars long, " + ", ".join(f"dup_{n}gram_chars long" for n in NGRAM_SHARE)
 
 
 def covered(starts: np.ndarray, n: int, words: int) -> np.ndarray:
@@ -100,8 +101,8 @@ def measure(text: str | None) -> tuple:
                     grams[size] = int(lengths[covered(dup, size, n)].sum())
     line_chars = sum(map(len, lines))
     failed = n < MIN_WORDS or 100 * repeat_words > 50 * n
-    kept = not failed and all(grams[k] <= share * word_chars for k, share in NGRAM_SHARE.items()) and symbols <= SYMBOL_SHARE * n and dup_lines <= LINE_SHARE * len(lines) and dup_line_chars <= LINE_CHAR_SHARE * line_chars
-    return (n, word_chars, symbols, dup_lines, repeat_words, failed, kept, len(lines), dup_line_chars, *grams.values())
+    kept = not failed and all(grams[k] <= share * word_chars for k, share in NGRAM_SHARE.items()) and dup_lines <= LINE_SHARE * len(lines) and dup_line_chars <= LINE_CHAR_SHARE * line_chars
+    return (n, word_chars, symbols, dup_lines, repeat_words, failed, kept, symbols > SYMBOL_SHARE * n, len(lines), dup_line_chars, *grams.values())
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

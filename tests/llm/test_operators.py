@@ -81,13 +81,14 @@ def slow_quality(t):
     failed = len(w) < 50 or 100 * rep > 50 * len(w)
     chars = sum(map(len, w))
     dl = [x for i, x in enumerate(lines) if x in lines[:i]]
-    ok = all(sum(len(w[i]) for i in later(n)) <= s * chars for n, s in quality_rules.NGRAM_SHARE.items()) and sum(t.count(c) for c in "#*$%&|<>") <= quality_rules.SYMBOL_SHARE * len(w) and len(dl) <= 0.3 * len(lines) and sum(map(len, dl)) <= 0.2 * sum(map(len, lines))
-    return len(w), chars, sum(t.count(c) for c in "#*$%&|<>"), len(dl), rep, failed, not failed and ok
+    ok = all(sum(len(w[i]) for i in later(n)) <= s * chars for n, s in quality_rules.NGRAM_SHARE.items()) and len(dl) <= 0.3 * len(lines) and sum(map(len, dl)) <= 0.2 * sum(map(len, lines))
+    symbols = sum(t.count(c) for c in "#*$%&|<>")
+    return len(w), chars, symbols, len(dl), rep, failed, not failed and ok, symbols > quality_rules.SYMBOL_SHARE * len(w)
 
 
 def test_quality(spark, given, awkward, given_rows):
     for df, rows in both(spark, given, awkward, given_rows):
-        got = [tuple(r)[:8] for r in quality_rules.quality_rules(df).collect()]
+        got = [tuple(r)[:9] for r in quality_rules.quality_rules(df).collect()]
         assert key(got) == key((d, *slow_quality(t)) for d, t in rows)
 
 
@@ -560,6 +561,27 @@ def test_random_edits_equal_full_recounts():
             assert tree.text == text and int(tree.chars[1]) == len(text)
 
 
+def test_edits_that_empty_and_refill_a_text():
+    """Texts of 65 to 2,000 pre-tokens, whose trees have leaves of any number, through thousands of edits."""
+    rng = random.Random(11)
+    path = tokens.vocabulary_path()
+    tree = token_counts.CountTree("hello world " * 40, path)
+    assert tree.edit(0, 480, "") == 0 and tree.edit(0, 0, "abc") == len(real_ids("abc"))
+    words_ = ["hello", " world", "\n", " it's", " 12", "!", "  x", "é"]
+    for size in (65, 97, 130, 333, 700, 2000):
+        text = "".join(rng.choice(words_) for _ in range(size))
+        tree = token_counts.CountTree(text, path)
+        for i in range(400):
+            kind = rng.random()
+            a, z = (0, len(text)) if kind < 0.3 or i % 40 == 0 else sorted((rng.randint(0, len(text)), rng.randint(0, len(text))))
+            new = "" if kind < 0.5 else "".join(rng.choice(words_) for _ in range(rng.choice([1, 3, 65, 150])))
+            text = text[:a] + new + text[z:]
+            total = tree.edit(a, z, new)
+            assert tree.text == text and int(tree.chars[1]) == len(text) and (total > 0) == bool(text)
+            if i % 7 == 0 or not text:
+                assert total == len(real_ids(text)), (size, i)
+
+
 def test_units_encode_like_whole_texts(given_rows):
     odd = ["a  b", "  x", "\x1c\x1d a", "   y　z", "a\x85b", "  ", "x \n y", "don't 's  's", "<|endoftext|> a", "a <|endoftext|> b", "!!<|endoftext|>x  <|endoftext|>  ", "a\n\nb", "a\n\n\nb c\n", "\nb c", " a\nb", "a\u2028b c", "<|endoftext|><|endoftext"]
     rng = random.Random(9)
