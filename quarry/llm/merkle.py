@@ -51,7 +51,7 @@ def depth(n: int) -> int:
 
 
 def tower(nodes: list[str], levels: int) -> list[list[str]]:
-    """The nodes, and the levels above them."""
+    """The nodes, and so many levels above them."""
     out = [nodes]
     for _ in range(levels):
         below = out[-1]
@@ -115,58 +115,54 @@ def indexed(df: DataFrame, group: str, order: list[str], store) -> DataFrame:
     return met.withColumn("idx", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_g", "_p", "_first", "_before")
 
 
-def _levels(n: int) -> int:
-    return min(LEVELS, depth(n))
-
-
 def _sorted(table: pa.Table) -> pa.Table:
     return table.take(np.argsort(table["idx"].to_numpy(), kind="stable"))
 
 
-def block(n: str = "idx") -> Column:
-    return F.expr(f"{n} div {FANOUT**LEVELS}")
+def superblock(levels: int) -> Column:
+    return F.expr(f"idx div {FANOUT**levels}").alias("sb")
 
 
-def collapse(nodes: DataFrame) -> DataFrame:
+def collapse(nodes: DataFrame, levels: int) -> DataFrame:
     """(grp, idx, n, node) of the superblocks' roots."""
+    size = FANOUT**levels
 
     def top(table: pa.Table) -> pa.Table:
         table = _sorted(table)
         n = table["n"][0].as_py()
-        root = tower([x.hex() for x in table["node"].to_pylist()], _levels(n))[-1][0]
-        size = FANOUT**LEVELS
+        root = tower([x.hex() for x in table["node"].to_pylist()], min(levels, depth(n)))[-1][0]
         return pa.table({"grp": table["grp"].slice(0, 1), "idx": pa.array([table["idx"][0].as_py() // size], pa.int64()), "n": pa.array([-(-n // size)], pa.int64()), "node": pa.array([bytes.fromhex(root)], pa.binary())})
 
-    dealt = nodes.select("grp", "idx", "n", "node").withColumn("sb", block())
+    dealt = nodes.select("grp", "idx", "n", "node", superblock(levels))
     return dealt.groupBy("grp", "sb").applyInArrow(top, "grp string, idx long, n long, node binary")
 
 
-def reduced(nodes: DataFrame, store) -> list[DataFrame]:
+def reduced(nodes: DataFrame, levels: int, store) -> list[DataFrame]:
     """The nodes, and the roots of their superblocks, and so on, until each group has one node."""
     out = [nodes]
     while (out[-1].agg(F.max("n")).first()[0] or 1) > 1:
-        out.append(store(collapse(out[-1]), "nodes"))
+        out.append(store(collapse(out[-1], levels), "nodes"))
     return out
 
 
-def paths(rounds: list[DataFrame], top: DataFrame, store) -> DataFrame:
+def paths(rounds: list[DataFrame], top: DataFrame, levels: int, store) -> DataFrame:
     """(grp, idx, node, path) of the first round's nodes; top has the path (grp, upper, subroot) from each group's root on."""
 
     def lower(nodes: pa.Table, above: pa.Table) -> pa.Table:
         nodes = _sorted(nodes)
         upper, subroot = above["upper"][0].as_py(), above["subroot"].slice(0, 1).to_pylist() * len(nodes)
-        levels = tower([x.hex() for x in nodes["node"].to_pylist()], _levels(nodes["n"][0].as_py()))
-        path = [path_of(levels, i) + upper for i in range(len(nodes))]
+        tree = tower([x.hex() for x in nodes["node"].to_pylist()], min(levels, depth(nodes["n"][0].as_py())))
+        path = [path_of(tree, i) + upper for i in range(len(nodes))]
         return pa.table({"grp": nodes["grp"], "idx": nodes["idx"], "upper": pa.array(path, pa.binary()), "subroot": pa.array(subroot, pa.binary())})
 
     above = top.select("grp", F.lit(0).cast("long").alias("idx"), "upper", "subroot")
     for nodes in rounds[-2::-1]:
-        dealt = nodes.select("grp", "idx", "n", "node").withColumn("sb", block())
+        dealt = nodes.select("grp", "idx", "n", "node", superblock(levels))
         above = store(dealt.groupBy("grp", "sb").cogroup(above.groupBy("grp", "idx")).applyInArrow(lower, "grp string, idx long, upper binary, subroot binary"), "paths")
     return above
 
 
-def manifest(docs: DataFrame) -> tuple[DataFrame, str | None]:
+def manifest(docs: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, str | None]:
     """doc_id, source, leaf, subroot, proof_sha256, folded_root and the path itself, for each row; and the root, None of an empty table.
 
     path holds, for each level from the leaf on, the leaf's place in its run, the
@@ -184,36 +180,36 @@ def manifest(docs: DataFrame) -> tuple[DataFrame, str | None]:
     told = F.when(tampered(F.col("doc_id")) & F.col("text").isNotNull(), leaf_digest(F.translate("text", UPPER, LOWER)))
     leaves = rows.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("grp"), leaf_digest(F.col("text")).alias("node"), told.alias("told"))
     leaves = store(indexed(leaves, "grp", ["doc_id", "node"], store), "leaves")
-    rounds = reduced(store(collapse(leaves), "nodes"), store)
+    rounds = reduced(store(collapse(leaves, levels), "nodes"), levels, store)
 
     # the last round has each source's root, at index 0
     subroots = rounds[-1].select(F.lit("").alias("tree"), F.col("grp").alias("of"), "node")
     sources = store(indexed(subroots, "tree", ["of"], store).withColumnRenamed("tree", "grp"), "sources")
-    over = reduced(sources, store)
+    over = reduced(sources, levels, store)
     root = over[-1].first()
-    upper = paths(over, over[-1].select("grp", F.lit(b"").alias("upper"), F.col("node").alias("subroot")), store)
+    upper = paths(over, over[-1].select("grp", F.lit(b"").alias("upper"), F.col("node").alias("subroot")), levels, store)
     top = store(sources.join(upper.select("idx", "upper"), "idx").select(F.col("of").alias("grp"), "upper", F.col("node").alias("subroot")), "tops")
-    above = paths(rounds, top, store)
+    above = paths(rounds, top, levels, store)
 
     def prove(nodes: pa.Table, above: pa.Table) -> pa.Table:
         nodes = _sorted(nodes)
         upper, subroot = above["upper"][0].as_py(), above["subroot"][0].as_py().hex()
         leaf = [x.hex() for x in nodes["node"].to_pylist()]
-        levels = tower(leaf, _levels(nodes["n"][0].as_py()))
-        path = [path_of(levels, i) + upper for i in range(len(leaf))]
+        tree = tower(leaf, min(levels, depth(nodes["n"][0].as_py())))
+        path = [path_of(tree, i) + upper for i in range(len(leaf))]
         folded = [fold(t.hex() if t else x, p) for x, t, p in zip(leaf, nodes["told"].to_pylist(), path, strict=True)]
         grp = nodes["grp"][0].as_py()
         columns = (nodes["doc_id"], [grp[1:] if grp else None] * len(leaf), leaf, [subroot] * len(leaf), [proof_digest(p) for p in path], folded, path)
         return pa.table([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(columns, (pa.int64(), *[pa.string()] * 5, pa.binary()), strict=True)], names=[x.split()[0] for x in PROOF.split(", ")])
 
-    proved = leaves.withColumn("sb", block()).groupBy("grp", "sb").cogroup(above.groupBy("grp", "idx")).applyInArrow(prove, PROOF)
+    proved = leaves.select("*", superblock(levels)).groupBy("grp", "sb").cogroup(above.groupBy("grp", "idx")).applyInArrow(prove, PROOF)
     for path in made:
         if not any(part in path for part in ("merkle-leaves", "merkle-paths", "merkle-tops")):
             remove_path(spark, path)
     return proved, root["node"].hex() if root else None
 
 
-def proofs(docs: DataFrame) -> DataFrame:
+def proofs(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """manifest() with the root in each row, and whether the folded root equals it."""
-    found, root = manifest(docs)
+    found, root = manifest(docs, levels)
     return found.withColumns({"root": F.lit(root).cast("string"), "verified": F.col("folded_root") == F.lit(root).cast("string")})
