@@ -179,7 +179,8 @@ def manifest(docs: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, str | No
     rows = pick(docs, *COLUMNS)
     told = F.when(tampered(F.col("doc_id")) & F.col("text").isNotNull(), leaf_digest(F.translate("text", UPPER, LOWER)))
     leaves = rows.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("grp"), leaf_digest(F.col("text")).alias("node"), told.alias("told"))
-    leaves = store(indexed(leaves, "grp", ["doc_id", "node"], store), "leaves")
+    # written first, so that drawing the ranges does not hash every text once more
+    leaves = store(indexed(store(leaves, "digests"), "grp", ["doc_id", "node"], store), "leaves")
     rounds = reduced(store(collapse(leaves, levels), "nodes"), levels, store)
 
     # the last round has each source's root, at index 0
