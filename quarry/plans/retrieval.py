@@ -297,3 +297,56 @@ FROM (SELECT *, lower(coalesce(category, '') || ' ' || coalesce(document_name, '
 )
 def collection_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.chunk_rows(spark, sf_dir).select("chunk_id", vectors.route(F.col("standards"), F.col("category"), F.col("document_name")).alias("collection"))
+
+
+@query(f"WITH {SEARCH} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank < 10")
+def bm25_pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by bounds first: only ranges that may hold one of a query's ten best are scored."""
+    from ..sources.tables import scratch
+
+    index = lexical.build(read(spark, sf_dir, "documents"), "doc_id", "text", scratch(spark, "bm25"))
+    return lexical.search_index(index, read(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", 10, 6, True)
+
+
+AMENDED = "(SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' pump P-203 amended' ELSE text END AS text FROM documents WHERE source <> 'src3' OR lang = 'es')"
+
+
+@query(f"WITH {SEARCH.replace('FROM documents', 'FROM ' + AMENDED)} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank < 10")
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages over an index that took all documents but French ones; then changed German and new French ones, less a source; then Spanish ones of that source again, and a compaction."""
+    from ..operators.incremental import LexicalIndex
+    from ..sources.tables import scratch
+
+    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "key")
+    changed = docs.withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit(" pump P-203 amended"))).otherwise(F.col("text")))
+    index = LexicalIndex(spark, scratch(spark, "lexical"))
+    index.apply(docs.where("lang <> 'fr'").select("key", "text"))
+    index.apply(changed.where("lang IN ('de', 'fr') AND source <> 'src3'").select("key", "text"), docs.where("source = 'src3'").select("key"))
+    index.compact()
+    index.apply(docs.where("source = 'src3' AND lang = 'es'").select("key", "text"), docs.where("source = 'src3' AND lang = 'de'").select("key"))
+    return index.search(read(spark, sf_dir, "benchmark"), "item_id", "text", 10, 6).withColumnRenamed("key", "doc_id")
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> str:
+    from ..sources.tables import scratch
+
+    path = scratch(spark, "lists")
+    vectors.build_lists(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", path)
+    return path
+
+
+@query(f"WITH {KNN}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM n) SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 10")
+def vector_lists_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All inverted lists, for the same queries."""
+    asked_ = read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    return vectors.search_lists(spark, _lists(spark, sf_dir), asked_, "vec_id", "embedding", 10, exact=True, digits=5)
+
+
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def vector_lists_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the nearest lists hold at least 0.95 of each query's ten nearest, taken together."""
+    asked_, path = read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0"), _lists(spark, sf_dir)
+    some = vectors.search_lists(spark, path, asked_, "vec_id", "embedding", 10, digits=5).select("query_id", "vec_id", F.lit(1).alias("found"))
+    every = vectors.search_lists(spark, path, asked_, "vec_id", "embedding", 10, exact=True, digits=5)
+    met = every.join(some, ["query_id", "vec_id"], "left")
+    return met.agg(F.countDistinct("query_id").alias("n_queries"), (F.count("found") >= 0.95 * F.count("*")).alias("enough"))
