@@ -47,9 +47,10 @@ def without_near_duplicates(hits: DataFrame, by: str, key: str, text: str, rank:
     return rows.groupBy("q").applyInArrow(lambda t: walk(t.sort_by("r")), f"{by} long, {key} long, place int")
 
 
-def with_neighbours(hits: DataFrame, chunks: DataFrame, by: str, radius: int = 1) -> DataFrame:
-    """Hits (by, cid, document, index, score, rank) and, after them, the chunks within radius that are not hits, at a share of the score."""
-    steps = F.array(*[F.lit(i) for i in range(-radius, radius + 1) if i])
+def with_neighbours(hits: DataFrame, chunks: DataFrame, by: str, radius: int | Column = 1) -> DataFrame:
+    """Hits (by, cid, document, index, score, rank) and, after them, the chunks within radius, which may differ by hit, that are not hits, at a share of the score."""
+    r = F.lit(radius) if isinstance(radius, int) else radius
+    steps = F.filter(F.sequence(-r, r), lambda i: i != 0)
     near = hits.select(by, "document", F.explode(steps).alias("step"), "index", "score", "rank").withColumn("index", F.col("index") + F.col("step"))
     best = near.groupBy(by, "document", "index").agg(F.max_by("score", F.struct(-F.col("rank"), -F.col("step"))).alias("score"), F.min("rank").alias("after"))
     found = best.join(chunks.select("document", "index", "cid"), ["document", "index"]).join(hits.select(by, "cid"), [by, "cid"], "left_anti")
@@ -57,13 +58,15 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, by: str, radius: int = 1
     return hits.select(more.columns).unionByName(more)
 
 
-def pack_context(hits: DataFrame, by: str, order: str, heading: Column, text: Column, budget: int) -> DataFrame:
+def pack_context(hits: DataFrame, by: str, order: str, heading: Column, text: Column, budget: int | Column) -> DataFrame:
     """by, context, n_tokens, n_packed: blocks in order while they fit; the first prose block that does not, ends it.
 
     Of that block, leading sentences still enter if more than 100 tokens are left.
     """
     block = F.struct(F.col(order).alias("o"), heading.alias("h"), strip(text).alias("t"))
-    grouped = hits.groupBy(by).agg(F.array_sort(F.collect_list(block)).alias("b"))
+    limit = F.lit(budget) if isinstance(budget, int) else budget
+    grouped = hits.groupBy(by).agg(F.array_sort(F.collect_list(block)).alias("b"), F.max(limit).alias("_budget"))
+    budget = F.col("_budget")
     tok = lambda c: tok_retrieval(c).cast("int")
     start = F.struct(F.array(F.lit(HEADER)).alias("lines"), tok(F.lit(HEADER)).alias("n"), F.lit(0).alias("packed"), F.lit(False).alias("full"))
 
@@ -71,7 +74,7 @@ def pack_context(hits: DataFrame, by: str, order: str, heading: Column, text: Co
         head = F.concat(F.lit("\n--- "), x["h"], F.lit(" ---\n"))
         whole = F.concat(head, x["t"], F.lit("\n"))
         fits = a["n"] + tok(whole) <= budget
-        room = F.lit(budget) - a["n"] - tok(head)
+        room = budget - a["n"] - tok(head)
         parts = F.aggregate(F.split(x["t"], r"\. "), F.struct(F.array().cast("array<string>").alias("s"), F.lit(0).alias("n"), F.lit(False).alias("end")), lambda p, s: F.when(p["end"] | (p["n"] + tok(s) > room), F.struct(p["s"].alias("s"), p["n"].alias("n"), F.lit(True).alias("end"))).otherwise(F.struct(F.concat(p["s"], F.array(s)).alias("s"), (p["n"] + tok(s)).alias("n"), F.lit(False).alias("end"))))
         piece = F.concat(head, F.array_join(parts["s"], ". "), F.lit("\n"))
         some = (room > 100) & (F.size(parts["s"]) > 0)

@@ -37,13 +37,19 @@ def normalize_scores(scored: DataFrame, score: str, by: str, tie: str) -> DataFr
     return rows.withColumns(made).drop("_count", "_low", "_high", "_mean", "_dev", "_rank", "_exp")
 
 
-def fuse(first: DataFrame, second: DataFrame, by: str, key: str, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists (columns by, key, rank from 1): score and fused rank."""
+def fuse(first: DataFrame, second: DataFrame, by: str, key: str, weights: tuple[float, float] = (1.0, 1.0), by_query: DataFrame | None = None) -> DataFrame:
+    """Reciprocal rank fusion of two ranked lists (columns by, key, rank from 1): score and fused rank.
+
+    by_query: the weights of each, as columns dense_weight and bm25_weight, which with its others are kept.
+    """
     a = first.select(by, key, F.col("rank").alias("rank_a"))
     b = second.select(by, key, F.col("rank").alias("rank_b"))
     both = a.join(b, [by, key], "full_outer")
-    share = lambda w, r: F.coalesce(F.lit(w) / (RRF_K + F.col(r)), F.lit(0.0))
-    scored = both.withColumn("score", share(weights[0], "rank_a") + share(weights[1], "rank_b"))
+    share = lambda w, r: F.coalesce(w / (RRF_K + F.col(r)), F.lit(0.0))
+    if by_query is not None:
+        both = both.join(by_query, by)
+    w = [F.lit(x) for x in weights] if by_query is None else [F.col("dense_weight"), F.col("bm25_weight")]
+    scored = both.withColumn("score", share(w[0], "rank_a") + share(w[1], "rank_b"))
     order = W.partitionBy(by).orderBy(F.desc("score"), F.asc_nulls_last("rank_a"), F.asc_nulls_last("rank_b"), key)
     return scored.withColumn("fused_rank", F.row_number().over(order))
 

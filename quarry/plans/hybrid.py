@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import queries as qf
 from ..functions import text as tx
 from ..operators import candidates, chunking, embedding, grounding, hybrid, lexical
-from . import fixtures
+from ..sources.tables import stored
+from . import fixtures, hybrid_sql
 from .cleaning import s_strip
 from .fixtures import cte
 from .registry import query, read
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """cid (a hash of document and index), document, index, content, name of word windows."""
+    """cid (of document and index, which is under 2**20), document, index, content of word windows; written, so that documents are read once."""
     rows = chunking.word_windows(docs, "doc_id", "text")
-    return rows.select(F.xxhash64("doc_id", "chunk_index").alias("cid"), F.col("doc_id").alias("document"), F.col("chunk_index").alias("index"), "content")
+    return stored(rows.select((F.col("doc_id") * 2**20 + F.col("chunk_index")).alias("cid"), F.col("doc_id").alias("document"), F.col("chunk_index").alias("index"), "content"), "chunks")
 
 
-@query()
+@query(hybrid_sql.HYBRID)
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage over the chunks of all documents, through all steps."""
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return hybrid.hybrid(chunk_table(read(spark, sf_dir, "documents")), queries).hits.drop("content")
 
 
-@query()
+@query(hybrid_sql.adaptive())
 def adaptive_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts of inline queries and benchmark passages, each by the parameters of its intent."""
     from .retrieval import asked
@@ -35,12 +36,12 @@ def adaptive_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.adaptive(chunk_table(read(spark, sf_dir, "documents")), asked(spark, sf_dir)).contexts.select("query_id", F.sha2("context", 256).alias("context_hash"), "n_tokens", "n_packed")
 
 
-@query()
+@query(hybrid_sql.PACKED)
 def packed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of each benchmark passage from its BM25 hits, within 600 tokens."""
     chunks = chunk_table(read(spark, sf_dir, "documents"))
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = lexical.search(chunks, queries, "cid", "content", "query_id", "text", 10).join(chunks, "cid")
+    hits = lexical.search(chunks, queries, "cid", "content", "query_id", "text", 10, 9).join(chunks, "cid")
     heading = F.concat(F.lit("["), (F.col("rank") + 1).cast("string"), F.lit("] Source: "), F.col("document").cast("string"))
     return candidates.pack_context(hits, "query_id", "rank", heading, F.col("content"), 600)
 
@@ -59,19 +60,8 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("b").isNotNull()).select("a", "b", F.round(candidates.quick_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
 
 
-HEX = "strpos('0123456789abcdef', substr(h, {0}, 1)) - 1"
-
-
-def _s_number(i: str) -> str:
-    value = "0::BIGINT"
-    for k in (3, 2, 1, 0):
-        for d in (1, 2):
-            value = f"({value} * 16 + ({HEX.format(f'{i} * 8 + {2 * k + d}')}))"
-    return f"(CASE WHEN {value} >= 2147483648 THEN {value} - 4294967296 ELSE {value} END) / 2147483648.0::DOUBLE"
-
-
 @query(
-    f"""WITH s AS (SELECT doc_id, step, sha256('local_embedder:' || text || ':' || step) AS h FROM documents, range(0, 2) AS r(step)), r AS (SELECT doc_id, step * 8 + i AS pos, {_s_number("i")} AS x FROM s, range(0, 8) AS q(i)), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM r GROUP BY doc_id)
+    f"""WITH s AS (SELECT doc_id, step, sha256('local_embedder:' || text || ':' || step) AS h FROM documents, range(0, 2) AS r(step)), r AS (SELECT doc_id, step * 8 + i AS pos, {hybrid_sql.s_number("i")} AS x FROM s, range(0, 8) AS q(i)), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM r GROUP BY doc_id)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(x / n, 6) AS x FROM r JOIN n USING (doc_id)"""
 )
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def test_hybrid_results(spark):
     texts = [f"The {w} number {i} runs at {i} bar and needs care" for i, w in enumerate(["pump P-203", "valve MOV-101", "tower", "pump P-204", "boiler", "drum V-12"] * 4)]
     chunks = spark.createDataFrame([(1000 + i, f"d{i % 6}", i // 6, t, ["P-203"] if "P-203" in t else []) for i, t in enumerate(texts)], "cid long, document string, index int, content string, equipment array<string>")
     asked = spark.createDataFrame([(1, "What is the pressure of P203?"), (2, "compare boiler and tower"), (3, "")], "query_id long, text string")
-    found = hybrid.hybrid(chunks, asked, 5, budget=200)
+    found = hybrid.hybrid(chunks, asked, k=5, budget=200)
     hits = found.hits.collect()
     assert {r.query_id for r in hits} >= {1, 2} and all(0 <= r.score <= 1 for r in hits)
     one = sorted((r for r in hits if r.query_id == 1), key=lambda r: r.rank)
