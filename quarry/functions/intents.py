@@ -21,7 +21,6 @@ STRICT = (
     r"\bstrictly\s+from\s+(?:the\s+)?(?:provided\s+)?(?:documents|documentation|records)\b",
     r"\bstrictly\s+based\s+on\b",
 )
-MAKE = r"\b(?:create|generate|export|prepare|save|output|produce|build|draft|write|download|make)\b.*?\b(?:a|an|the|as|into)?\s*(?:actual\s+)?"
 PICTURES = (
     r"\b(?:generate|create|make|render|draw|produce|synthesize|output|build|paint|sketch|illustrate)\b.*?\b(?:an?\s+)?(?:image|picture|photo|photograph|illustration|diagram|rendering|graphic|visual\s+representation|visual|schematic\s+image)\b",
     r"\b(?:text-to-image|txt2img|stable\s*diffusion|diffusion\s*image|diffusion\s*model)\b",
@@ -29,10 +28,10 @@ PICTURES = (
 )
 FILES = {
     "png": PICTURES,
-    "pdf": (MAKE + r"pdf\b", r"\bpdf\s+(?:file|document|report|artifact|export)\b", r"\bexport\s+(?:as|to)?\s*pdf\b", r"\bas\s+(?:an?\s+)?(?:actual\s+)?pdf\s+artifact\b", r"\bdownloadable\s+(?:pdf|report)\b"),
-    "docx": (MAKE + r"(?:word\s+doc(?:ument)?|docx)\b", r"\b(?:docx|word\s+document)\s+(?:file|document|report|artifact|export)\b", r"\bexport\s+(?:as|to)?\s*(?:docx|word)\b", r"\bas\s+(?:an?\s+)?(?:actual\s+)?(?:docx|word)\s+artifact\b"),
-    "xlsx": (MAKE + r"(?:excel|spreadsheet|xlsx)\b", r"\b(?:xlsx|excel\s+(?:sheet|spreadsheet))\s+(?:file|sheet|spreadsheet|artifact|export)\b", r"\bexport\s+(?:as|to)?\s*(?:xlsx|excel)\b", r"\bas\s+(?:an?\s+)?(?:actual\s+)?(?:excel|xlsx)\s+artifact\b"),
-    "pptx": (MAKE + r"(?:powerpoint|presentation|pptx|slide\s+deck)\b", r"\b(?:pptx|powerpoint)\s+(?:file|presentation|artifact|export)\b", r"\bexport\s+(?:as|to)?\s*(?:pptx|powerpoint)\b", r"\bas\s+(?:an?\s+)?(?:actual\s+)?(?:pptx|powerpoint)\s+artifact\b"),
+    "pdf": (r"\b(?:create|generate|export|prepare|save|output|produce|build|draft|write|download|make)\b.*?\b(?:a|an|the|as|into)?\s*(?:actual\s+)?pdf\b", r"\bpdf\s+(?:file|document|report|artifact|export)\b", r"\bexport\s+(?:as|to)?\s*pdf\b", r"\bas\s+(?:an?\s+)?(?:actual\s+)?pdf\s+artifact\b", r"\bdownloadable\s+(?:pdf|report)\b"),
+    "docx": (r"\b(?:create|generate|export|prepare|save|output|produce|build|draft|write|download|make)\b.*?\b(?:a|an|the|as|into)?\s*(?:actual\s+)?(?:word\s+doc(?:ument)?|docx)\b", r"\b(?:docx|word\s+document)\s+(?:file|document|report|artifact|export)\b", r"\bexport\s+(?:as|to)?\s*(?:docx|word)\b", r"\bas\s+(?:an?\s+)?(?:actual\s+)?(?:docx|word)\s+artifact\b"),
+    "xlsx": (r"\b(?:create|generate|export|prepare|save|output|produce|build|draft|write|download|make)\b.*?\b(?:a|an|the|as|into)?\s*(?:actual\s+)?(?:excel|spreadsheet|xlsx)\b", r"\b(?:xlsx|excel\s+(?:sheet|spreadsheet))\s+(?:file|sheet|spreadsheet|artifact|export)\b", r"\bexport\s+(?:as|to)?\s*(?:xlsx|excel)\b", r"\bas\s+(?:an?\s+)?(?:actual\s+)?(?:excel|xlsx)\s+artifact\b"),
+    "pptx": (r"\b(?:create|generate|export|prepare|save|output|produce|build|draft|write|download|make)\b.*?\b(?:a|an|the|as|into)?\s*(?:actual\s+)?(?:powerpoint|presentation|pptx|slide\s+deck)\b", r"\b(?:pptx|powerpoint)\s+(?:file|presentation|artifact|export)\b", r"\bexport\s+(?:as|to)?\s*(?:pptx|powerpoint)\b", r"\bas\s+(?:an?\s+)?(?:actual\s+)?(?:pptx|powerpoint)\s+artifact\b"),
 }
 EMAIL = ("draft an email", "draft email", "write an email", "write email", "compose an email", "compose email", "send an email", "send email", "prepare an email")
 APPROVAL = ("draft an approval note", "draft approval note", "prepare an approval note", "generate an approval note", "create an approval note", "write an approval note", "draft recommendation note", "prepare recommendation note")
@@ -143,7 +142,7 @@ VISUALS = (
     r"\bvisual\s+representation\s+of\b",
 )
 OFFICE = (
-    MAKE + r"(?:pdf|docx|word\s+doc(?:ument)?|excel|spreadsheet|xlsx|powerpoint|pptx)\b",
+    r"\b(?:create|generate|export|prepare|save|output|produce|build|draft|write|download|make)\b.*?\b(?:a|an|the|as|into)?\s*(?:actual\s+)?(?:pdf|docx|word\s+doc(?:ument)?|excel|spreadsheet|xlsx|powerpoint|pptx)\b",
     r"\b(?:pdf|docx|xlsx|pptx)\s+(?:file|document|report|artifact|export)\b",
     r"\bexport\s+(?:as|to)?\s*(?:pdf|docx|word|excel|xlsx|pptx|powerpoint)\b",
     r"\bas\s+(?:an?\s+)?(?:actual\s+)?(?:pdf|docx|xlsx|pptx)\s+artifact\b",

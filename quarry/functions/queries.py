@@ -9,9 +9,10 @@ from .text import WS, strip, tokens, words
 
 # Stop words, acronyms, synonyms, spellings and intent words.
 STOPWORDS = (
-    "what is the a an and or of for in on at to by with from as are were was be been being have has had do does did can could should would shall will may might must about which who whom "
-    "this that these those it its give tell show me please state describe explain"
-).split()
+    "what", "is", "the", "a", "an", "and", "or", "of", "for", "in", "on", "at", "to", "by", "with", "from", "as", "are", "were", "was", "be", "been", "being", "have", "has", "had",
+    "do", "does", "did", "can", "could", "should", "would", "shall", "will", "may", "might", "must", "about", "which", "who", "whom", "this", "that", "these", "those", "it", "its",
+    "give", "tell", "show", "me", "please", "state", "describe", "explain",
+)
 ACRONYMS = {
     "MOV": "Motor Operated Valve",
     "PRV": "Pressure Relief Valve",
@@ -66,21 +67,90 @@ SYNONYMS = {
     "vibration": ["amplitude", "frequency", "bearing vibration", "misalignment", "unbalance"],
     "leak": ["flange leak", "packing leak", "gasket failure", "emission"],
 }
-# Intents in the order in which they are tried, with single-word triggers, top k, neighbours, category.
+# Intents in the order in which they are tried, with triggers, top k, neighbours, category. The rule
+# looks at single words, so triggers of several words, which can never be met, are not listed.
 INTENTS = [
-    ("template_lookup", "template templates form forms checklist checklists blank_form format", 12, True, "templates"),
-    ("troubleshooting", "troubleshoot troubleshooting failure cause abnormal fault trip alarm cavitation overheating vibration problem solution issue diagnosis why", 25, True, "manuals"),
-    ("inspection_lookup", "inspection inspect ndt ultrasonic thickness radiography corrosion dye penetrant magnetic report", 15, True, "inspection"),
-    ("safety_lookup", "safety hazard ppe fire emergency oisd explosion danger warning flammable toxic leak evacuation interlock", 15, True, "safety"),
-    ("procedure_lookup", "sop procedure step steps protocol checklist sequence startup shutdown commissioning isolation", 12, True, "sops"),
-    ("maintenance_lookup", "maintenance overhaul repair replace pm preventive breakdown inspection ndt lubrication bearing vibration alignment schedule service", 15, True, "maintenance"),
-    ("comparison", "compare difference versus vs better contrast", 10, False, None),
-    ("table_lookup", "table matrix schedule tabulated chart bom", 8, True, None),
-    ("numerical_lookup", "limit maximum minimum max min pressure temperature setpoint alarm trip threshold range flow", 8, False, None),
-    ("specification_lookup", "specification rating capacity tolerance dimension material datasheet design head rpm kw power", 10, False, None),
-    ("equipment_lookup", "", 10, True, "manuals"),
-]
-EXCLUDED_PREFIXES = "OISD API ASME PNGRB ISO REV SEC PG FIG LINE L STD DOC SPEC FORM INSP REPORT ANNEXURE".split()
+    (
+        "template_lookup",
+        (
+            "template", "templates", "form", "forms", "checklist", "checklists", "blank_form", "format",
+        ),
+        12, True, "templates",
+    ),
+    (
+        "troubleshooting",
+        (
+            "troubleshoot", "troubleshooting", "failure", "cause", "abnormal", "fault", "trip", "alarm", "cavitation", "overheating", "vibration", "problem", "solution", "issue",
+            "diagnosis", "why",
+        ),
+        25, True, "manuals",
+    ),
+    (
+        "inspection_lookup",
+        (
+            "inspection", "inspect", "ndt", "ultrasonic", "thickness", "radiography", "corrosion", "dye", "penetrant", "magnetic", "report",
+        ),
+        15, True, "inspection",
+    ),
+    (
+        "safety_lookup",
+        (
+            "safety", "hazard", "ppe", "fire", "emergency", "oisd", "explosion", "danger", "warning", "flammable", "toxic", "leak", "evacuation", "interlock",
+        ),
+        15, True, "safety",
+    ),
+    (
+        "procedure_lookup",
+        (
+            "sop", "procedure", "step", "steps", "protocol", "checklist", "sequence", "startup", "shutdown", "commissioning", "isolation",
+        ),
+        12, True, "sops",
+    ),
+    (
+        "maintenance_lookup",
+        (
+            "maintenance", "overhaul", "repair", "replace", "pm", "preventive", "breakdown", "inspection", "ndt", "lubrication", "bearing", "vibration", "alignment", "schedule",
+            "service",
+        ),
+        15, True, "maintenance",
+    ),
+    (
+        "comparison",
+        (
+            "compare", "difference", "versus", "vs", "better", "contrast",
+        ),
+        10, False, None,
+    ),
+    (
+        "table_lookup",
+        (
+            "table", "matrix", "schedule", "tabulated", "chart", "bom",
+        ),
+        8, True, None,
+    ),
+    (
+        "numerical_lookup",
+        (
+            "limit", "maximum", "minimum", "max", "min", "pressure", "temperature", "setpoint", "alarm", "trip", "threshold", "range", "flow",
+        ),
+        8, False, None,
+    ),
+    (
+        "specification_lookup",
+        (
+            "specification", "rating", "capacity", "tolerance", "dimension", "material", "datasheet", "design", "head", "rpm", "kw", "power",
+        ),
+        10, False, None,
+    ),
+    (
+        "equipment_lookup",
+        (),
+        10, True, "manuals",
+    ),
+]
+EXCLUDED_PREFIXES = (
+    "OISD", "API", "ASME", "PNGRB", "ISO", "REV", "SEC", "PG", "FIG", "LINE", "L", "STD", "DOC", "SPEC", "FORM", "INSP", "REPORT", "ANNEXURE",
+)
 
 TAG_JOIN = r"(?i)\b(P|MOV|HX|V|C|E|K|T|TK|PU|B|R)([0-9]{2,4}[A-Z]?)\b"
 UNIT_GAPS = [(r"(?i)([0-9]+(?:\.[0-9]+)?)(bar|psi|mpa|kpa)\b", r"1 2"), (r"(?i)([0-9]+(?:\.[0-9]+)?)(kg/cm2|kg/cm²)\b", r"1 2"), (r"(?i)([0-9]+(?:\.[0-9]+)?)(rpm|kw|mw)\b", r"1 2"), (r"(?i)([0-9]+(?:\.[0-9]+)?)(degc|c|degf|f)\b", r"1 °2")]
@@ -175,7 +245,7 @@ def intents(t: Column, found: Column) -> Column:
     low = F.regexp_extract_all(F.lower(t), F.lit(r"\b[a-z0-9-]+\b"), 0)
     out = []
     for name, triggers, *_ in INTENTS:
-        hit = F.arrays_overlap(low, F.array(*[F.lit(w) for w in triggers.split()])) if triggers else F.lit(False)
+        hit = F.arrays_overlap(low, F.array(*[F.lit(w) for w in list(triggers)])) if triggers else F.lit(False)
         if name == "safety_lookup":
             hit |= F.size(found["standards"]) > 0
         if name == "numerical_lookup":

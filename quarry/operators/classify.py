@@ -16,7 +16,7 @@ RULES = {
     "Template": (["template", "templates", "forms", "blank_forms", "checklists"], ["template", "checklist", "blank_form", "standard_form"], [r"template\s*document", r"form\s*number:", r"checklist\s*template", r"sample\s*template"]),
 }
 EXTENSIONS = {"Engineering Drawing": (".dwg", ".dxf"), "Email": (".eml", ".msg")}
-SAMPLE, LEAST = 3000, 20
+LEAST = 20
 
 
 def scores(path: Column, text: Column, known: Column | None = None) -> dict[str, Column]:
@@ -24,11 +24,11 @@ def scores(path: Column, text: Column, known: Column | None = None) -> dict[str,
     before = F.regexp_replace(F.lower(known), "[ -]", "_") if known is not None else F.lit(None).cast("string")
     low = F.lower(path)
     folders, name = F.regexp_replace(low, "[^/]*$", ""), F.regexp_extract(low, "([^/]*)$", 1)
-    sample = F.lower(F.substring(text, 1, SAMPLE))
+    low_text = F.lower(text)  # whole: a signature counts wherever it stands
     out = {}
     for category, (words, names, signatures) in RULES.items():
         folder = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(folders, w))
-        content = sum((sample.rlike(p).cast("int") for p in signatures), F.lit(0))
+        content = sum((low_text.rlike(p).cast("int") for p in signatures), F.lit(0))
         told = F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(before, w)), F.lit(False))
         out[category] = F.when(told, 40).otherwise(0) + F.when(folder, 30).otherwise(0) + F.when(name.rlike("|".join(names)), 25).otherwise(0) + F.least(content * 15, F.lit(45)) + F.when(name.rlike("|".join(f"\\{e}$" for e in EXTENSIONS[category])) if category in EXTENSIONS else F.lit(False), 50).otherwise(0)
     return out

@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 
 from ..functions.protected import PROTECTED, protected_spans
 
-DIFF_LIMIT = 20_000
 #: Ranges of at most so many pairs of characters are left to difflib.
 DIFF_SMALL = 1024
 _BASE = 0x9E3779B97F4A7C15
 
+
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility normal form."""
@@ -35,7 +35,9 @@ def matched(x: str, y: str) -> int:
     """Characters in difflib's matching blocks (without junk) of x and y.
 
     The longest block of a range is found by halving its length over hashes of
-    all windows, and compared: only unequal windows of one hash go to difflib.
+    all windows, and compared: only unequal windows of one hash go to difflib. No
+    block is longer than that of the range around it. Time goes with the length,
+    its logarithm squared, and how deeply ranges nest.
     """
     if x == y:
         return len(x)
@@ -53,9 +55,9 @@ def matched(x: str, y: str) -> int:
         at = sums[side]
         return (at[lo + n : hi + 1] - at[lo : hi - n + 1]) * power[top - hi + n : top - lo + 1][::-1]
 
-    def longest(alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    def longest(alo: int, ahi: int, blo: int, bhi: int, most: int) -> tuple[int, int, int]:
         if (ahi - alo) * (bhi - blo) > DIFF_SMALL:
-            n, over = 0, min(ahi - alo, bhi - blo) + 1
+            n, over = 0, min(ahi - alo, bhi - blo, most) + 1
             while over - n > 1:
                 mid = (n + over) // 2
                 n, over = (mid, over) if np.isin(windows(0, alo, ahi, mid), windows(1, blo, bhi, mid)).any() else (n, mid)
@@ -70,27 +72,21 @@ def matched(x: str, y: str) -> int:
         i, j, n = difflib.SequenceMatcher(None, x[alo:ahi], y[blo:bhi], autojunk=False).find_longest_match()
         return i + alo, j + blo, n
 
-    total, ranges = 0, [(0, len(x), 0, len(y))]
+    total, ranges = 0, [(0, len(x), 0, len(y), top)]
     while ranges:
-        alo, ahi, blo, bhi = ranges.pop()
+        alo, ahi, blo, bhi, most = ranges.pop()
         if alo < ahi and blo < bhi:
-            i, j, n = longest(alo, ahi, blo, bhi)
+            i, j, n = longest(alo, ahi, blo, bhi, most)
             if n:
                 total += n
-                ranges += [(alo, i, blo, j), (i + n, ahi, j + n, bhi)]
+                ranges += [(alo, i, blo, j, n), (i + n, ahi, j + n, bhi, n)]
     return total
 
 
 @F.pandas_udf(T.StructType([T.StructField("removed", T.LongType()), T.StructField("normalized", T.LongType())]))
 def diff_stats(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-    """Characters removed, and characters that no matching block covers; lengths alone beyond DIFF_LIMIT."""
-    rows = []
-    for x, y in zip(before.fillna(""), after.fillna(""), strict=True):
-        if max(len(x), len(y)) > DIFF_LIMIT:
-            changed = abs(len(x) - len(y))
-        else:
-            changed = len(x) - matched(x, y)
-        rows.append((max(0, len(x) - len(y)), changed))
+    """Characters removed, and characters that no matching block covers, of texts of any length."""
+    rows = [(max(0, len(x) - len(y)), len(x) - matched(x, y)) for x, y in zip(before.fillna(""), after.fillna(""), strict=True)]
     return pd.DataFrame(rows, columns=["removed", "normalized"])
 
 

@@ -15,17 +15,23 @@ RRF_K = 60
 def normalize_scores(scored: DataFrame, score: str, by: str, tie: str) -> DataFrame:
     """Adds none, min_max, softmax, z_score and percentile, each within its group; a group of one gets 1.0.
 
-    Groups are aggregated first and joined to their rows, and ranks come from
-    buckets of a group, so that none of its tasks holds a large group whole.
+    Groups meet in one shuffle while none is of over LARGE rows, which are counted
+    first. Beyond that they are aggregated and joined to their rows, and ranks come
+    from buckets of a group, so that no task holds a large group whole.
     """
-    from .audit import ranked_in
+    from .audit import LARGE, largest, ranked_in
 
     s, n = F.col(score), F.col("_count")
-    stats = scored.groupBy(by).agg(F.count("*").alias("_count"), F.min(score).alias("_low"), F.max(score).alias("_high"), F.avg(score).alias("_mean"), F.stddev_pop(score).alias("_dev"))
-    rows = ranked_in(scored, by, score, tie, "_rank")
-    rows = rows.join(stats.withColumnRenamed(by, "_key"), F.col(by).eqNullSafe(F.col("_key"))).drop("_key")
-    sums = scored.join(stats.select(F.col(by).alias("_key"), "_high"), F.col(by).eqNullSafe(F.col("_key"))).groupBy("_key").agg(F.sum(F.exp(s - F.col("_high"))).alias("_exp"))
-    rows = rows.join(sums, F.col(by).eqNullSafe(F.col("_key"))).drop("_key")
+    if largest(scored, by) <= LARGE:
+        w = W.partitionBy(by)
+        rows = scored.withColumns({"_count": F.count("*").over(w), "_low": F.min(score).over(w), "_high": F.max(score).over(w), "_mean": F.avg(score).over(w), "_dev": F.stddev_pop(score).over(w), "_rank": F.row_number().over(w.orderBy(score, tie)) - 1})
+        rows = rows.withColumn("_exp", F.sum(F.exp(s - F.col("_high"))).over(w))
+    else:
+        stats = scored.groupBy(by).agg(F.count("*").alias("_count"), F.min(score).alias("_low"), F.max(score).alias("_high"), F.avg(score).alias("_mean"), F.stddev_pop(score).alias("_dev"))
+        rows = ranked_in(scored, by, score, tie, "_rank")
+        rows = rows.join(stats.withColumnRenamed(by, "_key"), F.col(by).eqNullSafe(F.col("_key"))).drop("_key")
+        sums = scored.join(stats.select(F.col(by).alias("_key"), "_high"), F.col(by).eqNullSafe(F.col("_key"))).groupBy("_key").agg(F.sum(F.exp(s - F.col("_high"))).alias("_exp"))
+        rows = rows.join(sums, F.col(by).eqNullSafe(F.col("_key"))).drop("_key")
     one = lambda c: F.when(n == 1, 1.0).otherwise(c)
     made = {
         "none": one(s),

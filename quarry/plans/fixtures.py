@@ -82,7 +82,7 @@ def table(spark: SparkSession, name: str) -> DataFrame:
 def literal(value: object) -> str:
     if value is None:
         return "NULL"
-    if isinstance(value, list):
+    if isinstance(value, list | tuple):
         return "[" + ", ".join(map(literal, value)) + "]"
     return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
 

@@ -91,7 +91,7 @@ def query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _s_intents() -> str:
     out = []
     for name, triggers, *_ in qf.INTENTS:
-        hit = f"list_has_any(low, {q(triggers.split())})" if triggers else "false"
+        hit = f"list_has_any(low, {q(list(triggers))})" if triggers else "false"
         more = {"safety_lookup": "standards", "numerical_lookup": "pressure_values", "equipment_lookup": "equipment_tags"}.get(name)
         out.append(f"CASE WHEN {hit}{f' OR len({more}) > 0' if more else ''} THEN {q(name)} END")
     return f"list_filter([{', '.join(out)}], lambda x: x IS NOT NULL)"

@@ -48,7 +48,7 @@ def _s_scores() -> str:
 
 
 @query(
-    f"""WITH {cte("fx_files")}, files AS (SELECT * FROM fx_files UNION ALL SELECT url, html, NULL FROM pages), p AS (SELECT path, replace(replace(lower(known), ' ', '_'), '-', '_') AS before, regexp_replace(lower(path), '[^/]*$', '') AS folders, regexp_extract(lower(path), '([^/]*)$', 1) AS name, lower(substr(text, 1, {classify.SAMPLE})) AS sample FROM files), s AS (SELECT path, {_s_scores()} AS s FROM p), b AS (SELECT path, list_max(s) AS m, {q(list(classify.RULES))}[list_position(s, list_max(s))] AS c FROM s)
+    f"""WITH {cte("fx_files")}, files AS (SELECT * FROM fx_files UNION ALL SELECT url, html, NULL FROM pages), p AS (SELECT path, replace(replace(lower(known), ' ', '_'), '-', '_') AS before, regexp_replace(lower(path), '[^/]*$', '') AS folders, regexp_extract(lower(path), '([^/]*)$', 1) AS name, lower(text) AS sample FROM files), s AS (SELECT path, {_s_scores()} AS s FROM p), b AS (SELECT path, list_max(s) AS m, {q(list(classify.RULES))}[list_position(s, list_max(s))] AS c FROM s)
 SELECT path, CASE WHEN m >= {classify.LEAST} THEN c ELSE 'Unknown' END AS category, CASE WHEN m >= {classify.LEAST} THEN round(least(0.5::DOUBLE + m / 150.0::DOUBLE * 0.49::DOUBLE, 0.99::DOUBLE), 2) ELSE 0.1::DOUBLE END AS confidence FROM b"""
 )
 def document_classification(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import io
 import json
 import re
 import zipfile
+from collections import Counter
 import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -104,13 +105,20 @@ def decoded(raw: bytes) -> str:
     return raw.decode("ascii", "replace")
 
 
+def csv_rows(text: str) -> list[list[str]]:
+    """The rows under the delimiter that gives most rows, of the whole text, the same number of fields above one; a comma if none does."""
+    best: tuple[int, list[list[str]]] | None = None
+    for delimiter in ",;\t|":
+        rows = list(csv.reader(io.StringIO(text), delimiter=delimiter, skipinitialspace=True))
+        widths = Counter(len(r) for r in rows if len(r) > 1)
+        alike = max(widths.values(), default=0)
+        if best is None or alike > best[0]:
+            best = alike, rows
+    return best[1]
+
+
 def read_csv(raw: bytes) -> str:
-    text = decoded(raw)
-    try:
-        dialect = csv.Sniffer().sniff(text[:4096], ",;\t|")
-    except csv.Error:
-        dialect = csv.excel
-    return "\n".join(" | ".join(c.strip() for c in row if c.strip()) for row in csv.reader(io.StringIO(text), dialect))
+    return "\n".join(" | ".join(c.strip() for c in row if c.strip()) for row in csv_rows(decoded(raw)))
 
 
 def _texts(raw: bytes, tag: str) -> list[str]:

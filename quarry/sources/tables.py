@@ -18,10 +18,11 @@ def _own_dir() -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the folder in spark.checkpoint.dir; where none is set, one of our own in local mode, else one in the warehouse."""
-    local = spark.sparkContext.master.split("[")[0] == "local"
-    path = spark.conf.get("spark.checkpoint.dir", None) or (_own_dir() if local else spark.conf.get("spark.sql.warehouse.dir") + "/_quarry")
-    return f"{path.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path under the folder in spark.checkpoint.dir; where none is set, one of our own in local mode. A cluster has to name one that all executors share."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(path or _own_dir()).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:

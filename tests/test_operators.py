@@ -234,7 +234,45 @@ def test_cleaning_statistics_measure_every_text(spark):
     for d, x, y in rows:
         x, y = x or "", y or ""
         same = len(x) if x == y else sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-        changed = abs(len(x) - len(y)) if max(len(x), len(y)) > python_text.DIFF_LIMIT else len(x) - same
-        want.append((d, max(0, len(x) - len(y)), changed))
+        want.append((d, max(0, len(x) - len(y)), len(x) - same))
     got = [tuple(r) for r in QUERIES["cleaning_statistics"](spark, sf).collect()]
     assert len(got) > 200 and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_differences_of_long_texts():
+    """Beyond 20,000 characters, where lengths alone counted: against difflib, and where the blocks are known."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
+    x = " ".join(rng.choice(words) for _ in range(4000))
+    y = x.replace("a ", "a  ", 40).replace("b", "", 30)
+    assert len(x) > 20_000
+    assert python_text.matched(x, y) == sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+    long = "".join(chr(0x4E00 + i % 20_000) if i % 7 else str(i) for i in range(100_000))
+    cut = [i * 997 for i in range(1, 100)]
+    less = "".join(c for i, c in enumerate(long) if i not in set(cut))
+    assert python_text.matched(long, less) >= len(less) - 200
+
+
+def test_signatures_and_delimiters_of_whole_texts(spark):
+    from quarry.operators import classify
+    from quarry.sources import files
+
+    late = "word " * 2000 + "inspection report of the wall thickness"
+    row = spark.createDataFrame([("x.txt", late)], "p string, t string").select(classify.classified(F.col("p"), F.col("t")).alias("c")).first().c
+    assert row.category == "Inspection Report"
+    text = "a line of text, with one comma\n" + "\n".join(f"{i};{i * 2};x" for i in range(3000))
+    assert files.read_csv(text.encode()).split("\n")[2999] == "2998 | 5996 | x"
+    assert files.read_csv(b"a|b\n1|2") == "a | b\n1 | 2" and files.read_csv(b"alone") == "alone" and files.read_csv(b'"x, y",z\n1,2') == "x, y | z\n1 | 2"
+
+
+def test_a_cluster_has_to_name_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from quarry.sources import tables
+
+    conf = {}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="app"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.scratch(session, "x")
+    conf["spark.checkpoint.dir"] = "hdfs://shared/"
+    assert tables.scratch(session, "x").startswith("hdfs://shared/app/x-")

@@ -47,7 +47,9 @@ def test_equal_vectors_are_ranked_by_key(spark):
     assert np.allclose([r.score for r in got], 1)
 
 
-def test_ranks_in_buckets(spark):
+@pytest.mark.parametrize("large", [audit.LARGE, 100])
+def test_ranks_in_buckets(spark, monkeypatch, large):
+    monkeypatch.setattr(audit, "LARGE", large)
     rng = random.Random(3)
     rows = [("hot" if i % 10 else None, rng.choice([1.0, 2.0, rng.random() * 9]), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, v double, t int").repartition(4)
