@@ -35,17 +35,17 @@ def ocr_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p[1] AS from_tag, p[2] AS to_tag, min(id) AS first_key FROM m GROUP BY ALL"""
 )
 def drawing_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.connections(fixtures.table(spark, "fx_labels"), "id", "text")
+    return ocr.connections(fixtures.table(spark, "fx_labels", sf_dir), "id", "text")
 
 
 @query()
 def instrument_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, "fx_labels").select("id", ocr.instrument(F.col("text")).alias("i")).select("id", "i.description", "i.code", "i.loop")
+    return fixtures.table(spark, "fx_labels", sf_dir).select("id", ocr.instrument(F.col("text")).alias("i")).select("id", "i.description", "i.code", "i.loop")
 
 
 @query(f"WITH {cte('fx_ocr_tags', 'fx_vlm_tags')}, a AS (SELECT tag, max(confidence) AS a FROM fx_ocr_tags GROUP BY tag), b AS (SELECT tag, max(confidence) AS b FROM fx_vlm_tags GROUP BY tag) SELECT coalesce(a.tag, b.tag) AS tag, CASE WHEN a IS NULL THEN 'vlm' WHEN b IS NULL THEN 'ocr' ELSE 'both' END AS source, greatest(a, b) AS confidence FROM a FULL OUTER JOIN b ON a.tag = b.tag")
 def equipment_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.merged_registry(fixtures.table(spark, "fx_ocr_tags"), fixtures.table(spark, "fx_vlm_tags"))
+    return ocr.merged_registry(fixtures.table(spark, "fx_ocr_tags", sf_dir), fixtures.table(spark, "fx_vlm_tags", sf_dir))
 
 
 @query("SELECT conv_id, turn, 'turn_' || substr(sha256(CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)), 1, 8) AS id FROM conversations")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES = [
@@ -71,12 +73,37 @@ TABLES = {
     "fx_calc": (CALC, "id int, p double, r double, s double, e double"),
     "fx_scores": (SCORES, "id int, retrieval double, citation double, grounding double"),
 }
+#: Rows of given tables that join the inline ones, in SQL that Spark and DuckDB read alike; {name} is a given table.
+MORE = {
+    "fx_claims": "SELECT 'part-' || CAST(l_partkey AS STRING), 'flag', l_returnflag, '[' || CAST(l_linenumber AS STRING) || ']' FROM {lineitem}",
+    "fx_scores": "SELECT CAST(1000 + l_orderkey * 10 + l_linenumber AS INT), l_extendedprice / 90000, l_quantity / 47, (l_discount + CAST(0.013 AS DOUBLE)) * 7 FROM {lineitem}",
+    "fx_ocr": "SELECT CAST(1000 + p_partkey AS INT), p_name || ' ' || p_brand, CASE WHEN p_size % 4 > 0 THEN replace(replace(p_name, 'i', '1'), 'e', '') || '  ' || p_brand ELSE p_name || ' ' || p_brand END, CAST(p_partkey % 97 AS DOUBLE) / 96 FROM {part}",
+    "fx_kv_truth": "SELECT CAST(o_orderkey + 10 AS INT), 'Status', o_orderstatus FROM {orders} UNION ALL SELECT CAST(o_orderkey + 10 AS INT), 'Priority', o_orderpriority FROM {orders}",
+    "fx_kv_found": "SELECT CAST(o_orderkey + 10 AS INT), ' status', CASE WHEN o_orderkey % 7 = 0 THEN '?' ELSE lower(o_orderstatus) END FROM {orders} UNION ALL SELECT CAST(o_orderkey + 10 AS INT), 'PRIORITY', o_orderpriority || '  ' FROM {orders} WHERE o_custkey % 5 > 0",
+    "fx_calc": "SELECT CAST(1000 + p_partkey AS INT), p_retailprice / 97, CAST(p_size * 10 AS DOUBLE), CAST(20 + p_partkey % 7 AS DOUBLE), CAST(0.85 AS DOUBLE) FROM {part}",
+    "fx_labels": "SELECT CAST(1000 + p_partkey AS INT), CASE p_size % 3 WHEN 0 THEN 'P-' || CAST(p_partkey % 900 + 100 AS STRING) || ' feeds into HX-' || CAST(p_size + 10 AS STRING) WHEN 1 THEN 'FIC-' || CAST(p_partkey % 900 + 100 AS STRING) ELSE p_name || ' PT ' || CAST(p_size + 100 AS STRING) END FROM {part}",
+    "fx_ocr_tags": "SELECT 'P-' || CAST(l_partkey % 900 + 100 AS STRING), l_discount * 9 FROM {lineitem}",
+    "fx_vlm_tags": "SELECT 'P-' || CAST(l_suppkey % 900 + 100 AS STRING), l_tax * 9 FROM {lineitem}",
+    "fx_title": "SELECT 'o' || CAST(o_orderkey AS STRING), 1, 'DWG NO: AB-' || CAST(o_custkey AS STRING) FROM {orders} UNION ALL SELECT 'o' || CAST(o_orderkey AS STRING), 2, 'REV: ' || CAST(o_orderkey % 9 AS STRING) || ' SCALE: 1:' || CAST(o_custkey % 100 + 1 AS STRING) FROM {orders} WHERE o_orderstatus <> 'F' UNION ALL SELECT 'o' || CAST(o_orderkey AS STRING), 3, 'UNIT: CDU-' || CAST(o_custkey % 3 AS STRING) || ' REV: 7' FROM {orders}",
+    "fx_drawings": "SELECT CAST(1000 + p_partkey AS INT), CASE p_size % 4 WHEN 0 THEN 'Process flow of ' || p_name WHEN 1 THEN 'Single-line of ' || p_name ELSE p_name END, CASE p_size % 3 WHEN 0 THEN 'PFD' ELSE 'Electrical' END FROM {part}",
+    "fx_cells": "SELECT 'o' || CAST(l_orderkey AS STRING), l_linenumber, 0, CAST(CAST(l_quantity AS INT) AS STRING) FROM {lineitem} UNION ALL SELECT 'o' || CAST(l_orderkey AS STRING), l_linenumber, 1, l_returnflag FROM {lineitem}",
+    "fx_seen": "SELECT 'o' || CAST(l_orderkey AS STRING), l_linenumber, 0, CAST(CAST(l_quantity AS INT) AS STRING) || ' ' FROM {lineitem} UNION ALL SELECT 'o' || CAST(l_orderkey AS STRING), l_linenumber, 1, lower(l_returnflag) FROM {lineitem} WHERE l_linestatus = 'F'",
+    "fx_pages": "SELECT CAST(1000 + page_id AS INT), url, CAST(800 + page_id % 13 * 200 AS INT), CAST(600 + page_id % 7 * 250 AS INT), html, CAST(page_id % 5 AS INT) FROM {pages}",
+    "fx_marks": "SELECT CAST(1000 + p_partkey AS INT), CASE p_size % 3 WHEN 0 THEN p_name || ' FIC-' || CAST(p_partkey % 900 + 100 AS STRING) WHEN 1 THEN 'P-' || CAST(p_partkey % 900 + 100 AS STRING) || ' ' || p_brand ELSE '  ' || p_name END FROM {part}",
+    "fx_report": "SELECT 'd' || CAST(o_custkey % 40 AS STRING), CASE o_orderstatus WHEN 'F' THEN 'DIRECT' WHEN 'O' THEN 'GENERIC_REQUIREMENT' WHEN 'P' THEN 'RELATED' ELSE 'UNRELATED' END, 'Order is ' || o_orderpriority, '[' || CAST(o_orderkey AS STRING) || ']', CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 90 AS INT) END, CAST(o_orderkey + 10 AS INT) FROM {orders}",
+    "fx_sections": "SELECT source || '/' || CAST(doc_id % 50 AS STRING), CAST(doc_id AS INT), 'REPORT OF ' || upper(source) || chr(10) || text || chr(10) || 'Page ' || CAST(doc_id AS STRING) || ' of 99' FROM {documents}",
+}
 DUCK = {"int": "INTEGER", "long": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "array<string>": "VARCHAR[]"}
 
 
-def table(spark: SparkSession, name: str) -> DataFrame:
+def table(spark: SparkSession, name: str, sf_dir: str | None = None) -> DataFrame:
+    """The inline rows, and with sf_dir those that MORE draws from its tables."""
     rows, schema = TABLES[name]
-    return spark.createDataFrame(rows, schema)
+    inline = spark.createDataFrame(rows, schema)
+    if sf_dir is None or name not in MORE:
+        return inline
+    given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", MORE[name]))}
+    return inline.unionAll(spark.sql(MORE[name], **given))
 
 
 def literal(value: object) -> str:
@@ -95,7 +122,8 @@ def cte(*names: str) -> str:
         columns = [c.rsplit(" ", 1) for c in schema.replace("`", "").split(", ")]
         casts = ", ".join(f'CAST(c{i} AS {DUCK[t]}) AS "{n}"' for i, (n, t) in enumerate(columns))
         values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
-        out.append(f"{name} AS (SELECT {casts} FROM (VALUES {values}) AS v({', '.join(f'c{i}' for i in range(len(columns)))}))")
+        more = f" UNION ALL {re.sub('[{}]', '', MORE[name])}" if name in MORE else ""
+        out.append(f"{name} AS (SELECT {casts} FROM (VALUES {values}) AS v({', '.join(f'c{i}' for i in range(len(columns)))}){more})")
     return ",\n".join(out)
 
 

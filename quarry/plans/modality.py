@@ -29,7 +29,7 @@ def _s_kind(a: str, b: str, c: str) -> str:
 
 @query(f"WITH {cte('fx_marks')} SELECT id, {_s_kind(q('instrument_tag'), q('equipment_tag'), q('note'))} AS kind, {_s_kind(f'regexp_extract(text, {q(modality.INSTRUMENT_TAG)}, 1)', f'regexp_extract(text, {q(modality.EQUIPMENT_TAG)}, 1)', s_strip('text'))} AS label FROM fx_marks")
 def drawing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, "fx_marks").select("id", modality.label(F.col("text")).alias("m")).select("id", "m.kind", "m.label")
+    return fixtures.table(spark, "fx_marks", sf_dir).select("id", modality.label(F.col("text")).alias("m")).select("id", "m.kind", "m.label")
 
 
 def _s_some(c: str, by: float) -> str:
@@ -49,14 +49,14 @@ WHEN document_score >= 2 AND document_score >= drawing_score THEN 'plain_documen
 )
 def modality_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = modality.route(*map(F.col, ("path", "width", "height", "text", "paragraphs")))
-    return fixtures.table(spark, "fx_pages").select("id", r.alias("r")).select("id", "r.drawing_score", "r.document_score", "r.decision")
+    return fixtures.table(spark, "fx_pages", sf_dir).select("id", r.alias("r")).select("id", "r.drawing_score", "r.document_score", "r.decision")
 
 
 @query(
     f"""WITH {cte("fx_report")} SELECT CASE WHEN relation IN ('DIRECT', 'RELATED') THEN 'findings' ELSE 'requirements' END AS kind, document_name AS heading, string_agg(text || ' ' || citation || coalesce(' (page ' || page || ')', ''), chr(10) ORDER BY pos) AS bullets FROM fx_report WHERE relation <> 'UNRELATED' GROUP BY 1, 2"""
 )
 def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modality.report_sections(fixtures.table(spark, "fx_report")).withColumn("bullets", F.array_join("bullets", "\n"))
+    return modality.report_sections(fixtures.table(spark, "fx_report", sf_dir)).withColumn("bullets", F.array_join("bullets", "\n"))
 
 
 @query(f"WITH {TEXTS} SELECT doc_id, 'encoding:' || length(text) || '>' || length({s_encoding('text')}) AS history FROM texts")

@@ -35,7 +35,7 @@ def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {cte('fx_claims')} SELECT entity, field, count(DISTINCT lower(trim(value))) AS n_values, count(*) AS n_claims FROM fx_claims GROUP BY ALL HAVING count(DISTINCT lower(trim(value))) > 1")
 def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.conflicts(fixtures.table(spark, "fx_claims"))
+    return ev.conflicts(fixtures.table(spark, "fx_claims", sf_dir))
 
 
 def s_unit(x: str) -> str:
@@ -45,7 +45,7 @@ def s_unit(x: str) -> str:
 @query(f"WITH {cte('fx_scores')} SELECT id, round({s_unit('0.35::DOUBLE * ' + s_unit('retrieval') + ' + 0.35::DOUBLE * ' + s_unit('citation') + ' + 0.3::DOUBLE * ' + s_unit('grounding'))}, 4) AS confidence, round({s_unit('0.35::DOUBLE * ' + s_unit('retrieval') + ' + 0.35::DOUBLE * ' + s_unit('citation') + ' + 0.3::DOUBLE * ' + s_unit('grounding'))}, 4) >= 0.8 AS high FROM fx_scores")
 def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = ev.confidence(F.col("retrieval"), F.col("citation"), F.col("grounding"))
-    return fixtures.table(spark, "fx_scores").select("id", c.alias("confidence"), (c >= 0.8).alias("high"))
+    return fixtures.table(spark, "fx_scores", sf_dir).select("id", c.alias("confidence"), (c >= 0.8).alias("high"))
 
 
 def s_squeeze(t: str) -> str:
@@ -57,12 +57,12 @@ OCR = f"{cte('fx_ocr')}, o AS (SELECT *, {s_squeeze('reference')} AS a, {s_squee
 
 @query()
 def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, "fx_ocr").select("id", F.round(ev.character_errors(F.col("reference"), F.col("hypothesis")), 6).alias("cer"))
+    return fixtures.table(spark, "fx_ocr", sf_dir).select("id", F.round(ev.character_errors(F.col("reference"), F.col("hypothesis")), 6).alias("cer"))
 
 
-@query(f"WITH {OCR}, b AS (SELECT *, CASE {' '.join(f'WHEN confidence >= {lo}::DOUBLE AND confidence < {hi}::DOUBLE THEN {i}' for i, (lo, hi) in enumerate(ev.BUCKETS))} END AS bucket FROM o) SELECT bucket, count(*) AS n, avg(confidence) AS mean_confidence, avg(CASE WHEN a = b THEN 1 ELSE 0 END) AS accuracy FROM b WHERE bucket IS NOT NULL GROUP BY bucket")
+@query(f"WITH {OCR}, b AS (SELECT *, CASE {' '.join(f'WHEN confidence >= {lo}::DOUBLE AND confidence < {hi}::DOUBLE THEN {i}' for i, (lo, hi) in enumerate(ev.BUCKETS))} END AS bucket FROM o) SELECT bucket, count(*) AS n, round(avg(confidence), 9) AS mean_confidence, round(avg(CASE WHEN a = b THEN 1 ELSE 0 END), 9) AS accuracy FROM b WHERE bucket IS NOT NULL GROUP BY bucket")
 def confidence_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.calibration(fixtures.table(spark, "fx_ocr"))
+    return ev.calibration(fixtures.table(spark, "fx_ocr", sf_dir)).withColumns({c: F.round(c, 9) for c in ("mean_confidence", "accuracy")})
 
 
 @query(
@@ -71,12 +71,12 @@ c AS (SELECT (SELECT count(*) FROM t SEMI JOIN p USING (doc_id, k, v)) AS matche
 SELECT matched, truth, found, matched / found AS precision, matched / truth AS recall, 2 * (matched / found) * (matched / truth) / (matched / found + matched / truth) AS f1 FROM c"""
 )
 def key_value_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.key_value_scores(fixtures.table(spark, "fx_kv_truth"), fixtures.table(spark, "fx_kv_found"))
+    return ev.key_value_scores(fixtures.table(spark, "fx_kv_truth", sf_dir), fixtures.table(spark, "fx_kv_found", sf_dir))
 
 
 @query(f"WITH {cte('fx_calc')} SELECT id, CASE WHEN s * e - 0.6::DOUBLE * p > 0 THEN round(p * r / (s * e - 0.6::DOUBLE * p), 6) END AS thickness FROM fx_calc")
 def wall_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, "fx_calc").select("id", F.round(ev.wall_thickness(*map(F.col, "prse")), 6).alias("thickness"))
+    return fixtures.table(spark, "fx_calc", sf_dir).select("id", F.round(ev.wall_thickness(*map(F.col, "prse")), 6).alias("thickness"))
 
 
 @query(

@@ -49,7 +49,7 @@ def claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {cte('fx_drawings')} SELECT id, CASE WHEN coalesce(trim(predicted), '') = '' THEN NULL " + " ".join(f"WHEN expected = {q(c)} THEN {' OR '.join(f'contains(lower(trim(predicted)), {q(w)})' for w in words)}" for c, words in review.DRAWING_WORDS.items()) + " END AS matches FROM fx_drawings")
 def drawing_type_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, "fx_drawings").select("id", review.type_matches(F.col("predicted"), F.col("expected")).alias("matches"))
+    return fixtures.table(spark, "fx_drawings", sf_dir).select("id", review.type_matches(F.col("predicted"), F.col("expected")).alias("matches"))
 
 
 def _s_field(n: str, p: str) -> str:
@@ -58,20 +58,20 @@ def _s_field(n: str, p: str) -> str:
 
 @query(f"WITH {cte('fx_title')} SELECT doc, {', '.join(_s_field(n, p) for n, p in review.TITLE_BLOCK.items())} FROM fx_title GROUP BY doc")
 def title_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.title_block(fixtures.table(spark, "fx_title"), "doc", "pos", "text")
+    return review.title_block(fixtures.table(spark, "fx_title", sf_dir), "doc", "pos", "text")
 
 
 @query(f"WITH {cte('fx_cells', 'fx_seen')} SELECT coalesce(t.doc_id, f.doc_id) AS doc_id, count(t.text) AS cells, count(CASE WHEN t.text = f.text THEN 1 END) AS exact, count(CASE WHEN lower(trim(t.text)) = lower(trim(f.text)) THEN 1 END) AS normalized FROM fx_cells t FULL OUTER JOIN fx_seen f ON t.doc_id = f.doc_id AND t.row_idx = f.row_idx AND t.col_idx = f.col_idx GROUP BY 1")
 def table_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.cell_accuracy(fixtures.table(spark, "fx_cells"), fixtures.table(spark, "fx_seen"))
+    return review.cell_accuracy(fixtures.table(spark, "fx_cells", sf_dir), fixtures.table(spark, "fx_seen", sf_dir))
 
 
 @query()
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, "fx_ocr").select("id", review.word_errors("reference", "hypothesis").alias("wer"))
+    return fixtures.table(spark, "fx_ocr", sf_dir).select("id", review.word_errors("reference", "hypothesis").alias("wer"))
 
 
 @query()
 def group_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.table(spark, "fx_ocr").withColumn("kind", F.when(F.col("confidence") >= 0.7, "clean").otherwise("degraded"))
+    rows = fixtures.table(spark, "fx_ocr", sf_dir).withColumn("kind", F.when(F.col("confidence") >= 0.7, "clean").otherwise("degraded"))
     return review.group_metrics(rows, "kind")

@@ -72,7 +72,7 @@ h AS (SELECT *, coalesce(n >= 2 AND t IS NOT NULL AND nt >= 2, false) AS head, c
 b AS (SELECT *, CASE WHEN head THEN regexp_replace(content, '^[^\\n]*\\n?', '') ELSE content END AS cut FROM h) SELECT doc, pos, {s_strip("CASE WHEN foot THEN regexp_replace(" + s_strip("cut") + ", '" + chr(92) + "n?[^" + chr(92) + "n]*$', '') ELSE cut END")} AS cleaned FROM b"""
 )
 def header_footer_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.without_headers(fixtures.table(spark, "fx_sections"), "doc", "pos", "content")
+    return parsing.without_headers(fixtures.table(spark, "fx_sections", sf_dir), "doc", "pos", "content")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
