@@ -141,7 +141,7 @@ def heading(text: Column, isolated: Column) -> Column:
     t = strip(text)
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     upper = F.length(F.regexp_replace(t, r"[^\p{Lu}]", ""))
-    number = F.regexp_extract(t, r"^(\d+(?:\.\d+)*)\.?\s+\S", 1)
+    number = F.regexp_extract(t, r"^(\d+(?:\.\d+)*)[.\s]\s*.+$", 1)
     made = lambda level, sure: F.struct(level.cast("int").alias("level"), F.lit(sure).alias("confidence"))
     n_words = F.regexp_count(t, F.lit(f"[^{WS}]+"))
     return (

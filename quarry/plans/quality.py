@@ -79,18 +79,35 @@ def wall_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, "fx_calc", sf_dir).select("id", F.round(ev.wall_thickness(*map(F.col, "prse")), 6).alias("thickness"))
 
 
-@query(
-    f"""WITH {cte("fx_boxes")}, p AS (SELECT a.page, a.id AS source, b.id AS target, a."left" < b."right" AND b."left" < a."right" AND a.top < b.bottom AND b.top < a.bottom AS over, a."right" <= b."left" AS l, a."left" >= b."right" AS r, a.bottom <= b.top AS u, a.top >= b.bottom AS d,
-sqrt(power(greatest(0, a."left" - b."right", b."left" - a."right"), 2) + power(greatest(0, a.top - b.bottom, b.top - a.bottom), 2)) <= 50 AS near FROM fx_boxes a JOIN fx_boxes b ON a.page = b.page AND a.id <> b.id),
-x AS (SELECT page, source, target, unnest(CASE WHEN over THEN ['OVERLAPS'] ELSE list_filter([CASE WHEN l THEN 'LEFT_OF' END, CASE WHEN r THEN 'RIGHT_OF' END, CASE WHEN u THEN 'ABOVE' END, CASE WHEN d THEN 'BELOW' END, CASE WHEN near THEN 'NEAR' END], lambda z: z IS NOT NULL) END) AS relation FROM p) SELECT * FROM x"""
-)
+def _s_relations(boxes: str, near: float, only_near: bool) -> str:
+    gap = 'sqrt(power(greatest(0, a."left" - b."right", b."left" - a."right"), 2) + power(greatest(0, a.top - b.bottom, b.top - a.bottom), 2))'
+    return f"""SELECT page, source, target, unnest(CASE WHEN over THEN ['OVERLAPS'] ELSE list_filter([CASE WHEN l THEN 'LEFT_OF' END, CASE WHEN r THEN 'RIGHT_OF' END, CASE WHEN u THEN 'ABOVE' END, CASE WHEN d THEN 'BELOW' END, CASE WHEN near THEN 'NEAR' END], lambda z: z IS NOT NULL) END) AS relation FROM
+(SELECT a.page, a.id AS source, b.id AS target, a."left" < b."right" AND b."left" < a."right" AND a.top < b.bottom AND b.top < a.bottom AS over, a."right" <= b."left" AS l, a."left" >= b."right" AS r, a.bottom <= b.top AS u, a.top >= b.bottom AS d, {gap} <= {near} AS near FROM {boxes} a JOIN {boxes} b ON a.page = b.page AND a.id <> b.id{f" AND {gap} <= {near}" if only_near else ""})"""
+
+
+#: Every document laid out: 40 lines a page, pieces of 40 characters 7 wide, lines 12 high and 14 apart.
+LINES_A_PAGE, PIECE = 40, 40
+LAID = f"""ll AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)), lp AS (SELECT *, unnest(range((length(line) + {PIECE - 1}) // {PIECE})) AS i FROM ll),
+laid AS (SELECT doc_id * 100000 + pos // {LINES_A_PAGE} AS page, pos % {LINES_A_PAGE} * 1000000 + i AS id, i * 280.0::DOUBLE AS "left", pos % {LINES_A_PAGE} * 14.0::DOUBLE AS top, i * 280.0::DOUBLE + 7 * length(substr(line, i * {PIECE} + 1, {PIECE})) AS "right", pos % {LINES_A_PAGE} * 14.0::DOUBLE + 12 AS bottom FROM lp)"""
+
+
+def laid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line <> ''")
+    pieces = lines.select("doc_id", "pos", "line", F.explode(F.sequence(F.lit(0), F.floor((F.length("line") + PIECE - 1) / PIECE).cast("int") - 1)).alias("i"))
+    row, left = F.col("pos") % LINES_A_PAGE, F.col("i") * F.lit(280.0)
+    return pieces.select((F.col("doc_id") * 100000 + F.floor(F.col("pos") / LINES_A_PAGE)).alias("page"), (row.cast("long") * 1000000 + F.col("i")).alias("id"), left.alias("left"), (row * F.lit(14.0)).alias("top"), (left + 7 * F.length(F.substr("line", F.col("i") * PIECE + 1, F.lit(PIECE)))).alias("right"), (row * F.lit(14.0) + 12).alias("bottom"))
+
+
+@query(f"WITH {cte('fx_boxes')}, {LAID} {_s_relations('fx_boxes', 50, False)} UNION ALL {_s_relations('laid', 1, True)}")
 def spatial_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.relations(fixtures.table(spark, "fx_boxes"), "page", "id")
+    """All relations of the inline boxes, and those of the documents' pieces that touch or nearly do."""
+    return geo.relations(fixtures.table(spark, "fx_boxes"), "page", "id").unionAll(geo.near_relations(laid(spark, sf_dir), "page", "id", 1.0))
 
 
-@query(f'WITH {cte("fx_boxes")} SELECT page, id, CAST(row_number() OVER (PARTITION BY page ORDER BY floor(top / 10), "left", id) AS INTEGER) AS place FROM fx_boxes')
+@query(f'WITH {cte("fx_boxes")}, {LAID}, u AS (SELECT page, id, "left", top FROM fx_boxes UNION ALL SELECT page, id, "left", top FROM laid) SELECT page, id, CAST(row_number() OVER (PARTITION BY page ORDER BY floor(top / 10), "left", id) AS INTEGER) AS place FROM u')
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.reading_order(fixtures.table(spark, "fx_boxes"), "page", "id").select("page", "id", "place")
+    rows = fixtures.table(spark, "fx_boxes").drop("text").unionAll(laid(spark, sf_dir))
+    return geo.reading_order(rows, "page", "id").select("page", "id", "place")
 
 
 @query("SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
