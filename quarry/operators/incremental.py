@@ -109,17 +109,17 @@ class LexicalIndex:
         last = rows.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.max_by(F.struct(F.col("seg").alias("of"), "mark", "size", "terms"), "seg").alias("r"))
         return last.select("key", "r.*").where(F.col("mark").isNotNull())
 
-    def apply(self, upserts: DataFrame, deletes: DataFrame | None = None, derived: dict[str, Derived] | None = None, batch: int | None = None) -> dict[str, int]:
+    def apply(self, upserts: DataFrame, deletes: DataFrame | None = None, derived: dict[str, Derived] | None = None, batch: int | None = None, source: str = "") -> dict[str, int]:
         """Takes upserts (key, text, and what `derived` looks at) and deletes (key); how many were new, modified, unchanged and deleted.
 
         Of rows with one key, the one whose text has the smallest hash counts; a
         key that is both put and deleted is put; a key that is not there is not
-        deleted; rows without a key are left out. A batch whose number, or a
-        larger one, has been applied is passed over.
+        deleted; rows without a key are left out. A batch of a source whose number,
+        or a larger one, has been applied is passed over.
         """
         self.store.recover()
         now = self.store.manifest()
-        if batch is not None and now.get("batch", -1) >= batch:
+        if batch is not None and now.get("batches", {}).get(source, -1) >= batch:
             return {}
         tx = self.store.begin()
         rows = upserts.where(F.col("key").isNotNull()).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -139,7 +139,7 @@ class LexicalIndex:
         for name, make in (derived or {}).items():
             tx.stage(make(fresh), name)
         out["segments"][-1]["tables"] = list(derived or {})
-        tx.commit(out | ({"batch": batch} if batch is not None else {k: now[k] for k in ("batch",) if k in now}))
+        tx.commit(out | {"batches": now.get("batches", {}) | ({source: batch} if batch is not None else {})})
         if len(out["segments"]) >= SEGMENTS:
             self.compact()
         return counts
@@ -179,5 +179,5 @@ class LexicalIndex:
         top = max(s["seg"] for s in now["segments"])
         made = self._segment(tx, last.where(F.col("mark").isNotNull()), none, now["n_docs"], {})
         made["segments"][0] |= {"seg": top + 1, "tables": names}
-        tx.commit(made | {k: now[k] for k in ("batch",) if k in now})
+        tx.commit(made | {"batches": now.get("batches", {})})
         self.store.remove_unused()

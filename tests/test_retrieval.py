@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import intents
 from quarry.functions import text as tx
 from quarry.operators import audit, hybrid, lexical, vectors
+from quarry.operators.incremental import LexicalIndex
 from quarry.streaming.ingest import ingest
 
 WORDS = ["pump", "valve", "P-203", "pressure", "of", "the", "tower", "leak", "API-610", "x_y"]
@@ -88,12 +89,41 @@ def test_tasks(spark, text, operation, archetype, artifact):
     assert (r.recipient == "Site Safety Team") == (operation == "summarize")
 
 
-def test_a_document_sent_again_is_posted_once(spark, tmp_path):
-    schema = "doc_id long, text string"
-    for i, rows in enumerate([[(1, "pump one"), (2, "valve two"), (2, "valve two again")], [(2, "valve two"), (3, "tower P-203")]]):
+def test_a_stream_follows_changes_and_deletions(spark, tmp_path):
+    """Changed texts are indexed anew, deleted documents go, and the same stream read once more changes nothing."""
+    schema = "doc_id long, text string, dropped boolean"
+    batches = [[(1, "pump one", None), (2, "valve two", False), (2, "valve two again", None), (4, "boiler", None)], [(2, "tower P-203", None), (3, "drum V-12", False), (4, None, True), (1, "pump one", None)]]
+    for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    both = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    ingest(both, "doc_id", "text", f"{tmp_path}/two", f"{tmp_path}/check2").awaitTermination()
-    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/two/documents").collect()) == [1, 2, 3]
-    assert spark.read.parquet(f"{tmp_path}/two/postings").groupBy("doc_id", "term").count().where("count > 1").count() == 0
-    assert spark.read.parquet(f"{tmp_path}/two/entities").where("tag = 'P-203'").count() == 1
+    out = f"file://{tmp_path}/index"
+    for check in ("a", "b"):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        ingest(stream, "doc_id", "text", out, f"{tmp_path}/check-{check}", "dropped").awaitTermination()
+        index = LexicalIndex(spark, out)
+        asked = spark.createDataFrame([(1, "valve boiler tower pump")], "q int, t string")
+        assert {r.key for r in index.search(asked, "q", "t").collect()} == {1, 2}
+        assert {r.key: r.text for r in index.table("documents").collect()} == {1: "pump one", 2: "tower P-203", 3: "drum V-12"}
+        assert {(r.key, r.tag) for r in index.table("entities").collect()} == {(2, "P-203"), (3, "V-12")}
+        assert sorted(r.key for r in index.table("chunks").collect()) == [1, 2, 3]
+
+
+def test_results_from_the_cache(spark, tmp_path, monkeypatch):
+    texts = [f"The {w} number {i} runs at {i} bar and needs care" for i, w in enumerate(["pump P-203", "valve MOV-101", "tower", "boiler"] * 5)]
+    chunks = spark.createDataFrame([(i, f"d{i % 4}", i // 4, t) for i, t in enumerate(texts)], "cid long, document string, index int, content string")
+    asked = spark.createDataFrame([(1, "pump pressure"), (2, " Pump PRESSURE"), (3, "boiler care")], "query_id long, text string")
+    path, at = f"file://{tmp_path}/cache", F.lit("2024-01-01 00:00:00")
+    key = lambda df: sorted((r.query_id, r.rank, r.cid, r.score) for r in df.collect())
+    first, origin = hybrid.cached(chunks, asked.where("query_id < 3"), path, 60, at, k=5)
+    plain = key(hybrid.hybrid(chunks, asked, k=5).hits)
+    assert not any(r.from_cache for r in origin.collect())
+    assert [x[1:] for x in key(first) if x[0] == 1] == [x[1:] for x in key(first) if x[0] == 2] == [x[1:] for x in plain if x[0] == 1]
+    both, origin = hybrid.cached(chunks, asked, path, 60, at, k=5)
+    assert {r.query_id: r.from_cache for r in origin.collect()} == {1: True, 2: True, 3: False}
+    assert [x for x in key(both) if x[0] == 3] == [x for x in plain if x[0] == 3]
+    real = hybrid.hybrid
+    monkeypatch.setattr(hybrid, "hybrid", lambda *a, **k: pytest.fail("computed again"))
+    again, origin = hybrid.cached(chunks, asked, path, 60, at, k=5)
+    assert key(again) == key(both) and all(r.from_cache for r in origin.collect())
+    monkeypatch.setattr(hybrid, "hybrid", real)
+    _, origin = hybrid.cached(chunks, asked, path, 60, F.lit("2024-01-01 00:02:00"), k=5)
+    assert not any(r.from_cache for r in origin.collect())
