@@ -154,3 +154,35 @@ def test_lists(spark, tmp_path, monkeypatch):
     assert dealt == want
     vectors.build_lists(df.where("id < 0"), "id", "v", f"{path}-none")
     assert vectors.search_lists(spark, f"{path}-none", queries, "id", "v").count() == 0
+
+
+def test_points_are_indexed_as_a_transaction(spark, tmp_path):
+    """Kinds of change, rejected points, collections that are left alone, and a stop before the rename."""
+    from quarry.operators import indexing
+
+    schema = "chunk_id string, document_id string, document_name string, plant_unit string, section string, category string, equipment array<string>, standards array<string>, content string, vector array<double>"
+
+    def points(rows):
+        return spark.createDataFrame([(i, "d", name, None, None, None, [], [], text, v) for i, name, text, v in rows], schema)
+
+    unit = [0.6, 0.8]
+    first = [("a", "manual", "one", unit), ("b", "drawing", "two", unit), ("c", "sop", "three", unit)]
+    store = Store(spark, f"file://{tmp_path}/points")
+    assert indexing.index_points(store, points(first), 2) == {"new": 3, "rejected": 0}
+    before = store.manifest()["collections"]
+    second = [("a", "manual", "one", unit), ("b", "email", "two", unit), ("d", "manual", "four", unit), ("e", "manual", "five", [1.0]), ("f", "manual", "six", [3.0, 4.0]), ("", "manual", "none", unit)]
+
+    def stop(step):
+        if step == "rename manifest":
+            raise Stop
+
+    with pytest.raises(Stop):
+        indexing.index_points(Store(spark, store.path, stop), points(second), 2)
+    assert {r.chunk_id: r.collection for r in indexing.stored_points(store).collect()} == {"a": "refinery_manuals", "b": "refinery_drawings", "c": "refinery_sops"}
+    # the batch had been prepared, so the next carries it forward first
+    assert indexing.index_points(store, points(second), 2) == {"unchanged": 3, "rejected": 3}
+    after = store.manifest()["collections"]
+    assert {r.chunk_id: r.collection for r in indexing.stored_points(store).collect()} == {"a": "refinery_manuals", "b": "refinery_emails", "c": "refinery_sops", "d": "refinery_manuals"}
+    assert after["refinery_sops"] == before["refinery_sops"] and "refinery_drawings" not in after
+    assert indexing.index_points(store, points(second[:1]), 2, complete=True) == {"unchanged": 1, "deleted": 3, "rejected": 0}
+    assert [r.chunk_id for r in indexing.stored_points(store).collect()] == ["a"]
