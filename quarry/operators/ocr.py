@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import WS, strip
 
-# Tolerances in pixels and degrees.
-ROW_GAP, COLUMN_GAP, LEAST_CONFIDENCE = 12.0, 35.0, 0.3
-TILT_LIMIT, TILT_STEP = 3.0, 0.1
+# Fixed values of form fields: least confidence, and reaches in pixels.
+LEAST_CONFIDENCE = 0.3
 RIGHT_REACH, LEAST_OVERLAP, BELOW_REACH = 450.0, 0.35, 80.0
 # Letters of instrument tags.
 FIRST_LETTERS = {"F": "Flow", "L": "Level", "P": "Pressure", "T": "Temperature", "A": "Analysis", "S": "Speed", "V": "Vibration", "W": "Weight", "H": "Hand", "Z": "Position"}
@@ -25,47 +24,75 @@ GUESSED = r"(?i)proximity|assumed connection|inferred connection|adjacent.*(?:co
 
 Block = tuple[float, float, float, float, str]  # left, top, right, bottom, text
 
+# Fixed values of the recovery of tables: tolerances in pixels, bins and gain of the tilt, and what counts as noise.
+ROW_GAP, COLUMN_GAP, AMBIGUOUS = 12.0, 35.0, 8.0
+TILT_STEPS, TILT_STEP, TILT_BIN, TILT_GAIN, TILT_LEAST = 30, 0.1, 8.0, 1.05, 6
+SIGNS = r"^[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~…·√：！↓￥—°•\s]+$"
 
-def tilt(blocks: list[Block]) -> float:
-    """The angle in degrees at which the blocks' middles fall into the fewest rows; the smallest turn wins ties."""
-    middles = [((b[0] + b[2]) / 2, (b[1] + b[3]) / 2) for b in blocks]
 
-    def rows(angle: float) -> int:
-        s = math.tan(math.radians(angle))
-        return len({round((y - x * s) / ROW_GAP) for x, y in middles})
+def valid(blocks: DataFrame) -> DataFrame:
+    """Blocks that are no noise: specks of punctuation, small Han glyphs, low fragments of few letters, and small unsure ones go; single letters, signs and numbers of full height stay."""
+    t, c = strip(F.col("text")), F.coalesce("confidence", F.lit(1.0))
+    w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
+    large = F.greatest(w, h)
+    number = F.regexp_replace(t, r"[.,+-]", "").rlike(r"^\d+$")
+    sure = ((F.length(t) == 1) & t.rlike(r"^[\p{L}\p{N}]$") & (h >= 12) & (c >= 0.35)) | (t.isin("+", "-") & (h >= 12) & (w >= 8) & (c >= 0.5)) | (number & (h >= 12) & (c >= 0.3))
+    noise = (t.rlike(SIGNS) & ((large <= 24) | (h <= 11.5) | (c < 0.6))) | (t.rlike(r"[\x{4e00}-\x{9fff}]") & ((large <= 24) | (c < 0.6))) | ((h <= 11.5) & (F.length(t) <= 4) & (c < 0.7)) | ((large <= 12) & (c < 0.4))
+    return blocks.where((t != "") & (sure | ~noise)).withColumn("text", t)
 
-    steps = round(TILT_LIMIT / TILT_STEP)
-    return min((rows(i * TILT_STEP), abs(i), i) for i in range(-steps, steps + 1))[2] * TILT_STEP
 
+def tilts(blocks: DataFrame, page: str) -> DataFrame:
+    """page, slope: the turn at which middles fall into the fewest, fullest rows, if it gains TILT_GAIN over none; 0 for few blocks."""
+    x, y = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
+    turn = lambda step: F.tan(F.radians(step * F.lit(TILT_STEP)))
+    turned = blocks.select(page, x.alias("x"), y.alias("y"), F.explode(F.sequence(F.lit(-TILT_STEPS), F.lit(TILT_STEPS))).alias("step"))
+    rows = turned.groupBy(page, "step", F.bround((F.col("y") - turn(F.col("step")) * F.col("x")) / TILT_BIN).alias("bin")).agg(F.count("*").alias("n"))
+    scores = rows.groupBy(page, "step").agg(F.sum(F.col("n") * F.col("n")).alias("score"), F.sum("n").alias("n"))
+    best = scores.groupBy(page).agg(F.max(F.struct("score", (-F.col("step")).alias("back"))).alias("b"), F.max(F.when(F.col("step") == 0, F.col("score"))).alias("none"), F.max("n").alias("n"))
+    gains = (F.col("n") >= TILT_LEAST) & (F.col("b.score") / F.col("none") >= TILT_GAIN)
+    return best.select(page, F.when(gains, turn(-F.col("b.back"))).otherwise(0.0).alias("slope"))
 
-def clustered(values: list[float], gap: float) -> list[int]:
-    """A cluster number for each value; a new cluster begins beyond gap of the running mean of the last."""
-    order = sorted(range(len(values)), key=values.__getitem__)
-    out, mean, n, number = [0] * len(values), 0.0, 0, -1
-    for i in order:
-        if n == 0 or values[i] - mean > gap:
-            number, mean, n = number + 1, values[i], 1
-        else:
-            mean, n = (mean * n + values[i]) / (n + 1), n + 1
-        out[i] = number
-    return out
 
+def clustered(values: Column, gap: float) -> Column:
+    """Of an ascending array, the number of each value's cluster: a value within `gap` of the mean of the last cluster joins it."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("c"), F.array().cast("array<int>").alias("out"))
 
-def grid(blocks: list[Block]) -> list[tuple[int, int, str]]:
-    """(row, column, text) of each cell; a block midway between two columns is left out."""
-    if not blocks:
-        return []
-    s = math.tan(math.radians(tilt(blocks)))
-    row = clustered([(b[1] + b[3]) / 2 - (b[0] + b[2]) / 2 * s for b in blocks], ROW_GAP)
-    column = clustered([b[0] for b in blocks], COLUMN_GAP)
-    anchors = [min(b[0] for b, c in zip(blocks, column, strict=True) if c == k) for k in range(max(column) + 1)]
-    cells: dict[tuple[int, int], list[tuple[float, str]]] = {}
-    for b, r in zip(blocks, row, strict=True):
-        near = sorted((abs(b[0] - a), k) for k, a in enumerate(anchors))
-        if len(near) > 1 and near[1][0] - near[0][0] < 1 and near[0][0] > 1:
-            continue
-        cells.setdefault((r, near[0][1]), []).append((b[0], b[4]))
-    return [(r, c, " ".join(t for _, t in sorted(parts))) for (r, c), parts in sorted(cells.items())]
+    def step(a: Column, v: Column) -> Column:
+        joins = (a["n"] > 0) & (F.abs(v - a["sum"] / a["n"]) <= gap)
+        c = F.when(joins, a["c"]).otherwise(a["c"] + 1)
+        return F.struct(F.when(joins, a["sum"] + v).otherwise(v).alias("sum"), F.when(joins, a["n"] + 1).otherwise(1).alias("n"), c.alias("c"), F.concat(a["out"], F.array(c)).alias("out"))
+
+    return F.aggregate(values, start, step)["out"]
+
+
+def table_cells(blocks: DataFrame, page: str = "page") -> DataFrame:
+    """page, row_no, column_no, value of the table on each page that has one: two rows and columns at least.
+
+    Rows are clusters of the middles, turned by the page's tilt; rows of too few
+    blocks are no part of the table. Columns are clusters of left sides in its
+    fuller rows; a block midway between two columns is left out. A header over two
+    columns stays in the one nearest to its left side.
+    """
+    slope = tilts(good := valid(blocks), page)
+    middle = (F.col("top") + F.col("bottom")) / 2 - F.col("slope") * (F.col("left") + F.col("right")) / 2
+    sorted_ = good.join(slope, page).groupBy(page).agg(F.array_sort(F.collect_list(F.struct(middle.alias("y"), "left", "text"))).alias("b")).where(F.size("b") >= 4)
+    rows = sorted_.withColumn("r", clustered(F.transform("b", lambda x: x["y"]), ROW_GAP)).select(page, F.posexplode(F.arrays_zip("b", "r")).alias("pos", "z")).select(page, F.col("z.r").alias("r"), F.col("z.b.left").alias("left"), F.col("z.b.text").alias("text"))
+    rows = rows.withColumn("n", F.count("*").over(W.partitionBy(page, "r"))).withColumn("most", F.max("n").over(W.partitionBy(page)))
+    kept = rows.where((F.col("most") >= 2) & (F.col("n") >= F.greatest(F.lit(2), F.least(F.lit(3), F.col("most") - 2))))
+    kept = kept.withColumn("row_no", F.dense_rank().over(W.partitionBy(page).orderBy("r")) - 1)
+    full = F.col("n") >= F.greatest(F.lit(3), F.col("most") - 1)
+    kept = kept.withColumns({"rows": F.max("row_no").over(W.partitionBy(page)) + 1, "any": F.max(full).over(W.partitionBy(page))})
+    used = kept.where((F.col("rows") >= 2) & (full | ~F.col("any")))
+    lefts = used.groupBy(page).agg(F.array_sort(F.collect_list("left")).alias("l"), F.countDistinct("row_no").alias("k"))
+    numbered = lefts.withColumn("c", clustered(F.col("l"), COLUMN_GAP)).select(page, "k", F.explode(F.arrays_zip("l", "c")).alias("z"))
+    clusters = numbered.groupBy(page, "k", F.col("z.c").alias("c")).agg(F.avg("z.l").alias("x"), F.count("*").alias("n")).withColumn("often", F.col("n") >= F.least(F.lit(2), F.col("k")))
+    clusters = clusters.withColumn("enough", F.sum(F.col("often").cast("int")).over(W.partitionBy(page)) >= 2).where(F.col("often") | ~F.col("enough"))
+    anchors = clusters.groupBy(page).agg(F.array_sort(F.collect_list("x")).alias("anchors"))
+    far = F.transform("anchors", lambda a: F.abs(F.col("left") - a))
+    placed = kept.where(F.col("rows") >= 2).join(anchors, page).withColumn("far", far).withColumn("column_no", (F.array_position("far", F.array_min("far")) - 1).cast("int"))
+    clear = F.size(F.filter("far", lambda d: d - F.array_min("far") <= AMBIGUOUS)) == 1
+    cells = placed.where(clear).groupBy(page, "row_no", "column_no").agg(F.array_sort(F.collect_list(F.struct("left", "text"))).alias("t"))
+    return cells.select(F.col(page).cast("long").alias(page), F.col("row_no").cast("long").alias("row_no"), F.col("column_no").cast("long").alias("column_no"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("value"))
 
 
 def fields(blocks: list[Block]) -> list[tuple[str, str, str]]:
@@ -126,11 +153,6 @@ def _types(schema: str) -> Iterator[pa.DataType]:
     return (kinds[x.split()[-1]] for x in schema.split(", "))
 
 
-def table_cells(blocks: DataFrame, page: str = "page") -> DataFrame:
-    """page, row_no, column_no, value of the grid on each page."""
-    return _by_page(blocks, page, grid, f"{page} long, row_no long, column_no long, value string", [page, "row_no", "column_no", "value"])
-
-
 def form_fields(blocks: DataFrame, page: str = "page") -> DataFrame:
     """page, label, value, place of the labels on each page."""
     return _by_page(blocks, page, fields, f"{page} long, label string, value string, place string", [page, "label", "value", "place"])

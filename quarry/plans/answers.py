@@ -206,7 +206,7 @@ b AS (SELECT id, r.t AS text, least(1.0::DOUBLE, greatest(0.0::DOUBLE, r.c)) AS
 SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY round_even(list_min(ys) / 10, 0) * 10, list_min(xs), list_min(ys)) - 1 AS INTEGER) AS pos, text, confidence, list_min(xs) AS "left", list_min(ys) AS top, list_max(xs) AS "right", list_max(ys) AS bottom FROM b"""
 )
 def recognised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fd.recognised(fixtures.table(spark, "fx_raw_ocr"), "id", "raw")
+    return fd.recognised(fixtures.table(spark, "fx_raw_ocr", sf_dir), "id", "raw")
 
 
 # ---- results and lookups

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ocr, prompts
 from . import fixtures
+from .cleaning import s_words
 from .fixtures import cte
 from .fixtures import literal as q
 from .registry import query, read
@@ -20,14 +21,50 @@ fixtures.TABLES["fx_ocr_tags"] = ([("P-203", 0.9), ("HX-01", 0.5), ("P-203", 0.9
 fixtures.TABLES["fx_vlm_tags"] = ([("P-203", 0.6), ("V-12", 0.7)], "tag string, confidence double")
 
 
-@query()
+def _s_clusters(values: str, gap: float) -> str:
+    return f"list_reduce([{{'s': 0.0::DOUBLE, 'n': 0, 'c': -1, 'o': []::INTEGER[]}}] || list_transform({values}, lambda v: {{'s': v, 'n': 1, 'c': 0, 'o': []::INTEGER[]}}), lambda a, x: CASE WHEN a.n > 0 AND abs(x.s - a.s / a.n) <= {gap} THEN {{'s': a.s + x.s, 'n': a.n + 1, 'c': a.c, 'o': a.o || [a.c]}} ELSE {{'s': x.s, 'n': 1, 'c': a.c + 1, 'o': a.o || [a.c + 1]}} END).o"
+
+
+_large, _high = 'greatest("right" - "left", bottom - top)', "(bottom - top)"
+VALID = f"""v0 AS (SELECT page, "left", top, "right", bottom, trim(text) AS text, coalesce(confidence, 1.0) AS conf FROM fx_blocks WHERE trim(text) <> '' AND page <> 2),
+v AS (SELECT * FROM v0 WHERE (length(text) = 1 AND regexp_matches(text, '^[\\p{{L}}\\p{{N}}]$') AND {_high} >= 12 AND conf >= 0.35) OR (text IN ('+', '-') AND {_high} >= 12 AND "right" - "left" >= 8 AND conf >= 0.5) OR (regexp_full_match(regexp_replace(text, '[.,+-]', '', 'g'), '\\d+') AND {_high} >= 12 AND conf >= 0.3)
+OR NOT ((regexp_full_match(text, {q(ocr.SIGNS[1:-1])}) AND ({_large} <= 24 OR {_high} <= 11.5 OR conf < 0.6)) OR (regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]') AND ({_large} <= 24 OR conf < 0.6)) OR ({_high} <= 11.5 AND length(text) <= 4 AND conf < 0.7) OR ({_large} <= 12 AND conf < 0.4)))"""
+_turn = f"tan(radians(step * {ocr.TILT_STEP}::DOUBLE))"
+CELLS = f"""{VALID}, tb AS (SELECT page, step, round_even(((top + bottom) / 2 - {_turn} * ("left" + "right") / 2) / 8, 0) AS bin, count(*) AS n FROM v, range(-30, 31) AS r(step) GROUP BY ALL), ts AS (SELECT page, step, sum(n * n) AS score, sum(n) AS n FROM tb GROUP BY ALL),
+tt AS (SELECT page, arg_max(step, score * 1000 - step) AS step, max(score) AS best, max(CASE WHEN step = 0 THEN score END) AS none, max(n) AS n FROM ts GROUP BY page), sl AS (SELECT page, CASE WHEN n >= 6 AND best / none >= 1.05::DOUBLE THEN {_turn} ELSE 0.0::DOUBLE END AS slope FROM tt),
+y AS (SELECT v.*, (top + bottom) / 2 - slope * ("left" + "right") / 2 AS y FROM v JOIN sl USING (page)), yl AS (SELECT page, list(y ORDER BY y, "left", text) AS ys, list({{'l': "left", 't': text}} ORDER BY y, "left", text) AS bs FROM y GROUP BY page HAVING count(*) >= 4),
+yr AS (SELECT page, unnest({_s_clusters("ys", ocr.ROW_GAP)}) AS r, unnest(bs) AS b FROM yl), yn AS (SELECT page, r, b.l AS l, b.t AS t, count(*) OVER (PARTITION BY page, r) AS n FROM yr), ym AS (SELECT *, max(n) OVER (PARTITION BY page) AS most FROM yn),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY page ORDER BY r) - 1 AS row_no FROM ym WHERE most >= 2 AND n >= greatest(2, least(3, most - 2))), kf AS (SELECT *, max(row_no) OVER (PARTITION BY page) + 1 AS n_rows, n >= greatest(3, most - 1) AS f, bool_or(n >= greatest(3, most - 1)) OVER (PARTITION BY page) AS whole FROM k),
+cl AS (SELECT page, list(l ORDER BY l) AS ls, count(DISTINCT row_no) AS k FROM kf WHERE n_rows >= 2 AND (f OR NOT whole) GROUP BY page), cn AS (SELECT page, k, unnest({_s_clusters("ls", ocr.COLUMN_GAP)}) AS c, unnest(ls) AS l FROM cl),
+ca AS (SELECT page, c, avg(l) AS x, count(*) >= least(2, any_value(k)) AS often FROM cn GROUP BY page, c), cb AS (SELECT *, count(CASE WHEN often THEN 1 END) OVER (PARTITION BY page) >= 2 AS enough FROM ca), an AS (SELECT page, list(x ORDER BY x) AS anchors FROM cb WHERE often OR NOT enough GROUP BY page),
+fa AS (SELECT kf.page, row_no, l, t, list_transform(anchors, lambda a: abs(l - a)) AS far FROM kf JOIN an USING (page) WHERE n_rows >= 2), fb AS (SELECT *, list_position(far, list_min(far)) - 1 AS column_no FROM fa WHERE len(list_filter(far, lambda d: d - list_min(far) <= 8)) = 1)
+SELECT CAST(page AS BIGINT) AS page, CAST(row_no AS BIGINT) AS row_no, CAST(column_no AS BIGINT) AS column_no, string_agg(t, ' ' ORDER BY l, t) AS value FROM fb GROUP BY ALL"""
+
+
+@query(f"WITH {cte('fx_blocks')}, {CELLS}")
 def ocr_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.table_cells(fixtures.table(spark, "fx_blocks").where("page = 1"))
+    """The lines of each order laid out as a table, some of them tilted, beside the inline page."""
+    return ocr.table_cells(fixtures.table(spark, "fx_blocks", sf_dir).where("page <> 2"))
 
 
-@query()
+_box = lambda left, top, text: f"SELECT CAST(c_custkey + 10 AS BIGINT) AS page, {left}::DOUBLE AS l, {top}::DOUBLE AS t, {left + 70}::DOUBLE AS r, {top + 20}::DOUBLE AS b, {text} AS x FROM customer"
+_is_label = lambda t: f"(ends_with({t}, ':') AND length({t}) <= 50 AND len({s_words(t)}) <= 6)"
+FORMS = f"""f AS (SELECT page, "left" AS l, top AS t, "right" AS r, bottom AS b, text AS x FROM fx_blocks WHERE page = 2 UNION ALL {_box(10, 10, "'Name:'")} UNION ALL {_box(100, 12, "c_name")} UNION ALL {_box(10, 60, "'Segment:'")} UNION ALL {_box(12, 95, "c_mktsegment")} UNION ALL {_box(300, 200, "'Nation: ' || c_nationkey")}),
+g AS (SELECT *, {_is_label("trim(x)")} AS label, split_part(x, ':', 1) AS head, trim(substr(x, length(split_part(x, ':', 1)) + 2)) AS rest FROM f), a AS (SELECT * FROM g WHERE label), v AS (SELECT * FROM g WHERE NOT label),
+n AS (SELECT page, trim(head) AS label, rest AS value, 'inline' AS place FROM v WHERE contains(x, ':') AND rest <> '' AND {_is_label("trim(head || ':')")}),
+c AS (SELECT a.page, a.x AS label, a.t, a.l, v.x AS value, CASE WHEN v.l - a.r BETWEEN 0 AND {ocr.RIGHT_REACH} AND (least(a.b, v.b) - greatest(a.t, v.t)) / least(a.b - a.t, v.b - v.t) >= {ocr.LEAST_OVERLAP} THEN 'right' WHEN v.t - a.b BETWEEN 0 AND {ocr.BELOW_REACH} AND least(a.r, v.r) > greatest(a.l, v.l) THEN 'below' END AS place, v.l - a.r AS dx, v.t - a.b AS dy FROM a JOIN v USING (page)),
+d AS (SELECT page, label, t, l, value, place FROM c WHERE place IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page, label, t, l ORDER BY place = 'below', CASE place WHEN 'right' THEN dx ELSE dy END) = 1)
+SELECT CAST(page AS BIGINT) AS page, label, value, place FROM n UNION ALL SELECT a.page, trim(rtrim(a.x, ': ')), coalesce(trim(d.value), ''), coalesce(d.place, 'empty') FROM a LEFT JOIN d ON d.page = a.page AND d.label = a.x AND d.t = a.t AND d.l = a.l"""
+
+
+@query(f"WITH {cte('fx_blocks')}, {FORMS}")
 def ocr_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.form_fields(fixtures.table(spark, "fx_blocks").where("page = 2"))
+    """Fields of the inline form, and of a form that each customer's row makes."""
+    rows = read(spark, sf_dir, "customer")
+    page = (F.col("c_custkey") + 10).cast("int")
+    box = lambda left, top, text: rows.select(page.alias("page"), F.lit(left).alias("left"), F.lit(top).alias("top"), F.lit(left + 70.0).alias("right"), F.lit(top + 20.0).alias("bottom"), text.alias("text"), F.lit(0.9).alias("confidence"))
+    forms = box(10.0, 10.0, F.lit("Name:")).unionAll(box(100.0, 12.0, F.col("c_name"))).unionAll(box(10.0, 60.0, F.lit("Segment:"))).unionAll(box(12.0, 95.0, F.col("c_mktsegment"))).unionAll(box(300.0, 200.0, F.concat(F.lit("Nation: "), F.col("c_nationkey").cast("string"))))
+    return ocr.form_fields(fixtures.table(spark, "fx_blocks").where("page = 2").unionAll(forms))
 
 
 @query(

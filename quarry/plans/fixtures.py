@@ -89,8 +89,10 @@ MORE = {
     "fx_cells": "SELECT 'o' || CAST(l_orderkey AS STRING), l_linenumber, 0, CAST(CAST(l_quantity AS INT) AS STRING) FROM {lineitem} UNION ALL SELECT 'o' || CAST(l_orderkey AS STRING), l_linenumber, 1, l_returnflag FROM {lineitem}",
     "fx_seen": "SELECT 'o' || CAST(l_orderkey AS STRING), l_linenumber, 0, CAST(CAST(l_quantity AS INT) AS STRING) || ' ' FROM {lineitem} UNION ALL SELECT 'o' || CAST(l_orderkey AS STRING), l_linenumber, 1, lower(l_returnflag) FROM {lineitem} WHERE l_linestatus = 'F'",
     "fx_pages": "SELECT CAST(1000 + page_id AS INT), url, CAST(800 + page_id % 13 * 200 AS INT), CAST(600 + page_id % 7 * 250 AS INT), html, CAST(page_id % 5 AS INT) FROM {pages}",
+    "fx_raw_ocr": "SELECT CAST(1000 + p_partkey AS INT), '[[[[' || CAST(p_size AS STRING) || ',' || CAST(p_partkey % 40 AS STRING) || '],[' || CAST(p_size + 30 AS STRING) || ',' || CAST(p_partkey % 40 + 12 AS STRING) || ']],[\"' || p_name || '\",0.' || CAST(p_partkey % 90 + 10 AS STRING) || ']],[[[400,3],[409,8]],[\"' || p_brand || '\",0.5]]]' FROM {part}",
     "fx_marks": "SELECT CAST(1000 + p_partkey AS INT), CASE p_size % 3 WHEN 0 THEN p_name || ' FIC-' || CAST(p_partkey % 900 + 100 AS STRING) WHEN 1 THEN 'P-' || CAST(p_partkey % 900 + 100 AS STRING) || ' ' || p_brand ELSE '  ' || p_name END FROM {part}",
     "fx_report": "SELECT 'd' || CAST(o_custkey % 40 AS STRING), CASE o_orderstatus WHEN 'F' THEN 'DIRECT' WHEN 'O' THEN 'GENERIC_REQUIREMENT' WHEN 'P' THEN 'RELATED' ELSE 'UNRELATED' END, 'Order is ' || o_orderpriority, '[' || CAST(o_orderkey AS STRING) || ']', CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 90 AS INT) END, CAST(o_orderkey + 10 AS INT) FROM {orders}",
+    "fx_blocks": "SELECT CAST(l_orderkey + 10 AS INT), CAST(20 AS DOUBLE), CAST(20 + 40 * l_linenumber AS DOUBLE) + CASE WHEN l_orderkey % 4 = 0 THEN CAST(3 AS DOUBLE) / 100 * (20 + 35) ELSE CAST(0 AS DOUBLE) END, CAST(20 + 70 AS DOUBLE), CAST(40 + 40 * l_linenumber AS DOUBLE) + CASE WHEN l_orderkey % 4 = 0 THEN CAST(3 AS DOUBLE) / 100 * (20 + 35) ELSE CAST(0 AS DOUBLE) END, 'item ' || CAST(l_partkey AS STRING), CAST(9 AS DOUBLE) / 10 FROM {lineitem} UNION ALL SELECT CAST(l_orderkey + 10 AS INT), CAST(220 + l_partkey % 9 AS DOUBLE), CAST(20 + 40 * l_linenumber AS DOUBLE) + CASE WHEN l_orderkey % 4 = 0 THEN CAST(3 AS DOUBLE) / 100 * (220 + l_partkey % 9 + 35) ELSE CAST(0 AS DOUBLE) END, CAST(220 + l_partkey % 9 + 70 AS DOUBLE), CAST(40 + 40 * l_linenumber AS DOUBLE) + CASE WHEN l_orderkey % 4 = 0 THEN CAST(3 AS DOUBLE) / 100 * (220 + l_partkey % 9 + 35) ELSE CAST(0 AS DOUBLE) END, CAST(CAST(l_quantity AS INT) AS STRING), CAST(9 AS DOUBLE) / 10 FROM {lineitem} UNION ALL SELECT CAST(l_orderkey + 10 AS INT), CAST(420 + l_suppkey % 70 AS DOUBLE), CAST(20 + 40 * l_linenumber AS DOUBLE) + CASE WHEN l_orderkey % 4 = 0 THEN CAST(3 AS DOUBLE) / 100 * (420 + l_suppkey % 70 + 35) ELSE CAST(0 AS DOUBLE) END, CAST(420 + l_suppkey % 70 + 70 AS DOUBLE), CAST(40 + 40 * l_linenumber AS DOUBLE) + CASE WHEN l_orderkey % 4 = 0 THEN CAST(3 AS DOUBLE) / 100 * (420 + l_suppkey % 70 + 35) ELSE CAST(0 AS DOUBLE) END, l_returnflag || l_linestatus, CAST(9 AS DOUBLE) / 10 FROM {lineitem} WHERE l_orderkey % 5 > 0 UNION ALL SELECT CAST(l_orderkey + 10 AS INT), CAST(620 AS DOUBLE), CAST(20 + 40 * l_linenumber AS DOUBLE) + CASE WHEN l_orderkey % 4 = 0 THEN CAST(3 AS DOUBLE) / 100 * (620 + 35) ELSE CAST(0 AS DOUBLE) END, CAST(620 + 70 AS DOUBLE), CAST(40 + 40 * l_linenumber AS DOUBLE) + CASE WHEN l_orderkey % 4 = 0 THEN CAST(3 AS DOUBLE) / 100 * (620 + 35) ELSE CAST(0 AS DOUBLE) END, '*', CAST(9 AS DOUBLE) / 10 FROM {lineitem} WHERE l_linenumber = 2",
     "fx_sections": "SELECT source || '/' || CAST(doc_id % 50 AS STRING), CAST(doc_id AS INT), 'REPORT OF ' || upper(source) || chr(10) || text || chr(10) || 'Page ' || CAST(doc_id AS STRING) || ' of 99' FROM {documents}",
 }
 DUCK = {"int": "INTEGER", "long": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "array<string>": "VARCHAR[]"}

@@ -9,11 +9,30 @@ from quarry.plans import drawing  # noqa: F401  adds its fixtures
 from quarry.plans import fixtures
 
 
-def test_tilted_grid():
-    s = math.tan(math.radians(1.5))
-    blocks = [(20.0 + 200 * c, 20.0 + 40 * r + 200 * c * s, 90.0 + 200 * c, 40.0 + 40 * r + 200 * c * s, f"r{r}c{c}") for r in range(4) for c in range(4)]
-    assert ocr.grid(blocks) == [(r, c, f"r{r}c{c}") for r in range(4) for c in range(4)]
-    assert ocr.grid([]) == []
+BLOCK = "page int, `left` double, top double, `right` double, bottom double, text string, confidence double"
+
+
+def cells(spark, blocks):
+    df = spark.createDataFrame([(1, *b, 0.9) if len(b) == 5 else (1, *b) for b in blocks], BLOCK)
+    return {(r.row_no, r.column_no): r.value for r in ocr.table_cells(df).collect()}
+
+
+def grid(rows, columns, slope=0.0):
+    return [(20.0 + 200 * c, 20.0 + 40 * r + 200 * c * slope, 90.0 + 200 * c, 40.0 + 40 * r + 200 * c * slope, f"r{r}c{c}") for r in range(rows) for c in range(columns)]
+
+
+def test_tilted_and_noisy_tables(spark):
+    want = {(r, c): f"r{r}c{c}" for r in range(4) for c in range(4)}
+    for degrees in (0.0, 1.5, -2.0):
+        assert cells(spark, grid(4, 4, math.tan(math.radians(degrees)))) == want, degrees
+    noise = [(300.0, 62.0, 310.0, 70.0, "~", 0.9), (500.0, 100.0, 512.0, 110.0, "口", 0.9), (100.0, 60.0, 108.0, 68.0, "ab", 0.5), (700.0, 21.0, 705.0, 30.0, "x", 0.2)]
+    title = [(20.0, 300.0, 400.0, 320.0, "a line below the table", 0.9)]
+    assert cells(spark, [*grid(4, 4), *noise, *title]) == want
+    halfway = [(120.0, 100.0, 180.0, 120.0, "between", 0.9)]
+    assert cells(spark, [*grid(4, 4), *halfway]) == want
+    two = [(b[0] + 3, *b[1:]) if i == 5 else b for i, b in enumerate(grid(4, 4))] + [(75.0, 60.0, 90.0, 80.0, "more", 0.9)]
+    assert cells(spark, two)[1, 0] == "r1c0 more"
+    assert cells(spark, grid(1, 4)) == {} and cells(spark, grid(4, 1)) == {} and cells(spark, grid(1, 3)) == {}
 
 
 def test_cells_and_fields(spark):
