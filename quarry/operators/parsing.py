@@ -166,3 +166,32 @@ def structure_issues(sections_: DataFrame, key: str) -> DataFrame:
     rows = sections_.withColumns({"_jump": F.col("level") - F.lag("level").over(w), "_same": F.count("*").over(W.partitionBy(key, "level", F.lower("title")))})
     issue = F.array_compact(F.array(F.when(F.coalesce(F.trim("title"), F.lit("")) == "", "missing_title"), F.when(F.col("title").isNotNull() & (F.col("_same") > 1), "duplicate_heading"), F.when(F.col("_jump") > 1, "level_jump")))
     return rows.select(key, "section", F.explode(issue).alias("issue"))
+
+
+def parsed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row for each document with what all extractors find: sections, tables, equipment, references, warnings, dates, revisions, edges and counts.
+
+    Each extractor is a plan of its own over the same rows; their results meet by key,
+    lists in the order of the text. A document in which nothing is found has empty lists.
+    """
+    from . import metadata
+
+    t = F.coalesce(text, F.lit(""))
+    rows = docs.select(F.col(key), t.alias("t"))
+
+    def listed(found: DataFrame, name: str, order: str) -> DataFrame:
+        columns = [order, *[c for c in found.columns if c not in (key, order)]]
+        return found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    parts = [
+        listed(sections(rows, key, "t"), "sections", "section"),
+        listed(pipe_tables(rows, key, "t"), "tables", "table_no"),
+        listed(metadata.equipment(rows, key, "t"), "equipment", "char_offset"),
+        listed(cross_references(rows, key, "t"), "references", "pos"),
+        listed(warnings(rows, key, "t"), "warnings", "pos"),
+        listed(entity_edges(rows, key, "t"), "edges", "pos"),
+    ]
+    out = rows.select(key, dates(F.col("t")).alias("dates"), revisions(F.col("t")).alias("revisions"), F.length("t").alias("n_chars"), F.regexp_count("t", F.lit(r"\S+")).alias("n_words"))
+    for part in parts:
+        out = out.join(part, key, "left")
+    return out.withColumns({c: F.coalesce(c, F.array()) for p in parts for c in p.columns if c != key})

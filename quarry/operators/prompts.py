@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import count_words, tok_prompt
 from .evaluation import INJECTIONS, anchors
 
-HEADROOM, WINDOW, GENERATION = 64, 4096, 1024
+HEADROOM, WINDOW, GENERATION, CONTEXT = 64, 4096, 1024, 2000
 #: Who answers, by archetype, what holds for every answer, and what each kind of answer is to be; deployments bring their own.
 PERSONAS = {
     "equipment_lookup": "You look up equipment: give exact parameters, ratings and tags as the documents have them.",
@@ -113,3 +113,18 @@ def artifact_name(query: Column, stamp: Column, extension: str = "pdf") -> Colum
 def summary(rows: DataFrame, by: str, times: list[str], hit: str) -> DataFrame:
     """Means of timings and the share of cache hits."""
     return rows.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(t).alias(f"avg_{t}") for t in times], F.avg(F.col(hit).cast("int")).alias("hit_share"))
+
+
+def pipeline(queries: DataFrame, contexts: DataFrame, history: DataFrame | None = None, model: str = "local_llm", most: int = CONTEXT) -> DataFrame:
+    """Prompts of queries (query_id, text, archetype), step by step: query_id, prompt, prompt_hash, template, tokens, fits, problems.
+
+    contexts (query_id, context) are compressed to `most` tokens; history (query_id,
+    history) stays out of the hash. A query without a context or history lacks that part.
+    """
+    rows = queries.join(contexts.select("query_id", "context"), "query_id", "left")
+    rows = rows.join(history.select("query_id", "history"), "query_id", "left") if history is not None else rows.withColumn("history", F.lit(""))
+    empty = F.lit("")
+    rows = rows.withColumns({"system": system_prompt(F.col("archetype")), "_t": template(F.col("archetype")), "context": compress(F.coalesce("context", empty), most), "history": F.coalesce("history", empty)})
+    rows = rows.withColumn("system", F.concat("system", F.lit("\n\n"), F.col("_t.instruction")))
+    made = rows.withColumns({"prompt": assembled(F.col("system"), F.col("context"), F.col("history"), F.col("text")), "_b": budget(F.col("system"), F.col("history"), F.col("context"))})
+    return made.select("query_id", "prompt", prompt_hash(F.col("system"), F.col("context"), F.col("text"), model).alias("prompt_hash"), F.col("_t.name").alias("template"), F.col("_b.total").alias("tokens"), F.col("_b.fits").alias("fits"), problems(F.col("prompt")).alias("problems"))
