@@ -48,13 +48,13 @@ def with_place(df: DataFrame, file: str, row: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where none is set, one of our own in local mode, else one in the warehouse, which all executors share."""
+    """The folder named in spark.checkpoint.dir; where none is set, one of our own in local mode. A cluster has to name one that all executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if spark.sparkContext.master.split("[")[0] == "local":
         return _own_dir()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quarry"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 @functools.cache

@@ -641,7 +641,7 @@ def test_license_templates_of_any_length(spark):
 
 
 def test_empty_tables(spark, tmp_path):
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     for name, f in queries.QUERIES.items():
         assert f(spark, str(tmp_path)).count() == 0, name
