@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as an
 from ..operators import findings as fd
 from ..operators import structure, vectors
-from . import fixtures
+from . import chunk_sql, fixtures
 from .cleaning import s_lines, s_strip, sub
 from .fixtures import cte
 from .fixtures import literal as q
@@ -245,7 +245,7 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.chunks(texts(spark, sf_dir), "doc_id", "text", "section")
 
 
-@query()
+@query(chunk_sql.tables(M))
 def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pipe tables, long ones in parts that repeat the header."""
     rows = texts(spark, sf_dir).unionByName(fixtures.table(spark, "fx_markdown"))
