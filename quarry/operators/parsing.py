@@ -195,3 +195,19 @@ def parsed(docs: DataFrame, key: str, text: str) -> DataFrame:
     for part in parts:
         out = out.join(part, key, "left")
     return out.withColumns({c: F.coalesce(c, F.array()) for p in parts for c in p.columns if c != key})
+
+
+# Fixed value: what begins an action item of a message.
+ACTION = r"(?i)(?:Action(?:\s*Item)?|Required\s*Action|Please\s*ensure|Next\s*steps?)[\s.:-]+([^\n]+)"
+
+
+def email_message(text: Column, name: Column) -> Column:
+    """Struct of subject (the name, without one), sender, recipient, sent, heading, body and actions of a message; without headers, all of it is body."""
+    headers = email_headers(text)
+    field = lambda k, other: F.coalesce(F.nullif(F.element_at(headers, k), F.lit("")), other)
+    parts = F.split(text, r"\n\s*\n", 2)
+    body = F.when((F.size(parts) > 1) & (F.size(headers) > 0), parts[1]).otherwise(text)
+    subject, sender, recipient, sent = field("subject", name), field("from", F.lit("Unknown Sender")), field("to", F.lit("Unknown Recipient")), field("date", F.lit(""))
+    heading = F.concat(F.lit("From: "), sender, F.lit("\nTo: "), recipient, F.lit("\nDate: "), sent, F.lit("\nSubject: "), subject)
+    actions = F.transform(F.regexp_extract_all(body, F.lit(ACTION), 1), strip)
+    return F.struct(subject.alias("subject"), sender.alias("sender"), recipient.alias("recipient"), sent.alias("sent"), heading.alias("heading"), body.alias("body"), actions.alias("actions"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import intents as it
 from ..operators import candidates, lexical, parsing, prompts
 from ..operators import evaluation as ev
-from . import collection, hybrid_sql, requests
-from .cleaning import s_words
+from . import collection, fixtures, hybrid_sql, requests
+from .cleaning import s_strip, s_words
 from .fixtures import literal as q
 from .hybrid import chunk_table
 from .oracles import EDGE_TEXT, ORACLES
@@ -59,3 +59,29 @@ def prompt_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = collection.conversation_history(spark, sf_dir).select(F.col("conv_id").alias("query_id"), "history")
     made = prompts.pipeline(asked, contexts, history)
     return made.select("query_id", F.sha2("prompt", 256).alias("prompt_sha"), "prompt_hash", "template", "tokens", "fits", F.array_join("problems", ",").alias("problems"))
+
+
+MAILS = [
+    (1, "From: ann@example.org\nTo: all@example.org\nSubject: Pump P-203\nDate: 12/05/2024\n\nPlease ensure: the valve is closed.\nNext steps - inspect HX-01 \n\nRegards"),
+    (2, "No headers here.\n\nAction item: none"),
+    (3, "From: bob@example.org\nSubject: \n\n"),
+    (4, ""),
+]
+fixtures.TABLES["fx_mail"] = (MAILS, "id int, text string")
+fixtures.MORE["fx_mail"] = "SELECT CAST(1000 + conv_id * 100 + turn AS INT), 'From: ' || role || chr(10) || 'Subject: ' || CASE WHEN turn > 0 THEN 'Re: ' ELSE '' END || 'case ' || CAST(conv_id AS STRING) || chr(10) || chr(10) || 'Next step: ' || text FROM {conversations}"
+
+
+def _s_header(name: str, other: str) -> str:
+    return f"coalesce(nullif(trim(regexp_extract(head, '(?im)^{name}:\\s*([^\\n]*)$', 1)), ''), {other})"
+
+
+@query(
+    f"""WITH {fixtures.cte("fx_mail")}, h AS (SELECT id, text, regexp_split_to_array(text, '\\n\\s*\\n')[1] AS head FROM fx_mail), b AS (SELECT *, CASE WHEN length(head) < length(text) AND regexp_matches(head, '(?m)^[A-Za-z-]+:\\s*[^\\n]*$') THEN regexp_replace(substr(text, length(head) + 1), '^\\n\\s*\\n', '') ELSE text END AS body FROM h)
+SELECT id, {_s_header("subject", "'mail ' || id")} AS subject, {_s_header("from", "'Unknown Sender'")} AS sender, {_s_header("to", "'Unknown Recipient'")} AS recipient, {_s_header("date", "''")} AS sent, sha256(body) AS body_hash, array_to_string(list_transform(regexp_extract_all(body, {q(parsing.ACTION)}, 1), lambda x: {s_strip("x")}), '; ') AS actions FROM b"""
+)
+def email_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline messages, and each conversation's turns as messages of one thread."""
+    rows = fixtures.table(spark, "fx_mail", sf_dir)
+    m = parsing.email_message(F.col("text"), F.concat(F.lit("mail "), F.col("id").cast("string")))
+    found = rows.select("id", m.alias("m")).select("id", "m.*")
+    return found.select("id", "subject", "sender", "recipient", "sent", F.sha2("body", 256).alias("body_hash"), F.array_join("actions", "; ").alias("actions"))

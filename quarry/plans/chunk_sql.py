@@ -75,3 +75,12 @@ _clean = f"array_to_string(list_transform({cl.s_lines(cl.s_encoding('text'))}, l
 _found = "list_concat(" + ", ".join(f"regexp_extract_all(text, {q(p)}, 0)" for _, p in PROTECTED) + ")"
 #: Tokens that cleaning must keep: all patterns' matches in the text that the cleaned text lacks.
 ORACLES["token_preservation"] = f"WITH {TEXTS} SELECT doc_id, array_to_string(list_filter(list_sort(list_distinct(list_filter(list_transform({_found}, lambda x: trim(x, ' ')), lambda x: length(x) > 1))), lambda x: NOT contains({_clean}, x)), '; ') AS lost FROM texts"
+
+# letters beyond ASCII are parts of words to the masking patterns, not to RE2: a letter that no pattern names stands for them
+_ascii = "regexp_replace(text, '[^\\x00-\\x7F²³°]', '_', 'g')"
+_each = " UNION ALL ".join(f"SELECT doc_id, regexp_extract_all({_ascii}, {q(p)}, 0) AS f, regexp_split_to_array({_ascii}, {q(p)}) AS gaps FROM texts" for _, p in PROTECTED)
+#: Spans of all patterns, the earliest first, then the longest, without overlap; then the text with a mark for each.
+ORACLES["masked_tokens"] = f"""WITH {TEXTS}, mf AS ({_each}), mi AS (SELECT doc_id, f, gaps, unnest(range(1, len(f) + 1)) AS i FROM mf), ms AS (SELECT DISTINCT doc_id, CAST(list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(f[i]) AS n FROM mi),
+ml AS (SELECT doc_id, list({{'s': [a], 'e': [a + n]}} ORDER BY a, -n) AS l FROM ms GROUP BY doc_id), mk AS (SELECT doc_id, list_reduce([{{'s': []::BIGINT[], 'e': []::BIGINT[]}}] || l, lambda k, x: CASE WHEN len(k.e) = 0 OR x.s[1] >= k.e[-1] THEN {{'s': k.s || x.s, 'e': k.e || x.e}} ELSE k END) AS k FROM ml),
+mt AS (SELECT t.doc_id, t.text, coalesce(k.s, []) AS s, coalesce(k.e, []) AS e FROM texts t LEFT JOIN mk USING (doc_id))
+SELECT doc_id, array_to_string(list_transform(range(1, len(s) + 1), lambda i: text[coalesce(e[i - 1], 0) + 1 : s[i]] || '__ENG_TOKEN_' || (i - 1) || '__'), '') || text[coalesce(e[-1], 0) + 1 :] AS masked, CAST(len(s) AS INTEGER) AS n_tokens, true AS round_trip FROM mt"""
