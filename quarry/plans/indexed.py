@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import embedding, hybrid, indexing
+from ..sources import audit_log
 from ..sources.tables import scratch
 from ..sources.transactions import Store
 from . import fixtures, hybrid_sql
+from .cleaning import redacted_sql
 from .hybrid import chunk_table
 from .registry import ORACLES, query, read
 
@@ -40,3 +42,19 @@ def cached_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     hybrid.cached(chunks, asked.where(F.length("text") % 2 == 0), path)
     hits, origin = hybrid.cached(chunks, asked, path)
     return hits.drop("content").join(origin, "query_id")
+
+
+_note = "'user ' || user_id || ' sent password: hunter' || event_id || 'xyz'"
+
+
+@query(f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_type AS tool, props, {redacted_sql(_note)} AS note, round(value, 2) AS took_ms, CAST(ts AS DATE) AS day FROM events")
+def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an invocation, appended to a log in two parts and read again."""
+    rows = read(spark, sf_dir, "events")
+    note = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" sent password: hunter"), F.col("event_id").cast("string"), F.lit("xyz"))
+    told = rows.select("event_id", F.col("ts").alias("at"), F.col("event_type").alias("tool"), F.create_map(F.lit("props"), F.col("props"), F.lit("note"), note).alias("arguments"), F.col("value").alias("took_ms"), F.lit("ok").alias("status"), F.lit("").alias("summary"))
+    path = scratch(spark, "audit")
+    for half in (0, 1):
+        audit_log.append(told.where(F.col("event_id") % 2 == half), path)
+    found = audit_log.records(spark, path)
+    return found.select(F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "tool", F.col("arguments")["props"].alias("props"), F.col("arguments")["note"].alias("note"), "took_ms", "day")
