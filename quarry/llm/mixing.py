@@ -15,8 +15,10 @@ sum(weights) slots, are worked out on the driver, whatever the corpus.
 Sources without a weight of their own, null among them, form one pool, so the
 number of streams is bounded by the parameter. Every row appears once.
 
-Defined results: equal rows take places of their own, either way round; further
-columns are ignored or carried; an empty table gives an empty result.
+Defined results: a null doc_id or text is a value like any other, and its row has a
+place; a text of any length is one row, or as much as its size column says; equal
+rows take places of their own, either way round; further columns are ignored or
+carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -234,7 +234,9 @@ def _window(table: pa.Table, capacity: int) -> pa.Table:
 def pack_in_order(cut: DataFrame, capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to pieces with columns file and row, which it drops; sequences are numbered from 0 in the order of windows.
 
-    Files follow each other by the number that Spark gives them, then by name. A
+    Files follow each other by the number that Spark gives them, then by name; of
+    a table that is not read from Parquet, there are no files to follow, and rows
+    stand in the order in which Spark numbers them (common.with_place). A
     row for each file and one for each window is ordered in one task, as few as
     these are; the pieces of a window, and no more, meet in one.
     """

@@ -186,3 +186,19 @@ def test_near_copies_in_large_groups(spark):
         for t in texts:
             got[root.get(node[t], node[t])].add(t)
         assert sorted(map(sorted, got.values())) == sorted(sorted({r[1] for r in g}) for g in groups)
+
+
+def test_near_copies_of_awkward_rows(spark):
+    """Repeated rows, nulls, further columns with clashing names, a text of 60,000 words and its copy, and no rows at all."""
+    words = [f"w{i % 7919}x{i}" for i in range(60_000)]
+    long, near = " ".join(words), " ".join(w if i % 100 else "other" for i, w in enumerate(words))
+    rows = [(1, None), (2, ""), (3, long), (4, near), (4, near), (None, "alone here"), (5, " ".join(words[:600]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("node", "root", "band", "TEXT"):
+        df = df.select("*", df["doc_id"].alias(name))
+    root = {r.node: r.root for r in near_copies.near_copies(df).collect()}
+    node = {t: n for t, n in spark.createDataFrame(rows, "doc_id long, text string").select("text", near_copies.node("text")).collect()}
+    of = lambda t: root.get(node[t], node[t])
+    assert of(long) == of(near) and of(None) == of("")
+    assert len({of(long), of(None), of("alone here"), of(rows[-1][1])}) == 4
+    assert near_copies.near_copies(df.where("doc_id > 99")).count() == 0
