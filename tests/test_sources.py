@@ -8,6 +8,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking
+from quarry.operators.incremental import LexicalIndex
 from quarry.sources import files, tables
 from quarry.streaming import ingest
 
@@ -88,7 +89,7 @@ def test_stream(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs.repartition(4).write.parquet(f"{tmp_path}/in")
     stream = ingest.stream_documents(spark, f"{tmp_path}/in", "doc_id long, text string, lang string, source string, n_chars long", 2)
-    ingest.ingest(stream, "doc_id", "text", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out/chunks")
-    assert got.count() == chunking.word_windows(docs, "doc_id", "text").count()
-    assert got.select("batch").distinct().count() == 2
+    ingest.ingest(stream, "doc_id", "text", f"file://{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    index = LexicalIndex(spark, f"file://{tmp_path}/out")
+    assert index.table("chunks").count() == chunking.word_windows(docs, "doc_id", "text").count()
+    assert len(index.segments()) == 2 and index.store.manifest()["n_docs"] == docs.count()
