@@ -83,3 +83,11 @@ def test_long_texts_are_cleaned_in_linear_time(spark):
         df.select(F.length(tx.join_paragraph_lines(F.col("t"))), F.size(tx.sentences(F.col("t")))).collect()
         took.append(time.time() - start)
     assert took[1] < 10 * max(took[0], 0.2)
+
+
+def test_sizes_round_as_printf(spark):
+    """1152 / 1024 is 1.125, a tie, which goes to the even digit."""
+    sizes = [0, 1023, 1024, 1152, 3712, 5760, 2**20, 2**20 * 9 // 8, 2**30 * 9 // 8, 5**7 * 2**20]
+    unit = lambda n: (f"{n / 2**30:.2f} GB" if n >= 2**30 else f"{n / 2**20:.2f} MB" if n >= 2**20 else f"{n / 1024:.2f} KB") if n >= 1024 else f"{n} B"
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", tx.byte_size(F.col("n")).alias("s")).collect()
+    assert [(r.n, r.s) for r in got] == [(n, unit(n)) for n in sizes]
