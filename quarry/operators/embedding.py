@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
+
 MODEL = "local_embedder"
 
 
@@ -24,8 +26,8 @@ def hash_vector(text: Column, dimension: int = 64, model: str = MODEL) -> Column
 
 
 def checksum(vector: Column) -> Column:
-    """sha256 over the numbers with six decimals, comma-joined."""
-    return F.sha2(F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), ","), 256)
+    """sha256 over the numbers with six decimals as C's printf rounds them, comma-joined, nulls left out."""
+    return F.sha2(F.array_join(F.transform(vector, lambda x: fixed(x, 6)), ","), 256)
 
 
 def cache_key(model: str, content_hash: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators that SQL does not express, against plain Python or by what must hold."""
 
 import difflib
+import hashlib
 import math
 import random
 import re
@@ -276,3 +277,13 @@ def test_a_cluster_has_to_name_its_shared_folder(monkeypatch):
         tables.scratch(session, "x")
     conf["spark.checkpoint.dir"] = "hdfs://shared/"
     assert tables.scratch(session, "x").startswith("hdfs://shared/app/x-")
+
+
+def test_checksum_rounds_as_printf(spark):
+    """1/128 is 0.0078125, a tie, which goes to the even digit; nulls are left out."""
+    rng = np.random.default_rng(3)
+    vectors = [[1 / 128, -1 / 128, 3 / 128, 0.0, -0.0, -1e-9], [None, 0.5], [], [float("nan"), float("inf"), float("-inf")], [1e9, 2.0**60, 123456.0078125], rng.normal(size=300).astype("float32").tolist(), (rng.integers(-999, 999, 300) / 128).tolist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id int, v array<float>")
+    got = {r.id: r.c for r in df.select("id", embedding.checksum(F.col("v")).alias("c")).collect()}
+    for i, v in enumerate(vectors):
+        assert got[i] == hashlib.sha256(",".join("%.6f" % np.float32(x) for x in v if x is not None).encode()).hexdigest(), i
