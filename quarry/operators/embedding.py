@@ -10,9 +10,13 @@ from ..functions.text import fixed
 MODEL = "local_embedder"
 
 
-def hash_vector(text: Column, dimension: int = 64, model: str = MODEL) -> Column:
+def _name(model: str | Column) -> Column:
+    return F.lit(model) if isinstance(model, str) else model
+
+
+def hash_vector(text: Column, dimension: int = 64, model: str | Column = MODEL) -> Column:
     """Signed 32-bit little-endian numbers of sha256(model:text:step) over 2**31, scaled to length one."""
-    digest = lambda s: F.sha2(F.concat(F.lit(f"{model}:"), text, F.lit(":"), s.cast("string")), 256)
+    digest = lambda s: F.sha2(F.concat(_name(model), F.lit(":"), text, F.lit(":"), s.cast("string")), 256)
 
     def number(h: Column, i: Column) -> Column:
         b = lambda k: F.substr(h, i * 8 + 2 * k + 1, F.lit(2))
@@ -30,8 +34,8 @@ def checksum(vector: Column) -> Column:
     return F.sha2(F.array_join(F.transform(vector, lambda x: fixed(x, 6)), ","), 256)
 
 
-def cache_key(model: str, content_hash: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{model}:"), content_hash), 256)
+def cache_key(model: str | Column, content_hash: Column) -> Column:
+    return F.sha2(F.concat(_name(model), F.lit(":"), content_hash), 256)
 
 
 def split_cached(chunks: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -44,9 +48,14 @@ def pending(chunks: DataFrame, done: DataFrame, job: str, key: str) -> DataFrame
     return chunks.join(done.where(F.col("job_id") == job).select(key), key, "left_anti")
 
 
-def embed_with_cache(chunks: DataFrame, cache: DataFrame, text: str, dimension: int = 64) -> DataFrame:
-    """chunks with cache_key, vector and from_cache; only misses are embedded."""
-    keyed = chunks.withColumn("cache_key", cache_key(MODEL, F.sha2(F.trim(text), 256)))
+def embed_with_cache(chunks: DataFrame, cache: DataFrame, text: str, dimension: int = 64, model: str | Column = MODEL) -> DataFrame:
+    """chunks with cache_key, vector and from_cache; only misses are embedded.
+
+    A model named by a column may differ from row to row, and equal texts of two
+    models do not share an entry. A null text counts as empty.
+    """
+    content = F.coalesce(F.col(text), F.lit(""))
+    keyed = chunks.withColumn("cache_key", cache_key(model, F.sha2(F.trim(content), 256)))
     hits, misses = split_cached(keyed, cache.select("cache_key", "vector"), "cache_key")
-    made = misses.withColumn("vector", hash_vector(F.col(text), dimension)).withColumn("from_cache", F.lit(False))
+    made = misses.withColumn("vector", hash_vector(content, dimension, model)).withColumn("from_cache", F.lit(False))
     return hits.withColumn("from_cache", F.lit(True)).select(made.columns).unionByName(made)
