@@ -41,16 +41,21 @@ def valid(blocks: DataFrame) -> DataFrame:
     return blocks.where((t != "") & (sure | ~noise)).withColumn("text", t)
 
 
-def tilts(blocks: DataFrame, page: str) -> DataFrame:
-    """page, slope: the turn at which middles fall into the fewest, fullest rows, if it gains TILT_GAIN over none; 0 for few blocks."""
-    x, y = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
-    turn = lambda step: F.tan(F.radians(step * F.lit(TILT_STEP)))
-    turned = blocks.select(page, x.alias("x"), y.alias("y"), F.explode(F.sequence(F.lit(-TILT_STEPS), F.lit(TILT_STEPS))).alias("step"))
-    rows = turned.groupBy(page, "step", F.bround((F.col("y") - turn(F.col("step")) * F.col("x")) / TILT_BIN).alias("bin")).agg(F.count("*").alias("n"))
-    scores = rows.groupBy(page, "step").agg(F.sum(F.col("n") * F.col("n")).alias("score"), F.sum("n").alias("n"))
-    best = scores.groupBy(page).agg(F.max(F.struct("score", (-F.col("step")).alias("back"))).alias("b"), F.max(F.when(F.col("step") == 0, F.col("score"))).alias("none"), F.max("n").alias("n"))
-    gains = (F.col("n") >= TILT_LEAST) & (F.col("b.score") / F.col("none") >= TILT_GAIN)
-    return best.select(page, F.when(gains, turn(-F.col("b.back"))).otherwise(0.0).alias("slope"))
+def tilt(blocks: Column) -> Column:
+    """Of the page's array of structs with x and y, the middles: the turn at which they fall into the fewest, fullest rows, if it gains TILT_GAIN over none; 0 for few blocks."""
+    turns = F.array(*[F.tan(F.radians(F.lit(step) * F.lit(TILT_STEP))) for step in range(-TILT_STEPS, TILT_STEPS + 1)])
+    start = F.struct(F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("score"))
+
+    def step(a: Column, v: Column) -> Column:
+        n = F.when((a["n"] > 0) & a["bin"].eqNullSafe(v), a["n"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(v.alias("bin"), (n + 1).alias("n"), (a["score"] + 2 * n + 1).alias("score"))
+
+    # the sum of the squares of the rows' counts, over the sorted bins
+    score = lambda t: F.aggregate(F.array_sort(F.transform(blocks, lambda b: F.bround((b["y"] - t * b["x"]) / TILT_BIN).cast("long"))), start, step)["score"]
+    scores = F.transform(turns, lambda t, i: F.struct(score(t).alias("score"), (-i).alias("back"), t.alias("turn")))
+    gains = lambda s: F.array_max(s)["score"] / F.get(s, F.lit(TILT_STEPS))["score"] >= TILT_GAIN
+    turned = F.element_at(F.transform(F.array(scores), lambda s: F.when(gains(s), F.array_max(s)["turn"]).otherwise(0.0)), 1)
+    return F.when(F.size(blocks) >= TILT_LEAST, turned).otherwise(0.0)
 
 
 def clustered(values: Column, gap: float) -> Column:
@@ -65,6 +70,15 @@ def clustered(values: Column, gap: float) -> Column:
     return F.aggregate(values, start, step)["out"]
 
 
+def anchors(lefts: Column, least: Column) -> Column:
+    """Means of the clusters of an ascending array, ascending; if two clusters or more have `least` values, only such."""
+    held = F.transform(F.array(F.arrays_zip(lefts.alias("l"), clustered(lefts, COLUMN_GAP).alias("c"))), lambda z: F.transform(F.sequence(F.lit(0), F.element_at(z, -1)["c"]), lambda i: F.transform(F.filter(z, lambda e: e["c"] == i), lambda e: e["l"])))
+    often = lambda c: F.size(c) >= least
+    used = F.transform(held, lambda s: F.when(F.size(F.filter(s, often)) >= 2, F.filter(s, often)).otherwise(s))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    return F.array_sort(F.transform(F.element_at(used, 1), mean))
+
+
 def table_cells(blocks: DataFrame, page: str = "page") -> DataFrame:
     """page, row_no, column_no, value of the table on each page that has one: two rows and columns at least.
 
@@ -72,24 +86,26 @@ def table_cells(blocks: DataFrame, page: str = "page") -> DataFrame:
     blocks are no part of the table. Columns are clusters of left sides in its
     fuller rows; a block midway between two columns is left out. A header over two
     columns stays in the one nearest to its left side.
+
+    Blocks are dealt out by page once; all steps after that stay within a page.
     """
-    slope = tilts(good := valid(blocks), page)
-    middle = (F.col("top") + F.col("bottom")) / 2 - F.col("slope") * (F.col("left") + F.col("right")) / 2
-    sorted_ = good.join(slope, page).groupBy(page).agg(F.array_sort(F.collect_list(F.struct(middle.alias("y"), "left", "text"))).alias("b")).where(F.size("b") >= 4)
+    good = valid(blocks).where(F.col(page).isNotNull())
+    x, y = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
+    pages = good.groupBy(page).agg(F.collect_list(F.struct(y.alias("y"), x.alias("x"), "left", "text")).alias("b")).where(F.size("b") >= 4)
+    # in an array of its own, so that it is worked out once a page
+    turned = F.transform(F.array(tilt(F.col("b"))), lambda slope: F.transform("b", lambda e: F.struct((e["y"] - slope * e["x"]).alias("y"), e["left"].alias("left"), e["text"].alias("text"))))
+    sorted_ = pages.select(page, F.array_sort(F.element_at(turned, 1)).alias("b"))
     rows = sorted_.withColumn("r", clustered(F.transform("b", lambda x: x["y"]), ROW_GAP)).select(page, F.posexplode(F.arrays_zip("b", "r")).alias("pos", "z")).select(page, F.col("z.r").alias("r"), F.col("z.b.left").alias("left"), F.col("z.b.text").alias("text"))
     rows = rows.withColumn("n", F.count("*").over(W.partitionBy(page, "r"))).withColumn("most", F.max("n").over(W.partitionBy(page)))
     kept = rows.where((F.col("most") >= 2) & (F.col("n") >= F.greatest(F.lit(2), F.least(F.lit(3), F.col("most") - 2))))
     kept = kept.withColumn("row_no", F.dense_rank().over(W.partitionBy(page).orderBy("r")) - 1)
     full = F.col("n") >= F.greatest(F.lit(3), F.col("most") - 1)
-    kept = kept.withColumns({"rows": F.max("row_no").over(W.partitionBy(page)) + 1, "any": F.max(full).over(W.partitionBy(page))})
-    used = kept.where((F.col("rows") >= 2) & (full | ~F.col("any")))
-    lefts = used.groupBy(page).agg(F.array_sort(F.collect_list("left")).alias("l"), F.countDistinct("row_no").alias("k"))
-    numbered = lefts.withColumn("c", clustered(F.col("l"), COLUMN_GAP)).select(page, "k", F.explode(F.arrays_zip("l", "c")).alias("z"))
-    clusters = numbered.groupBy(page, "k", F.col("z.c").alias("c")).agg(F.avg("z.l").alias("x"), F.count("*").alias("n")).withColumn("often", F.col("n") >= F.least(F.lit(2), F.col("k")))
-    clusters = clusters.withColumn("enough", F.sum(F.col("often").cast("int")).over(W.partitionBy(page)) >= 2).where(F.col("often") | ~F.col("enough"))
-    anchors = clusters.groupBy(page).agg(F.array_sort(F.collect_list("x")).alias("anchors"))
-    far = F.transform("anchors", lambda a: F.abs(F.col("left") - a))
-    placed = kept.where(F.col("rows") >= 2).join(anchors, page).withColumn("far", far).withColumn("column_no", (F.array_position("far", F.array_min("far")) - 1).cast("int"))
+    kept = kept.withColumns({"rows": F.max("row_no").over(W.partitionBy(page)) + 1, "any": F.max(full).over(W.partitionBy(page))}).where("rows >= 2")
+    tables = kept.groupBy(page).agg(F.collect_list(F.struct("row_no", "left", "text", (full | ~F.col("any")).alias("used"))).alias("b"))
+    used = F.filter("b", lambda e: e["used"])
+    tables = tables.withColumns({"lefts": F.array_sort(F.transform(used, lambda e: e["left"])), "k": F.size(F.array_distinct(F.transform(used, lambda e: e["row_no"])))})
+    placed = tables.select(page, "b", anchors(F.col("lefts"), F.least(F.lit(2), F.col("k"))).alias("anchors")).select(page, "anchors", F.explode("b").alias("e")).select(page, "e.row_no", "e.left", "e.text", F.transform("anchors", lambda a: F.abs(F.col("e.left") - a)).alias("far"))
+    placed = placed.withColumn("column_no", (F.array_position("far", F.array_min("far")) - 1).cast("int"))
     clear = F.size(F.filter("far", lambda d: d - F.array_min("far") <= AMBIGUOUS)) == 1
     cells = placed.where(clear).groupBy(page, "row_no", "column_no").agg(F.array_sort(F.collect_list(F.struct("left", "text"))).alias("t"))
     return cells.select(F.col(page).cast("long").alias(page), F.col("row_no").cast("long").alias("row_no"), F.col("column_no").cast("long").alias("column_no"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("value"))

@@ -67,3 +67,11 @@ def test_prompts(spark):
     cited = spark.sql("SELECT array(named_struct('anchor', '[1]', 'document', 'a.pdf', 'page', 2, 'section', cast(null as string))) AS c")
     assert cited.select(prompts.citation_lines(F.col("c"))).first()[0] == "[1] a.pdf, p. 2"
     assert spark.range(1).select(prompts.artifact_name(F.lit("Make report_5.pdf now"), F.lit("s"))).first()[0] == "report_5.pdf"
+
+
+def test_blocks_are_dealt_out_once(spark):
+    """No step multiplies a page's blocks by turns before a shuffle, or joins a page with itself."""
+    df = spark.createDataFrame([(1, *b, 0.9) for b in grid(4, 4)], BLOCK)
+    plan = ocr.table_cells(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert cells(spark, [(1, *b, 0.9)[1:] for b in grid(2, 6)]) == {(r, c): f"r{r}c{c}" for r in range(2) for c in range(6)}
