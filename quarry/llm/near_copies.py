@@ -1,10 +1,12 @@
 """Near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash at its usual radius finds few of them: two texts at 0.8 are apart by
-about ten of 64 bits, and by more than four nearly always. So MinHash bands
-propose pairs here, and the texts' own shingles verify them. A pair at 0.8 meets
-in some of BANDS bands of ROWS rows with a chance of 1 - (1 - 0.8 ** 4) ** 20,
-all but 3e-5.
+SimHash proposes pairs: the fingerprints of all texts are linked by multi-index
+hashing, as op10 links them, and the texts' own shingles verify the links. At its
+radius it finds few of the pairs at 0.8 alone: such texts are apart by about ten
+of 64 bits. So MinHash bands propose further pairs, which are verified alike. A
+pair at 0.8 meets in some of BANDS bands of ROWS rows with a chance of
+1 - (1 - 0.8 ** 4) ** 20, all but 3e-5. Equal fingerprints share a bucket, as
+equal bands do.
 
 All pairs of a bucket count, yet few are looked at. First each text is compared
 with one centre of its bucket, the text whose buckets are the largest together;
@@ -32,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import pick, written
 from .simhash import components
 
@@ -76,10 +79,14 @@ def alike(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> n
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bands, and after them as band number BANDS the fingerprint."""
     for b in batches:
-        made = [bands(shingles(t)) for t in b.column(1).to_pylist()]
+        made = []
+        for t in b.column(1).to_pylist():
+            own = shingles(t)
+            made.append(np.append(bands(own), simhash.voted(own)))
         flat = np.concatenate(made) if made else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(made))), pa.array(flat)], names=["node", "band", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS + 1)), pa.array(np.tile(np.arange(BANDS + 1, dtype=np.int32), len(made))), pa.array(flat)], names=["node", "band", "value"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,20 +131,29 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def by_simhash(every: DataFrame) -> DataFrame:
+    """Columns a, b: pairs of nodes whose fingerprints, among these bands, are within SimHash's radius; one node stands for each fingerprint."""
+    fps = written(every.where(F.col("band") == BANDS).groupBy(F.col("value").alias("fp")).agg(F.min("node").alias("node")), "near-fingerprints")
+    left, right = (fps.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}")) for c in "ab")
+    return simhash.links(fps).join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+
+
 def links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Columns a, b: verified pairs of nodes (hashes of texts) that join the groups."""
     texts = docs.select("node", "text")
     every = written(texts.mapInArrow(_banded, "node long, band int, value long"), "near-bands")
     shared = every.groupBy("band", "value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band", "value")
     members = written(every.join(shared, ["band", "value"]).distinct(), "near-buckets")
-    held = texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    close = written(by_simhash(every), "near-simhash")
+    meeting = members.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node")))
+    held = texts.join(meeting.distinct(), "node", "left_semi").dropDuplicates(["node"])
     sets = written(held.mapInArrow(_hashed, "node long, own binary"), "near-sets")
 
     sizes = members.groupBy("band", "value").agg(F.count("*").alias("n"))
     reach = members.join(sizes, ["band", "value"]).groupBy("node").agg(F.sum("n").alias("reach"))
     best = members.join(reach, "node").groupBy("band", "value").agg(F.max(F.struct("reach", "node")).alias("m"))
     centres = best.select("band", "value", F.col("m.node").alias("centre"))
-    stars = members.join(centres, ["band", "value"]).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    stars = members.join(centres, ["band", "value"]).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).unionByName(close).distinct()
     left, right = (sets.select(F.col("node").alias(c), F.col("own").alias(f"t{c}")) for c in "ab")
     both = stars.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     found = written(both.mapInArrow(_verified, "a long, b long"), "near-links")

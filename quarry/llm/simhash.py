@@ -37,6 +37,15 @@ KEYS_PER_TASK = 1_000_000
 SMALL_GROUP = 24
 
 
+def voted(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint: a bit is set if over half of the hashes have it."""
+    bits = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        part = hashes[i : i + 65536]
+        bits += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Signed 64-bit SimHash: a bit is set if over half of the shingles' XXH64 have it."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower is A-Z alone
@@ -51,11 +60,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         spans = zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - shingle + 1)
-    bits = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 65536):
-        part = hashes[i : i + 65536]
-        bits += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")[0])
+    return voted(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -202,3 +202,15 @@ def test_near_copies_of_awkward_rows(spark):
     assert of(long) == of(near) and of(None) == of("")
     assert len({of(long), of(None), of("alone here"), of(rows[-1][1])}) == 4
     assert near_copies.near_copies(df.where("doc_id > 99")).count() == 0
+
+
+def test_simhash_proposes_near_copies(spark):
+    """The fingerprints of a text and of its lightly edited copies are linked by SimHash, with no band's help."""
+    words = [f"w{i * 7919 % 997}" for i in range(900)]
+    texts = [" ".join(words), " ".join([*words[:450], "edited", *words[451:]]), " ".join(words[::-1]), "a few words", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(near_copies.node("text").alias("node"), "text")
+    every = df.mapInArrow(near_copies._banded, "node long, band int, value long")
+    node = {r.text: r.node for r in df.collect()}
+    want = {(min(node[texts[0]], node[texts[1]]), max(node[texts[0]], node[texts[1]]))}
+    assert {(r.a, r.b) for r in near_copies.by_simhash(every).collect()} == want
+    assert {(r.a, r.b) for r in near_copies.links(df).distinct().collect()} == want
