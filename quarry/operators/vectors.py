@@ -17,6 +17,8 @@ QUERY_BLOCK = 32 << 20
 PART, LISTS, SAMPLE_BYTES, TRIALS = 4096, 4096, 32 << 20, 512
 #: Share of true neighbours that the lists sought shall hold, with a margin for what the sample cannot tell.
 RECALL, MARGIN = 0.95, 0.02
+#: Queries whose scores with PART rows are held at once.
+QUERIES = 1024
 
 
 def norm(v: Column) -> Column:
@@ -82,6 +84,24 @@ def _labelled(score: np.ndarray, own: list, other: list) -> np.ndarray:
     return np.where(np.array([names[x] for x in own])[:, None] == np.array([names.get(x, -1) for x in other])[None, :], score, -np.inf)
 
 
+def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray, labels: list | None, key: str, k: int, metric: str, digits: int | None) -> Iterator[pa.RecordBatch]:
+    """query_id, key, score: the k best of these batches for each query, by blocks of QUERIES queries and PART rows, so that memory does not follow their product."""
+    starts = range(0, len(ids), QUERIES)
+    found = [_Found(len(ids[lo : lo + QUERIES]), k) for lo in starts]
+    for whole in batches:
+        for at in range(0, whole.num_rows, PART):
+            b = whole.slice(at, PART)
+            held, keys = _unit(_matrix(b.column(1)), metric), b.column(0).to_numpy()
+            for lo, f in zip(starts, found, strict=True):
+                score = _likeness(matrix[lo : lo + QUERIES], held, metric)
+                if labels is not None:
+                    score = _labelled(score, labels[lo : lo + QUERIES], b.column(2).to_pylist())
+                f.take(keys, np.round(score, digits) if digits is not None else score)
+    for lo, f in zip(starts, found, strict=True):
+        q, c, v = f.cut()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + q]), pa.array(c), pa.array(v)], names=["query_id", key, "score"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, metric: str = "cosine", same: str | None = None, digits: int | None = None) -> DataFrame:
     """query_id, key, score, rank (from 0) of the k nearest rows to each query row, itself among them; ties by key, on scores rounded to `digits` if given.
 
@@ -106,15 +126,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     ids, matrix, labels = np.array([r["query_id"] for r in given], np.int64), _unit(np.array([r["v"] for r in given]), metric), [r[same] for r in given] if same else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Found(len(ids), k)
-        for b in batches:
-            if b.num_rows:
-                score = _likeness(matrix, _unit(_matrix(b.column(1)), metric), metric)
-                if same:
-                    score = _labelled(score, labels, b.column(2).to_pylist())
-                found.take(b.column(0).to_numpy(), np.round(score, digits) if digits is not None else score)
-        q, c, v = found.cut()
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(c), pa.array(v)], names=["query_id", key, "score"])
+        return _scan(batches, ids, matrix, labels, key, k, metric, digits)
 
     return top_k(rows.mapInArrow(run, schema), "query_id", "score", key, k)
 

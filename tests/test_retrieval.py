@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,18 @@ def test_results_from_the_cache(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(hybrid, "hybrid", real)
     _, origin = hybrid.cached(chunks, asked, path, 60, F.lit("2024-01-01 00:02:00"), k=5)
     assert not any(r.from_cache for r in origin.collect())
+
+
+def test_scores_are_held_in_blocks(monkeypatch):
+    """Many queries over a large batch: no block of scores follows their product, and the best are those of the whole product."""
+    rng = np.random.default_rng(4)
+    rows, shapes, real = rng.normal(size=(10_000, 8)), [], vectors._likeness
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    asked = rows[::4]
+    monkeypatch.setattr(vectors, "_likeness", lambda q, r, m: shapes.append((len(q), len(r))) or real(q, r, m))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(rows))], names=["id", "v"])
+    out = pa.Table.from_batches(vectors._scan(iter([batch]), np.arange(len(asked)), asked, None, "id", 3, "cosine", 5))
+    assert max(q * r for q, r in shapes) <= vectors.QUERIES * vectors.PART
+    score = np.round(asked @ rows.T, 5)
+    want = {(i, int(j)) for i, s in enumerate(score) for j in np.lexsort((np.arange(10_000), -s))[:3]}
+    assert {(r["query_id"], r["id"]) for r in out.to_pylist()} == want
