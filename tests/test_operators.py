@@ -10,6 +10,7 @@ import uuid
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -287,3 +288,13 @@ def test_checksum_rounds_as_printf(spark):
     got = {r.id: r.c for r in df.select("id", embedding.checksum(F.col("v")).alias("c")).collect()}
     for i, v in enumerate(vectors):
         assert got[i] == hashlib.sha256(",".join("%.6f" % np.float32(x) for x in v if x is not None).encode()).hexdigest(), i
+
+
+def test_texts_are_cut_in_slices():
+    """Chunks leave a task after some texts, not after a whole batch of them."""
+    texts = [f"# Title {i}\n\nSome words of section {i}." for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["id", "text"])
+    split = structure.STRATEGIES["section"]
+    out = list(structure._cut(iter([batch]), split, "id"))
+    assert max(len(set(b["id"].to_pylist())) for b in out) <= structure.TOGETHER
+    assert [(r["id"], r["chunk_index"], r["content"]) for b in out for r in b.to_pylist()] == [(k, i, c) for k, t in enumerate(texts) for i, c in enumerate(split(t))]
