@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import WS, strip
+from ..functions.text import count_words, strip
 from .ocr import ARROW, CONNECTION, GUESSED, heading, stable_id
 from .parsing import CROSS_REFERENCE
 
@@ -88,7 +88,7 @@ def references(made: DataFrame) -> DataFrame:
 def titles(made: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc, title: the first heading of the first page, of one to twelve words; else its first line that is mostly in capitals; else empty."""
     first = blocks.groupBy("doc").agg(F.min("page").alias("page"))
-    words = F.regexp_count("title", F.lit(f"[^{WS}]+"))
+    words = count_words(F.col("title"))
     named = made.where(F.col("explicit") & words.between(1, 12)).join(first, ["doc", "page"]).groupBy("doc").agg(F.min_by("title", "section").alias("_named"))
     t = strip(F.col("text"))
     letters, upper = (F.length(F.regexp_replace(t, p, "")) for p in (r"[^\p{L}]", r"[^\p{Lu}]"))
@@ -100,7 +100,7 @@ def titles(made: DataFrame, blocks: DataFrame) -> DataFrame:
 def documents(blocks: DataFrame, made: DataFrame) -> DataFrame:
     """doc, title, total_pages, total_sections, total_paragraphs, total_words, total_characters."""
     shown = F.concat_ws(" ", F.when(F.col("explicit"), F.col("title")), "content")
-    sums = made.groupBy("doc").agg(F.count("*").alias("total_sections"), F.sum("n_paragraphs").alias("total_paragraphs"), F.sum(F.regexp_count(shown, F.lit(f"[^{WS}]+"))).alias("total_words"), F.max("char_end").cast("long").alias("total_characters"))
+    sums = made.groupBy("doc").agg(F.count("*").alias("total_sections"), F.sum("n_paragraphs").alias("total_paragraphs"), F.sum(count_words(shown)).alias("total_words"), F.max("char_end").cast("long").alias("total_characters"))
     pages = blocks.groupBy("doc").agg(F.countDistinct("page").alias("total_pages"))
     return titles(made, blocks).join(pages, "doc").join(sums, "doc")
 

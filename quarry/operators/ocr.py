@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import WS, strip
+from ..functions.text import count_words, strip
 
 # Fixed values of form fields: least confidence, and reaches in pixels.
 LEAST_CONFIDENCE = 0.3
@@ -181,7 +181,7 @@ def heading(text: Column, isolated: Column) -> Column:
     upper = F.length(F.regexp_replace(t, r"[^\p{Lu}]", ""))
     number = F.regexp_extract(t, r"^(\d+(?:\.\d+)*)[.\s]\s*.+$", 1)
     made = lambda level, sure: F.struct(level.cast("int").alias("level"), F.lit(sure).alias("confidence"))
-    n_words = F.regexp_count(t, F.lit(f"[^{WS}]+"))
+    n_words = count_words(t)
     return (
         F.when(letters < 3, None)
         .when((number != "") & (F.length(t) <= 120) & ~t.endswith("."), made(F.least(F.size(F.split(number, r"\.")), F.lit(6)), 0.95))
