@@ -90,6 +90,8 @@ def without_headers(sections_: DataFrame, doc: str, key: str, text: str, least:
     """doc, key, cleaned: sections without first and last lines that repeat in their document.
 
     A last line also goes if it is a page number. Documents of one section stay.
+    The last line is cut off by its length: a pattern that ends in $ would be tried
+    from every character of every line.
     """
     rows = sections_.withColumn("_l", F.split(F.coalesce(text, F.lit("")), "\n"))
     rows = rows.withColumn("_full", F.filter(F.transform("_l", strip), lambda x: x != ""))
@@ -100,8 +102,9 @@ def without_headers(sections_: DataFrame, doc: str, key: str, text: str, least:
     head = F.coalesce(many & fit("_top").isNotNull() & (F.col("_tops") >= least), F.lit(False))
     foot = F.coalesce(many & (fit("_end").isNotNull() & (F.col("_ends") >= least) | F.col("_end").rlike(PAGINATION)), F.lit(False))
     body = F.regexp_replace(strip(F.col(text)), r"^[^\n]*\n?", "")
-    cut = F.when(head, body).otherwise(strip(F.col(text)))
-    return rows.select(doc, key, strip(F.when(foot, F.regexp_replace(strip(cut), r"\n?[^\n]*$", "")).otherwise(cut)).alias("cleaned"))
+    cut = strip(F.when(head, body).otherwise(F.col(text)))
+    above = F.substr(cut, F.lit(1), F.greatest(F.lit(0), F.length(cut) - F.length(F.substring_index(cut, "\n", -1)) - 1))
+    return rows.select(doc, key, strip(F.when(foot, above).otherwise(cut)).alias("cleaned"))
 
 
 def clean_cells(rows: Column) -> Column:
