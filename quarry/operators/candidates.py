@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip, tok_retrieval
 
@@ -15,13 +18,33 @@ SIMILAR, LENGTHS = 0.85, (0.8, 1.25)
 HEADER = "### Context"
 
 
+@F.pandas_udf(T.BinaryType())
+def character_counts(texts: pd.Series) -> pd.Series:
+    """The kinds of characters of a text in order, then how often it has each, as 32-bit numbers."""
+
+    def one(t: str) -> bytes:
+        kinds, n = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)
+        return kinds.tobytes() + n.astype("<u4").tobytes()
+
+    return texts.map(one, na_action="ignore")
+
+
+@F.pandas_udf(T.DoubleType())
+def counts_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """quick_ratio of two texts by their character_counts; null if either is."""
+
+    def one(x: bytes, y: bytes) -> float:
+        (kx, nx), (ky, ny) = (np.frombuffer(c, "<u4").reshape(2, -1) for c in (x, y))
+        _, i, j = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
+        total = int(nx.sum()) + int(ny.sum())
+        return 2.0 * int(np.minimum(nx[i], ny[j]).sum()) / total if total else 1.0
+
+    return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def quick_ratio(a: Column, b: Column) -> Column:
-    """Twice the characters in common, counted by kind, over all characters."""
-    count = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
-    kinds = F.array_distinct(F.split(a, ""))
-    both = F.aggregate(F.filter(kinds, lambda c: c != ""), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, 1.0).otherwise(2.0 * both / total)
+    """Twice the characters in common, counted by kind, over all characters; in time that grows with the texts alone."""
+    return counts_ratio(character_counts(a), character_counts(b))
 
 
 def without_near_duplicates(hits: DataFrame, by: str, key: str, text: str, rank: str) -> DataFrame:
