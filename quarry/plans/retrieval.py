@@ -281,13 +281,12 @@ def metadata_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT chunk_id, format('[{{}}]', row_number() OVER (PARTITION BY category ORDER BY pos)) AS anchor, CASE WHEN length(content) > 60 THEN substr(content, 1, 60) || '...' ELSE content END AS quote, round(score, 4) AS score FROM f WHERE n = 1"""
 )
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    """The chunks of each category as the hits of one query."""
-    rows = fixtures.chunk_rows(spark, sf_dir).withColumn("query_id", F.col("category"))
-    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+    """The chunks of each category as the hits of one query; only their quotes travel, and the first of a place is told before categories meet."""
+    score, quote = F.col("score"), F.when(F.length("content") > 60, F.concat(F.substring("content", 1, 60), F.lit("..."))).otherwise(F.col("content"))
+    place = F.struct(score.isNull().alias("none"), (-score).alias("down"), "chunk_id")
+    rows = fixtures.chunk_rows(spark, sf_dir).select(F.col("category").alias("query_id"), "document_id", "page", "section", "chunk_id", quote.alias("quote"), "score", place.alias("pos"))
     first = ranking.first_citations(rows, "query_id", "pos", ["document_id", "page", "section"])
-    return first.select("chunk_id", "anchor", F.when(F.length("content") > 60, F.concat(F.substring("content", 1, 60), F.lit("..."))).otherwise(F.col("content")).alias("quote"), F.round("score", 4).alias("score"))
+    return first.select("chunk_id", "anchor", "quote", F.round("score", 4).alias("score"))
 
 
 @query(
