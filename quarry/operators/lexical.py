@@ -346,10 +346,14 @@ def blocks_read(index: Index, queries: DataFrame, query_key: str, query_text: st
 
 
 def search(chunks: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 10, digits: int | None = None) -> DataFrame:
-    """search_index over rows that have no stored index: one for this search is built in the shared folder."""
-    from ..sources.tables import scratch
+    """search_index over rows that have no stored index: one for this search is built in the shared folder.
 
-    return search_index(build(chunks, key, text, scratch(chunks.sparkSession, "bm25"), by_term=False), queries, key, query_key, query_text, k, digits)
+    The hits are stored too, so that what joins them knows their size, and few of them
+    meet the rows without a shuffle of all texts.
+    """
+    from ..sources.tables import scratch, stored
+
+    return stored(search_index(build(chunks, key, text, scratch(chunks.sparkSession, "bm25"), by_term=False), queries, key, query_key, query_text, k, digits), "found")
 
 
 def top_k(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
