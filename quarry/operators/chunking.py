@@ -21,9 +21,10 @@ def window_words(target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) ->
 def word_windows(docs: DataFrame, key: str, text: str, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
     """key, chunk_index, content, token_count, chunk_id of sliding windows; the last one ends with the text."""
     size, step = window_words(target, overlap)
-    split = docs.select(F.col(key), words(F.coalesce(text, F.lit(""))).alias("w")).where(F.size("w") > 0)
+    split = docs.select(F.col(key), words(F.coalesce(text, F.lit(""))).alias("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - size) / step).cast("int")) * step, F.lit(step))
-    cut = split.select(key, F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i + 1, size), " "))).alias("chunk_index", "content"))
+    # a text without words explodes to nothing; a filter on their number would split each text twice
+    cut = split.select(key, F.posexplode(F.when(F.size("w") > 0, F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i + 1, size), " ")))).alias("chunk_index", "content"))
     return cut.select(key, "chunk_index", "content", tok_regex(F.col("content")).cast("long").alias("token_count"), chunk_id(F.col(key).cast("string"), F.lit(0), F.col("chunk_index"), F.col("content")).alias("chunk_id"))
 
 

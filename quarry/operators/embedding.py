@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import fixed
 
@@ -15,18 +20,31 @@ def _name(model: str | Column) -> Column:
 
 
 def hash_vector(text: Column, dimension: int = 64, model: str | Column = MODEL) -> Column:
-    """Signed 32-bit little-endian numbers of sha256(model:text:step) over 2**31, scaled to length one."""
-    digest = lambda s: F.sha2(F.concat(_name(model), F.lit(":"), text, F.lit(":"), s.cast("string")), 256)
-
-    def number(h: Column, i: Column) -> Column:
-        b = lambda k: F.substr(h, i * 8 + 2 * k + 1, F.lit(2))
-        n = F.conv(F.concat(b(3), b(2), b(1), b(0)), 16, 10).cast("long")
-        return F.when(n >= 2**31, n - 2**32).otherwise(n) / float(2**31)
-
-    raw = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-dimension // 8) - 1)), lambda s: F.transform(F.array(digest(s)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: number(h, i)))[0]))
-    cut = F.slice(raw, 1, dimension)
-    unit = F.transform(F.array(cut), lambda v: F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))), lambda n: F.transform(v, lambda x: x / n))[0])
-    return unit[0]
+    """Signed 32-bit little-endian numbers of sha256(model:text:step) over 2**31, scaled to length one; all null for a null text or model.
+
+    An Arrow function: the text is hashed once for all steps, and a batch's numbers
+    are scaled together, with squares summed in order, where the JVM cut each number out of hex digits.
+    """
+    steps = [f":{s}".encode() for s in range(-(-dimension // 8))]
+
+    def run(models: pd.Series, texts: pd.Series) -> pd.Series:
+        out, some, raw = [[None] * dimension] * len(texts), [], []
+        for i, (m, t) in enumerate(zip(models, texts, strict=True)):
+            if m is not None and t is not None:
+                some.append(i)
+                begun = hashlib.sha256(f"{m}:{t}".encode("utf-8", "surrogatepass"))
+                for s in steps:
+                    h = begun.copy()
+                    h.update(s)
+                    raw.append(h.digest())
+        if some:
+            v = np.frombuffer(b"".join(raw), "<i4").reshape(len(some), -1)[:, :dimension] / 2.0**31
+            v = v / np.sqrt(np.cumsum(v * v, axis=1)[:, -1:])
+            for i, x in zip(some, v, strict=True):
+                out[i] = x
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(_name(model), text)
 
 
 def checksum(vector: Column) -> Column:

@@ -63,7 +63,9 @@ def hybrid(chunks: DataFrame, queries: DataFrame, dimension: int = 64, index: le
     dense = vectors.nearest(held, wanted, "cid", "v", wide, digits=9)
     place = lambda found: found.join(limits.select("query_id", "wide"), "query_id").where(F.col("rank") < F.col("wide")).select("query_id", "cid", (F.col("rank") + 1).alias("rank"))
     fused = ranking.fuse(place(dense), place(sparse), "query_id", "cid", by_query=limits).where(F.col("fused_rank") <= F.col("wide"))
-    met = stored(fused.select("query_id", "cid", "score").join(rows, "cid").join(asked, "query_id"), "fused")
+    # what is stored before it meets the chunks has a known size: few candidates go to the chunks, not all chunks through a shuffle
+    found = stored(fused.select("query_id", "cid", "score"), "fused")
+    met = stored(found.join(rows, "cid").join(asked, "query_id"), "met")
     met = met.withColumn("_fits", metadata.planned_filter(F.col("e")))
     some = met.groupBy("query_id").agg(F.max("_fits").alias("_some"))
     fit = met.join(some, "query_id").where(F.col("_fits") | ~F.col("_some"))
@@ -80,7 +82,8 @@ def hybrid(chunks: DataFrame, queries: DataFrame, dimension: int = 64, index: le
     boosted = fit.withColumn("score", ranking.boosted(F.col("score"), boost))
     scored = boosted.withColumn("score", F.round(ranking.lexical_score(F.col("text"), F.col("content"), F.concat_ws(" ", "document_name", "section"), F.col("score")), 9)).select("query_id", "cid", "document", "index", "score", "radius", F.greatest(F.lit(15), "k").alias("_most"))
     best = stored(lexical.top_k(scored, "query_id", "score", "cid", max(15, wide)).where(F.col("rank") < F.col("_most")), "best")  # used three times below
-    wider = candidates.with_neighbours(best, rows, "query_id", F.col("radius")).join(rows.select("cid", "content", "page", "section"), "cid")
+    near = stored(candidates.with_neighbours(best, rows, "query_id", F.col("radius")), "near")
+    wider = stored(near.join(rows.select("cid", "content", "page", "section"), "cid"), "wider")  # used twice
     kept = candidates.without_near_duplicates(wider.withColumn("order", F.struct("rank", "cid")), "query_id", "cid", "content", "order")
     own = wider.drop("rank").join(kept, ["query_id", "cid"]).withColumn("score", F.round(capped(F.col("score")), 6))
     final = stored(own.withColumnRenamed("place", "rank"), "hits")

@@ -1,7 +1,14 @@
 """What plans carry through windows and shuffles."""
 
+import hashlib
+import math
+import struct
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quarry.operators import chunking, embedding, lexical
 from quarry.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +37,29 @@ def test_few_hits_meet_the_texts_without_a_shuffle(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
     assert not any(names & {"content", "text", "terms"} for names in found)
+
+
+def test_windows_split_a_text_once(spark):
+    """A filter on the number of words split each text a second time."""
+    df = spark.createDataFrame([(1, "a b"), (2, " "), (3, None)], "doc_id long, text string")
+    rows = chunking.word_windows(df, "doc_id", "text").select("doc_id", "content")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [tuple(r) for r in rows.collect()] == [(1, "a b")]
+
+
+def test_hash_vectors_of_null_and_long_texts(spark):
+    df = spark.createDataFrame([("a" * 100_000,), (None,), ("é😀",)], "t string")
+    got = [r[0] for r in df.select(embedding.hash_vector(F.col("t"), 12)).collect()]
+    assert got[1] == [None] * 12
+    for t, v in ((df.first().t, got[0]), ("é😀", got[2])):
+        raw = [x / 2**31 for s in range(2) for x in struct.unpack("<8i", hashlib.sha256(f"local_embedder:{t}:{s}".encode()).digest())][:12]
+        norm = math.sqrt(sum(x * x for x in raw))
+        assert np.allclose(v, [x / norm for x in raw], rtol=1e-15)
+
+
+def test_both_runs_of_a_cache_search_one_index(spark, monkeypatch):
+    built = []
+    build = lexical.build
+    monkeypatch.setattr(lexical, "build", lambda *a, **b: built.append(1) or build(*a, **b))
+    assert QUERIES["cached_retrieve"](spark, SF).count() > 0
+    assert len(built) == 1
