@@ -21,6 +21,8 @@ from ..sources.transactions import Store, Transaction
 from . import lexical
 
 FOLDERS = 64
+#: Documents of a file in a folder, about.
+FILE_DOCS = 16_384
 #: Segments from which a batch is followed by a compaction.
 SEGMENTS = 16
 DOCS = "key long, mark long, size int, terms array<string>, tfs array<int>, kb int"
@@ -148,7 +150,9 @@ class LexicalIndex:
         """Stages a segment; the manifest with it."""
         segments = now.get("segments", [])
         seg, ranges = max((s["seg"] for s in segments), default=0) + 1, max(1, -(-n // lexical.RANGE))
-        held = tx.stage(docs, "docs", ["kb"])
+        # dealt out by folder, so that a folder has a file for each FILE_DOCS, not one of every task
+        part = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(-(-n // (FOLDERS * FILE_DOCS)) or 1))
+        held = tx.stage(docs.repartition("kb", part), "docs", ["kb"])
         live = held.where(F.col("mark").isNotNull())
         blocks = tx.stage(segment_blocks(live, ranges).sortWithinPartitions("term"), "blocks")
         more, corpus = lexical.summed(blocks)
