@@ -43,23 +43,25 @@ def index_points(store: Store, points: DataFrame, dimension: int, complete: bool
     payload = [c for c in points.columns if c != "chunk_id"]
     mark = F.xxhash64(*payload)
     good = told.where(F.size("problems") == 0).drop("problems").withColumns({"mark": mark, "collection": vectors.route(F.col("standards"), F.col("category"), F.col("document_name"))})
-    good = good.groupBy("chunk_id").agg(F.min_by(F.struct(*[c for c in good.columns if c != "chunk_id"]), "mark").alias("r")).select("chunk_id", "r.*")
+    # hashes alone tell what counts and what changed; points travel only if they are written
+    told = good.groupBy("chunk_id").agg(F.min(F.struct("mark", "collection")).alias("r")).select("chunk_id", "r.*")
     old = stored_points(store)
     if old is None:
-        kinds = tx.stage(good.select("chunk_id", "collection", F.lit(None).cast("string").alias("was"), F.lit("new").alias("kind")), "changes")
+        kinds = tx.stage(told.select("chunk_id", "collection", F.lit(None).cast("string").alias("was"), F.lit("new").alias("kind"), "mark"), "changes")
     else:
         before = old.select("chunk_id", F.col("mark").alias("_m"), F.col("collection").alias("was"))
-        both = good.select("chunk_id", "mark", "collection").join(before, "chunk_id", "full_outer" if complete else "left")
+        both = told.join(before, "chunk_id", "full_outer" if complete else "left")
         kind = F.when(F.col("was").isNull(), "new").when(F.col("mark").isNull(), "deleted").when((F.col("mark") == F.col("_m")) & (F.col("collection") == F.col("was")), "unchanged").otherwise("modified")
-        kinds = tx.stage(both.select("chunk_id", "collection", "was", kind.alias("kind")), "changes")
+        kinds = tx.stage(both.select("chunk_id", "collection", "was", kind.alias("kind"), "mark"), "changes")
     counts = dict(kinds.groupBy("kind").count().collect()) | {"rejected": bad.count()}
     changed = kinds.where("kind <> 'unchanged'")
     touched = [r["c"] for r in changed.select(F.explode(F.array("collection", "was")).alias("c")).where("c IS NOT NULL").distinct().collect()]  # collections, as many as routes
-    fresh = good.join(changed.where("kind <> 'deleted'").select("chunk_id"), "chunk_id", "left_semi")
-    kept = stored_points(store, touched)
-    rows = fresh if kept is None else kept.join(changed.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh.select(kept.columns))
-    tx.stage(rows, "points", ["collection"])
-    left = {r["collection"] for r in rows.select("collection").distinct().collect()}
+    left = set()
+    if touched:
+        fresh = good.join(changed.where("kind <> 'deleted'").select("chunk_id", "mark"), ["chunk_id", "mark"], "left_semi").dropDuplicates(["chunk_id", "mark"])
+        kept = stored_points(store, touched)
+        rows = fresh if kept is None else kept.join(changed.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh.select(kept.columns))
+        left = {r["collection"] for r in tx.stage(rows, "points", ["collection"]).select("collection").distinct().collect()}
     collections = {c: t for c, t in now.get("collections", {}).items() if c not in touched} | {c: tx.tx for c in left}
     tx.commit({"collections": collections, "transactions": sorted(set(collections.values()))})
     return counts

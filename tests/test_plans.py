@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import chunking, embedding, lexical
+from quarry.operators import chunking, embedding, incremental, indexing, lexical
 from quarry.queries import QUERIES
+from quarry.sources.transactions import Store
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +64,21 @@ def test_both_runs_of_a_cache_search_one_index(spark, monkeypatch):
     monkeypatch.setattr(lexical, "build", lambda *a, **b: built.append(1) or build(*a, **b))
     assert QUERIES["cached_retrieve"](spark, SF).count() > 0
     assert len(built) == 1
+
+
+def test_a_folder_of_terms_has_one_file(spark, tmp_path):
+    """Every task wrote a file in every folder."""
+    index = incremental.LexicalIndex(spark, f"file://{tmp_path}/index")
+    index.apply(spark.range(400).select(F.col("id").alias("key"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text")).repartition(4))
+    files = [p.parent.name for p in tmp_path.rglob("docs/kb=*/*.parquet")]
+    assert len(files) == len(set(files)) > 30
+
+
+def test_points_that_are_all_known_are_not_written(spark, tmp_path):
+    """Points met their hashes through a shuffle, and an empty table was written, though nothing had changed."""
+    store = Store(spark, f"file://{tmp_path}/points")
+    columns = "chunk_id string, document_id string, document_name string, page int, section string, content string, chunk_index int, category string, plant_unit string, equipment array<string>, standards array<string>, vector array<double>"
+    points = spark.createDataFrame([("c1", "d", "n", 1, "s", "text", 0, "manuals", "u", [], [], [0.6, 0.8])] * 2, columns)
+    assert indexing.index_points(store, points, 2) == {"new": 1, "rejected": 0}
+    assert indexing.index_points(store, points, 2) == {"unchanged": 1, "rejected": 0}
+    assert len(list(tmp_path.rglob("data/*/points"))) == 1 and indexing.stored_points(store).count() == 1
