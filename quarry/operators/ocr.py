@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import count_words, strip
 
@@ -27,6 +29,8 @@ Block = tuple[float, float, float, float, str]  # left, top, right, bottom, text
 # Fixed values of the recovery of tables: tolerances in pixels, bins and gain of the tilt, and what counts as noise.
 ROW_GAP, COLUMN_GAP, AMBIGUOUS = 12.0, 35.0, 8.0
 TILT_STEPS, TILT_STEP, TILT_BIN, TILT_GAIN, TILT_LEAST = 30, 0.1, 8.0, 1.05, 6
+#: Blocks that a task looks at together, about, and pages below which each takes its steps alone.
+TOGETHER, FEW_PAGES = 100_000, 32
 SIGNS = r"^[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~…·√：！↓￥—°•\s]+$"
 
 
@@ -41,42 +45,154 @@ def valid(blocks: DataFrame) -> DataFrame:
     return blocks.where((t != "") & (sure | ~noise)).withColumn("text", t)
 
 
-def tilt(blocks: Column) -> Column:
-    """Of the page's array of structs with x and y, the middles: the turn at which they fall into the fewest, fullest rows, if it gains TILT_GAIN over none; 0 for few blocks."""
-    turns = F.array(*[F.tan(F.radians(F.lit(step) * F.lit(TILT_STEP))) for step in range(-TILT_STEPS, TILT_STEPS + 1)])
-    start = F.struct(F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("score"))
+def _edges(own: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Where a new value of these ascending or grouped arrays begins."""
+    new = np.zeros(len(own), bool)
+    new[:1] = True
+    for x in (own, *more):
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
-    def step(a: Column, v: Column) -> Column:
-        n = F.when((a["n"] > 0) & a["bin"].eqNullSafe(v), a["n"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(v.alias("bin"), (n + 1).alias("n"), (a["score"] + 2 * n + 1).alias("score"))
 
-    # the sum of the squares of the rows' counts, over the sorted bins
-    score = lambda t: F.aggregate(F.array_sort(F.transform(blocks, lambda b: F.bround((b["y"] - t * b["x"]) / TILT_BIN).cast("long"))), start, step)["score"]
-    scores = F.transform(turns, lambda t, i: F.struct(score(t).alias("score"), (-i).alias("back"), t.alias("turn")))
-    gains = lambda s: F.array_max(s)["score"] / F.get(s, F.lit(TILT_STEPS))["score"] >= TILT_GAIN
-    turned = F.element_at(F.transform(F.array(scores), lambda s: F.when(gains(s), F.array_max(s)["turn"]).otherwise(0.0)), 1)
-    return F.when(F.size(blocks) >= TILT_LEAST, turned).otherwise(0.0)
+def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
 
 
-def clustered(values: Column, gap: float) -> Column:
-    """Of an ascending array, the number of each value's cluster: a value within `gap` of the mean of the last cluster joins it."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("c"), F.array().cast("array<int>").alias("out"))
+def _squares(own: np.ndarray, bins: np.ndarray, n_pages: int) -> np.ndarray:
+    """Of each page, the sum of the squares of the counts of its equal bins; own, the numbers of the pages, ascends."""
+    bins = np.where(np.isnan(bins), np.inf, bins)  # what has no place is a bin of its own
+    low = bins.min()
+    span = bins.max() - low + 1
+    if span * n_pages < 2**62:
+        made = np.sort(own * np.int64(span) + (bins - low).astype(np.int64))
+    else:
+        made = bins[np.lexsort((bins, own))]
+    starts = _edges(own, made)
+    return np.bincount(own[starts], _sizes(starts, len(own)) ** 2.0, n_pages)
 
-    def step(a: Column, v: Column) -> Column:
-        joins = (a["n"] > 0) & (F.abs(v - a["sum"] / a["n"]) <= gap)
-        c = F.when(joins, a["c"]).otherwise(a["c"] + 1)
-        return F.struct(F.when(joins, a["sum"] + v).otherwise(v).alias("sum"), F.when(joins, a["n"] + 1).otherwise(1).alias("n"), c.alias("c"), F.concat(a["out"], F.array(c)).alias("out"))
 
-    return F.aggregate(values, start, step)["out"]
+def tilts(own: np.ndarray, x: np.ndarray, y: np.ndarray, n_pages: int) -> np.ndarray:
+    """Of each page, the turn at which the middles of its blocks fall into the fewest, fullest rows, if it gains TILT_GAIN over none; 0 for few blocks."""
+    best, none, turn = np.zeros(n_pages), np.ones(n_pages), np.zeros(n_pages)
+    for step in range(-TILT_STEPS, TILT_STEPS + 1):
+        t = math.tan(math.radians(step * TILT_STEP))
+        score = _squares(own, np.rint((y - t * x) / TILT_BIN), n_pages)
+        more = score > best
+        best, turn = np.where(more, score, best), np.where(more, t, turn)
+        none = score if step == 0 else none
+    return np.where((np.bincount(own, minlength=n_pages) >= TILT_LEAST) & (best / none >= TILT_GAIN), turn, 0.0)
 
 
-def anchors(lefts: Column, least: Column) -> Column:
-    """Means of the clusters of an ascending array, ascending; if two clusters or more have `least` values, only such."""
-    held = F.transform(F.array(F.arrays_zip(lefts.alias("l"), clustered(lefts, COLUMN_GAP).alias("c"))), lambda z: F.transform(F.sequence(F.lit(0), F.element_at(z, -1)["c"]), lambda i: F.transform(F.filter(z, lambda e: e["c"] == i), lambda e: e["l"])))
-    often = lambda c: F.size(c) >= least
-    used = F.transform(held, lambda s: F.when(F.size(F.filter(s, often)) >= 2, F.filter(s, often)).otherwise(s))
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
-    return F.array_sort(F.transform(F.element_at(used, 1), mean))
+def clustered(own: np.ndarray, values: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of values that ascend in each page, the number of each one's cluster, and the sum of the cluster up to it: a value within `gap` of the mean of the last cluster joins it.
+
+    Pages take their steps together; the few that are much longer than the rest end by themselves.
+    """
+    starts = _edges(own)
+    order = np.argsort(-_sizes(starts, len(own)), kind="stable")
+    first, less = starts[order], -_sizes(starts, len(own))[order]
+    total, n, c = np.zeros(len(order)), np.zeros(len(order), np.int64), np.full(len(order), -1)
+    made, sums, i = np.empty(len(own), np.int64), np.empty(len(own)), 0
+    while (k := int(np.searchsorted(less, -i))) >= FEW_PAGES:
+        at = first[:k] + i
+        v = values[at]
+        joins = (n[:k] > 0) & (np.abs(v - total[:k] / np.maximum(n[:k], 1)) <= gap)
+        total[:k], n[:k] = np.where(joins, total[:k] + v, v), np.where(joins, n[:k] + 1, 1)
+        c[:k] += ~joins
+        made[at], sums[at], i = c[:k], total[:k], i + 1
+    for p in range(k):
+        lo, hi, t, m, d = int(first[p]) + i, int(first[p] - less[p]), float(total[p]), int(n[p]), int(c[p])
+        for at, v in enumerate(values[lo:hi].tolist(), lo):
+            if m and abs(v - t / m) <= gap:
+                t, m = t + v, m + 1
+            else:
+                t, m, d = v, 1, d + 1
+            made[at], sums[at] = d, t
+    return made, sums
+
+
+def anchors(own: np.ndarray, lefts: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pages and means of the clusters of lefts that ascend in each page, ascending; if two clusters of a page or more have its `least` values, only such."""
+    c, sums = clustered(own, lefts, COLUMN_GAP)
+    starts = _edges(own, c)
+    n, page = _sizes(starts, len(own)), own[starts]
+    often = n >= least[page]
+    mean = sums[starts + n - 1] / n
+    held = (often | (np.bincount(page, often, len(least)) < 2)[page]) & ~np.isnan(mean)
+    return page[held], mean[held]
+
+
+def nearest(own: np.ndarray, lefts: np.ndarray, page: np.ndarray, means: np.ndarray, n_pages: int) -> np.ndarray:
+    """Of each left side, the place of the nearest anchor of its page; -1 where there is none, or another is as near but for AMBIGUOUS."""
+    if not len(means):
+        return np.full(len(own), -1)
+    begin = np.searchsorted(page, np.arange(n_pages + 1))
+    lo, hi = begin[own], begin[own + 1] - 1
+    both = np.lexsort((np.repeat([0, 1], [len(page), len(own)]), np.append(means, lefts), np.append(page, own)))
+    upto = np.empty(len(both), np.int64)
+    upto[both] = np.cumsum(both < len(page))
+    below = np.clip(upto[len(page) :] - 1, lo, np.maximum(hi, lo))  # the last anchor that is not right of it
+    far = lambda j: np.where((j >= lo) & (j <= hi), np.abs(lefts - means[np.clip(j, 0, len(means) - 1)]), np.inf)
+    best = np.where(far(below + 1) < far(below), below + 1, below)
+    with np.errstate(invalid="ignore"):  # a page without anchors is endlessly far
+        clear = (np.minimum(far(best - 1), far(best + 1)) - far(best) > AMBIGUOUS) & ~np.isnan(lefts) & (hi >= lo)
+    return np.where(clear, best - lo, -1)
+
+
+def _cells(pages: pa.Array, starts: np.ndarray, x: np.ndarray, y: np.ndarray, left: np.ndarray, text: pa.Array) -> tuple[pa.Array, ...]:
+    """The cells of whole pages, whose blocks begin at `starts` and ascend by text in each."""
+    n_pages, at = len(starts), np.arange(len(x))
+    own = np.repeat(np.arange(n_pages), _sizes(starts, len(x)))
+    y = y - tilts(own, x, y, n_pages)[own] * x
+    order = np.lexsort((y, own))
+    at, left = at[order], left[order]
+    row, _ = clustered(own, y[order], ROW_GAP)
+    begin = _edges(own, row)
+    n, page = _sizes(begin, len(own)), own[begin]
+    most = np.zeros(n_pages, np.int64)
+    np.maximum.at(most, page, n)
+    kept = (most[page] >= 2) & (n >= np.maximum(2, np.minimum(3, most[page] - 2)))
+    count = np.bincount(page, kept, n_pages)
+    row_no = np.cumsum(kept) - 1 - (np.cumsum(count) - count)[page].astype(np.int64)
+    kept &= count[page] >= 2
+    full = kept & (n >= np.maximum(3, most[page] - 1))
+    used = kept & (full | (np.bincount(page, full, n_pages) == 0)[page])
+    k = np.bincount(page, used, n_pages)
+    group = np.repeat(np.arange(len(n)), n)
+    some = used[group]
+    u_own, u_left = own[some], left[some]
+    column = np.lexsort((u_left, u_own))
+    a_page, mean = anchors(u_own, u_left[column], np.minimum(2, k))
+    some = kept[group]
+    own, left, at, row = own[some], left[some], at[some], row_no[group[some]]
+    column = nearest(own, left, a_page, mean, n_pages)
+    some = np.flatnonzero(column >= 0)
+    some = some[np.lexsort((at[some], left[some], column[some], row[some], own[some]))]
+    own, row, column = own[some], row[some], column[some]
+    begin = _edges(own, row, column)
+    held = pa.ListArray.from_arrays(pa.array(np.append(begin, len(some)).astype(np.int32)), text.take(pa.array(at[some])))
+    return pages.take(pa.array(starts[own[begin]])), pa.array(row[begin]), pa.array(column[begin]), pc.binary_join(held, " ")
+
+
+def _page_starts(pages: pa.ChunkedArray) -> np.ndarray:
+    return np.append(0, 1 + np.flatnonzero(pc.not_equal(pages[1:], pages[:-1]).to_numpy()))
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of about TOGETHER rows that end where a page ends; rows ascend by page, their first column."""
+    held, n = [], 0
+    for b in batches:
+        for part in (b.slice(i, TOGETHER) for i in range(0, b.num_rows, TOGETHER)):
+            if n >= TOGETHER:
+                t = pa.Table.from_batches([held[-1], part])
+                cut = int(_page_starts(t[0])[-1]) - len(held[-1])  # where its last page begins, in the part
+                if cut >= 0:
+                    yield pa.Table.from_batches([*held, part.slice(0, cut)])
+                    held, n, part = [], 0, part.slice(cut)
+            held.append(part)
+            n += len(part)
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def table_cells(blocks: DataFrame, page: str = "page") -> DataFrame:
@@ -87,28 +203,28 @@ def table_cells(blocks: DataFrame, page: str = "page") -> DataFrame:
     fuller rows; a block midway between two columns is left out. A header over two
     columns stays in the one nearest to its left side.
 
-    Blocks are dealt out by page once; all steps after that stay within a page.
+    Blocks are dealt out by page once, and a task works on about TOGETHER of them at
+    a time, whole pages; running means and tilts have no primitive in Spark, whose
+    lambdas are interpreted.
     """
     good = valid(blocks).where(F.col(page).isNotNull())
     x, y = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
-    pages = good.groupBy(page).agg(F.collect_list(F.struct(y.alias("y"), x.alias("x"), "left", "text")).alias("b")).where(F.size("b") >= 4)
-    # in an array of its own, so that it is worked out once a page
-    turned = F.transform(F.array(tilt(F.col("b"))), lambda slope: F.transform("b", lambda e: F.struct((e["y"] - slope * e["x"]).alias("y"), e["left"].alias("left"), e["text"].alias("text"))))
-    sorted_ = pages.select(page, F.array_sort(F.element_at(turned, 1)).alias("b"))
-    rows = sorted_.withColumn("r", clustered(F.transform("b", lambda x: x["y"]), ROW_GAP)).select(page, F.posexplode(F.arrays_zip("b", "r")).alias("pos", "z")).select(page, F.col("z.r").alias("r"), F.col("z.b.left").alias("left"), F.col("z.b.text").alias("text"))
-    rows = rows.withColumn("n", F.count("*").over(W.partitionBy(page, "r"))).withColumn("most", F.max("n").over(W.partitionBy(page)))
-    kept = rows.where((F.col("most") >= 2) & (F.col("n") >= F.greatest(F.lit(2), F.least(F.lit(3), F.col("most") - 2))))
-    kept = kept.withColumn("row_no", F.dense_rank().over(W.partitionBy(page).orderBy("r")) - 1)
-    full = F.col("n") >= F.greatest(F.lit(3), F.col("most") - 1)
-    kept = kept.withColumns({"rows": F.max("row_no").over(W.partitionBy(page)) + 1, "any": F.max(full).over(W.partitionBy(page))}).where("rows >= 2")
-    tables = kept.groupBy(page).agg(F.collect_list(F.struct("row_no", "left", "text", (full | ~F.col("any")).alias("used"))).alias("b"))
-    used = F.filter("b", lambda e: e["used"])
-    tables = tables.withColumns({"lefts": F.array_sort(F.transform(used, lambda e: e["left"])), "k": F.size(F.array_distinct(F.transform(used, lambda e: e["row_no"])))})
-    placed = tables.select(page, "b", anchors(F.col("lefts"), F.least(F.lit(2), F.col("k"))).alias("anchors")).select(page, "anchors", F.explode("b").alias("e")).select(page, "e.row_no", "e.left", "e.text", F.transform("anchors", lambda a: F.abs(F.col("e.left") - a)).alias("far"))
-    placed = placed.withColumn("column_no", (F.array_position("far", F.array_min("far")) - 1).cast("int"))
-    clear = F.size(F.filter("far", lambda d: d - F.array_min("far") <= AMBIGUOUS)) == 1
-    cells = placed.where(clear).groupBy(page, "row_no", "column_no").agg(F.array_sort(F.collect_list(F.struct("left", "text"))).alias("t"))
-    return cells.select(F.col(page).cast("long").alias(page), F.col("row_no").cast("long").alias("row_no"), F.col("column_no").cast("long").alias("column_no"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("value"))
+    names = [page, "row_no", "column_no", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_pages(batches):
+            starts = _page_starts(t[0])
+            sizes = _sizes(starts, len(t))
+            t = t.filter(pa.array(np.repeat(sizes >= 4, sizes))).combine_chunks()
+            if len(t):
+                sizes = sizes[sizes >= 4]
+                p, x, y, left, text = (c.chunk(0) for c in t.columns)
+                yield pa.RecordBatch.from_arrays([*_cells(p, np.cumsum(sizes) - sizes, *(c.to_numpy(zero_copy_only=False) for c in (x, y, left)), text)], names=names)
+
+    sent = good.select(page, x.alias("x"), y.alias("y"), "left", "text").repartition(page).sortWithinPartitions(page, "text")
+    kind = blocks.schema[page].dataType.simpleString()
+    cells = sent.mapInArrow(run, f"`{page}` {kind}, row_no long, column_no long, value string")
+    return cells.select(F.col(page).cast("long").alias(page), "row_no", "column_no", "value")
 
 
 def fields(blocks: list[Block]) -> list[tuple[str, str, str]]:

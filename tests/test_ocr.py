@@ -1,7 +1,11 @@
 """Tables, forms, headings and tags from recognised blocks; prompts."""
 
 import math
+import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.operators import ocr, prompts
@@ -75,3 +79,50 @@ def test_blocks_are_dealt_out_once(spark):
     plan = ocr.table_cells(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
     assert cells(spark, [(1, *b, 0.9)[1:] for b in grid(2, 6)]) == {(r, c): f"r{r}c{c}" for r in range(2) for c in range(6)}
+
+
+def test_pages_take_their_steps_together(spark):
+    """Tilts and running means were lambdas, which Spark interprets for each block and turn."""
+    df = spark.createDataFrame([(1, *b, 0.9) for b in grid(4, 4)], BLOCK)
+    plan = ocr.table_cells(df)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("MapInArrow") == 1
+    many = spark.range(300).select(F.col("id").cast("int").alias("page")).crossJoin(df.drop("page")).unionByName(df.where("left < 300").withColumn("page", F.lit(999))).repartition(3)
+    got = Counter((r.row_no, r.column_no, r.value) for r in ocr.table_cells(many).collect())
+    assert got == {(r, c, f"r{r}c{c}"): 300 + (c < 2) for r in range(4) for c in range(4)}
+
+
+def test_steps_of_many_pages_equal_those_of_each(monkeypatch):
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 2, 5, 17]) for _ in range(90)] + [400]
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    pages = [sorted(rng.choice([rng.uniform(0, 90 * n), 8.0 * rng.randrange(9 * n)]) for _ in range(n)) for n in sizes]
+    values = np.array([v for p in pages for v in p])
+    want = []
+    for p in pages:
+        last, c = [], -1
+        for v in p:
+            last, c = (last + [v], c) if last and abs(v - sum(last) / len(last)) <= 12 else ([v], c + 1)
+            want.append((c, sum(last)))
+    for few in (1, 32, 1000):
+        monkeypatch.setattr(ocr, "FEW_PAGES", few)
+        assert list(zip(*(a.tolist() for a in ocr.clustered(own, values, 12.0)), strict=True)) == want
+    x, turns = np.array([rng.uniform(0, 900) for _ in own]), [math.tan(math.radians(i * ocr.TILT_STEP)) for i in range(-30, 31)]
+    told = ocr.tilts(own, x, values, len(sizes))
+    for p, n in enumerate(sizes):
+        score = [sum(k * k for k in Counter(round((y - t * e) / 8) for e, y in zip(x[own == p].tolist(), pages[p], strict=True)).values()) for t in turns]
+        assert told[p] == (turns[score.index(max(score))] if n >= 6 and max(score) / score[30] >= 1.05 else 0), p
+    assert ocr._squares(own, values * 1e30, len(sizes)).tolist() == [sum(k * k for k in Counter(p).values()) for p in pages]
+    page = np.repeat(np.arange(0, 90, 2), 3)
+    means = np.sort(np.array([rng.uniform(0, 200) for _ in page]).reshape(-1, 3)).ravel()
+    for p, v, got in zip(own.tolist(), values.tolist(), ocr.nearest(own, values, page, means, len(sizes)).tolist(), strict=True):
+        far = [abs(v - m) for m in means[page == p].tolist()]
+        assert got == (far.index(min(far)) if far and sum(d - min(far) <= 8 for d in far) == 1 else -1)
+
+
+def test_tables_of_blocks_end_with_a_page(monkeypatch):
+    monkeypatch.setattr(ocr, "TOGETHER", 7)
+    pages = [p for p, n in enumerate([1, 3, 30, 1, 1, 6, 8, 2]) for _ in range(n)]
+    for step in (1, 4, 9, 60):
+        parts = [pa.record_batch({"page": pages[i : i + step]}) for i in range(0, len(pages), step)]
+        got = [t["page"].to_pylist() for t in ocr._whole_pages(iter(parts))]
+        assert sum(got, []) == pages and all(a[-1] != b[0] for a, b in zip(got, got[1:], strict=False)) and len(got) > 2
