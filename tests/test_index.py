@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import lexical, vectors
+from quarry.operators import incremental, lexical, vectors
 from quarry.operators.incremental import LexicalIndex
-from quarry.sources.transactions import Store
+from quarry.sources.transactions import Store, Transaction
 
 WORDS = [f"w{i}" for i in range(60)] + ["pump", "valve", "P-203", "leak"]
 ASKED = [(1, "pump valve w1 w2"), (2, "P-203 leak leak"), (3, "w5 w6 w7 w8 w9 nothing"), (4, "unknown"), (5, "pump valve")]
@@ -83,6 +83,42 @@ def test_a_batch_reads_its_own_folders(spark, tmp_path):
     assert {r.key for r in known.collect()} == {5, 6} and "kb#" in filters and ("IN (" in filters or " = " in filters)
 
 
+def test_large_segments_hold_whole_ranges_in_order(spark, asked, tmp_path, monkeypatch):
+    """Texts and terms were shuffled by key, by folder and by range, and what a batch staged for itself stayed."""
+    monkeypatch.setattr(lexical, "RANGE", 2)
+    monkeypatch.setattr(incremental, "FILE_DOCS", 2)
+    plans: dict[str, list[str]] = {}
+    stage = Transaction.stage
+
+    def noted(self, rows, name, *more, **options):
+        plans.setdefault(name, []).append(rows._jdf.queryExecution().executedPlan().toString())
+        return stage(self, rows, name, *more, **options)
+
+    monkeypatch.setattr(Transaction, "stage", noted)
+    rng = random.Random(9)
+    rows = {k: text(rng) for k in range(400)}
+    index = LexicalIndex(spark, f"file://{tmp_path}/index")
+    index.apply(spark.createDataFrame([*rows.items(), (1, rows[1])], SCHEMA).repartition(3))
+    put = {k: text(rng) for k in range(0, 500, 3)} | {1: rows[1], 2: ""}
+    same = sum(rows.get(k) == t for k, t in put.items())
+    assert index.apply(spark.createDataFrame(list(put.items()), SCHEMA), spark.createDataFrame([(k,) for k in (4, 5, 900)], "key long")) == {"new": 33, "modified": 136 - same, "unchanged": same, "deleted": 2}
+    rows = {k: t for k, t in rows.items() if k not in (4, 5)} | put
+    assert all("each" in s for s in index.segments()) and hits(index.search(asked, "q", "t", 7)) == fresh(spark, rows, asked)
+    index.compact()
+    blocks = index.index().blocks
+    assert blocks.groupBy("rng", "term").count().where("count > 1").count() == 0 and blocks.select("rng").distinct().count() > incremental.FOLDERS
+    assert hits(index.search(asked, "q", "t", 7)) == fresh(spark, rows, asked) and index.store.manifest()["n_docs"] == len(rows)
+    assert [p.count("Exchange hashpartitioning") for p in plans["blocks"]] == [0] * 3
+    assert all(p.count("Exchange hashpartitioning(kb") == p.count("Exchange") - p.count("BroadcastExchange") - p.count("RoundRobin") == 1 for p in plans["docs"]), plans["docs"]
+    assert not [*tmp_path.rglob("data/*/batch"), *tmp_path.rglob("data/*/changes")]
+
+
+def test_few_but_the_keys_among_others_pass(spark):
+    keys = spark.range(0, 9000, 9).withColumnRenamed("id", "key")
+    got = {r.key for r in incremental.among(spark.range(9000).withColumnRenamed("id", "key"), keys).collect()}
+    assert got >= set(range(0, 9000, 9)) and len(got) < 1010
+
+
 class Stop(Exception):
     pass
 
